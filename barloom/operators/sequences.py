@@ -27,7 +27,7 @@ def shifted_target(bars: DataFrame, k: int = 1, block_rows: int = BLOCK_ROWS) ->
     """Add ``target``: the close ``k`` rows later."""
     df = layout(bars, after=k, block_rows=block_rows)
     df = df.withColumn("target", F.lead("close", k).over(block_window()))
-    return core(df).select(*bars.columns, "target")
+    return core(df, keep=True).select(*bars.columns, "target")
 
 
 def sequences(

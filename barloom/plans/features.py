@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.daily import next_day_label, next_day_opening
-from ..operators.fill import fill_laid_out
+from ..operators.fill import fill, fill_laid_out
 from ..operators.indicators import ALL, RECIPES, lay_and_compute
 from ..operators.layout import BLOCK_ROWS, HELPERS
 from ..operators.relative import at_common_times, by_rank, pairs, related_found, relative
@@ -61,11 +61,13 @@ def training_sequences(
     # the label needs the unscaled prices; only the features named in ``cols`` are replaced
     rows = next_day_label(features, min_bars)
     rows = scaled_rows(rows, cols, params=fit_scaler(features, cols, "robust", fit_on))
-    kept = rows.select(*KEYS, "ts", "close", "next_return", "sentiment", *cols, "pos", "n_rows")
-    windows = sequences(kept, cols, length, "labelled", block_rows=block_rows)
+    kept = rows.select(
+        *KEYS, "ts", "close", "next_return", "sentiment", *cols, "pos", "n_rows",
+        (F.col("pos") == F.col("n_rows") - 1).alias("_is_last"),
+    )
     return (
-        drop_last_row(windows.join(kept.select(*KEYS, "ts", "pos", "n_rows"), [*KEYS, "ts"]))
-        .filter("next_return is not null")
+        sequences(kept, cols, length, "labelled", block_rows=block_rows)
+        .filter("not _is_last and next_return is not null")
         .select(*KEYS, "ts", "close", "next_return", "sentiment", "seq")
     )
 
@@ -84,9 +86,10 @@ def tree_rows(
         rows = raw.withColumnRenamed("target", "label")
         cols = FEATURES
     else:
-        features = materialize(time_split(feature_rows(bars)))
+        features = materialize(feature_rows(bars))
         rows = labelled_rows(features, min_bars).withColumnRenamed("next_return", "label")
-        rows = scaled_rows(rows, params=fit_scaler(features, RETURN_FEATURES, "robust", fit_on))
+        fitted_on = time_split(rows.drop("pos", "n_rows")) if fit_on == "train" else features
+        rows = scaled_rows(rows, params=fit_scaler(fitted_on, RETURN_FEATURES, "robust", fit_on))
         cols = RETURN_FEATURES
     kept = rows.select(*KEYS, "ts", "close", "label", *[c for c in cols if c != "close"])
     kept = time_split(kept.na.drop("any"))
@@ -118,8 +121,6 @@ def related_features(
     beside_related = by_rank(theirs, RETURN_FEATURES, k, lambda i, c: f"related_{i}_{c}")
 
     joined = own.join(beside_main, [*KEYS, "ts"]).join(beside_related, [*KEYS, "ts"])
-    from ..operators.fill import fill
-
     return fill(joined, relative_cols, block_rows=block_rows), [
         *RETURN_FEATURES,
         *relative_cols,
