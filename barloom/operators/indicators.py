@@ -26,25 +26,31 @@ class Recipe(NamedTuple):
     totals: tuple[str, ...] = ()  # outputs that keep running across blocks
 
 
-def _delta_steps() -> Steps:
-    return [
-        {"_prev_close": previous("close")},
-        {"_delta": F.col("close") - F.col("_prev_close")},
-    ]
+# Levels are numbered so that recipes meet: 0 looks back at the bars, 1 combines, 2 averages the
+# combinations and starts exponential sums, 3 carries those over, 8 and 9 do so once more.
+
+
+def _change() -> Column:
+    return F.col("close") - F.col("_prev_close")
+
 
+def _prev_close() -> dict[str, Column]:
+    return {"_prev_close": previous("close")}
 
-def _true_range_steps() -> Steps:
+
+def _tr() -> dict[str, Column]:
     # greatest() skips NULLs, so the first bar's range is high - low
-    return [
-        {"_prev_close": previous("close")},
-        {
-            "_tr": F.greatest(
-                F.col("high") - F.col("low"),
-                F.abs(F.col("high") - F.col("_prev_close")),
-                F.abs(F.col("low") - F.col("_prev_close")),
-            )
-        },
-    ]
+    return {
+        "_tr": F.greatest(
+            F.col("high") - F.col("low"),
+            F.abs(F.col("high") - F.col("_prev_close")),
+            F.abs(F.col("low") - F.col("_prev_close")),
+        )
+    }
+
+
+def _at(level: int, steps: Steps) -> Steps:
+    return [{} for _ in range(level)] + steps
 
 
 def _sma(windows=(20, 50)) -> Recipe:
@@ -54,22 +60,29 @@ def _sma(windows=(20, 50)) -> Recipe:
 
 def _ema(span=20) -> Recipe:
     name, alpha = f"ema_{span}", span_alpha(span)
-    return Recipe((name,), burn_in(alpha), recursive_mean(name, F.col("close"), alpha))
+    return Recipe((name,), burn_in(alpha), _at(2, recursive_mean(name, F.col("close"), alpha)))
 
 
 def _delta() -> Recipe:
-    return Recipe(("delta",), 1, [{"delta": F.col("close") - previous("close")}])
+    return Recipe(("delta",), 1, [_prev_close(), {"delta": _change()}])
 
 
 def _rsi(n=14) -> Recipe:
-    d, gain, loss = F.col("_delta"), F.col("_gain"), F.col("_loss")
+    gain, loss = F.col("_gain"), F.col("_loss")
     rsi = (
         F.when(loss == 0, F.when(gain > 0, F.lit(100.0)))
         .otherwise(100.0 - F.try_divide(F.lit(100.0), 1.0 + F.try_divide(gain, loss)))
     )
-    ups_and_downs = {"_up": S.zeroed(d, d > 0), "_down": S.zeroed(-d, d < 0)}
-    means = {"_gain": full(F.avg, "_up", n), "_loss": full(F.avg, "_down", n)}
-    return Recipe(("rsi",), n, [*_delta_steps(), ups_and_downs, means, {"rsi": rsi}])
+    return Recipe(
+        ("rsi",),
+        n,
+        [
+            _prev_close(),
+            {"_up": S.zeroed(_change(), _change() > 0), "_down": S.zeroed(-_change(), _change() < 0)},
+            {"_gain": full(F.avg, "_up", n), "_loss": full(F.avg, "_down", n)},
+            {"rsi": rsi},
+        ],
+    )
 
 
 def _bollinger(n=20, width=2.0) -> Recipe:
@@ -79,8 +92,11 @@ def _bollinger(n=20, width=2.0) -> Recipe:
         n - 1,
         [
             {"bb_middle": full(F.avg, "close", n), "_bb_std": full(F.stddev_samp, "close", n)},
-            {"bb_upper": middle + sd * width, "bb_lower": middle - sd * width},
-            {"bb_width": F.try_divide(F.col("bb_upper") - F.col("bb_lower"), middle)},
+            {
+                "bb_upper": middle + sd * width,
+                "bb_lower": middle - sd * width,
+                "bb_width": F.try_divide((middle + sd * width) - (middle - sd * width), middle),
+            },
         ],
     )
 
@@ -88,63 +104,64 @@ def _bollinger(n=20, width=2.0) -> Recipe:
 def _macd(fast=12, slow=26, signal=9) -> Recipe:
     quick = recursive_mean("_ema_fast", F.col("close"), span_alpha(fast))
     steady = recursive_mean("_ema_slow", F.col("close"), span_alpha(slow))
+    averages = _at(2, side_by_side(quick, steady))
+    line = {"macd": F.col("_ema_fast") - F.col("_ema_slow")}
     return Recipe(
         ("macd", "signal_line"),
         burn_in(span_alpha(max(fast, slow))) + burn_in(span_alpha(signal)),
-        [
-            *side_by_side(quick, steady),
-            {"macd": F.col("_ema_fast") - F.col("_ema_slow")},
-            *recursive_mean("signal_line", F.col("macd"), span_alpha(signal)),
-        ],
+        side_by_side(
+            averages,
+            _at(len(averages), [line]),
+            _at(8, recursive_mean("signal_line", F.col("macd"), span_alpha(signal))),
+        ),
     )
 
 
 def _true_range() -> Recipe:
-    return Recipe(("true_range",), 1, [*_true_range_steps(), {"true_range": F.col("_tr")}])
+    return Recipe(("true_range",), 1, [_prev_close(), _tr(), {"true_range": F.col("_tr")}])
 
 
 def _atr(n=14) -> Recipe:
-    return Recipe(("atr",), n, [*_true_range_steps(), {}, {"atr": full(F.avg, "_tr", n)}])
+    return Recipe(("atr",), n, [_prev_close(), _tr(), {"atr": full(F.avg, "_tr", n)}])
 
 
-def _hilo(n: int) -> Steps:
-    return [
-        {f"_low_{n}": full(F.min, "low", n), f"_high_{n}": full(F.max, "high", n)},
-        {f"_range_{n}": F.col(f"_high_{n}") - F.col(f"_low_{n}")},
-    ]
+def _hilo(n: int) -> dict[str, Column]:
+    return {f"_low_{n}": full(F.min, "low", n), f"_high_{n}": full(F.max, "high", n)}
 
 
 def _stochastic(n=14, smooth=3) -> Recipe:
-    k = 100.0 * F.try_divide(F.col("close") - F.col(f"_low_{n}"), F.col(f"_range_{n}"))
+    low, high = F.col(f"_low_{n}"), F.col(f"_high_{n}")
+    k = 100.0 * F.try_divide(F.col("close") - low, high - low)
     return Recipe(
         ("pct_k", "pct_d"),
         n + smooth - 2,
-        [*_hilo(n), {"pct_k": k}, {"pct_d": full(F.avg, "pct_k", smooth)}],
+        [_hilo(n), {"pct_k": k}, {"pct_d": full(F.avg, "pct_k", smooth)}],
     )
 
 
 def _williams_r(n=14) -> Recipe:
-    r = -100.0 * F.try_divide(F.col(f"_high_{n}") - F.col("close"), F.col(f"_range_{n}"))
-    return Recipe(("williams_r",), n - 1, [*_hilo(n), {"williams_r": r}])
+    low, high = F.col(f"_low_{n}"), F.col(f"_high_{n}")
+    r = -100.0 * F.try_divide(high - F.col("close"), high - low)
+    return Recipe(("williams_r",), n - 1, [_hilo(n), {"williams_r": r}])
 
 
-def _running_total(name: str, change: Column) -> Steps:
+def _running_total(name: str, change: Column) -> Recipe:
     own = F.when(F.col("is_core"), F.col(f"{name}__change")).otherwise(F.lit(0.0))
-    return [
-        {},
+    steps = [
+        _prev_close(),
         {f"{name}__change": F.coalesce(change, F.lit(0.0))},
         {name: F.sum(own).over(running())},
     ]
+    return Recipe((name,), 1, steps, (name,))
 
 
 def _obv() -> Recipe:
-    change = F.signum(F.col("close") - F.col("_prev_close")) * F.col("volume")
-    return Recipe(("obv",), 1, side_by_side(_delta_steps(), _running_total("obv", change)), ("obv",))
+    return _running_total("obv", F.signum(_change()) * F.col("volume"))
 
 
 def _pvt() -> Recipe:
     change = S.pct_change(F.col("close"), F.col("_prev_close")) * F.col("volume")
-    return Recipe(("pvt",), 1, side_by_side(_delta_steps(), _running_total("pvt", change)), ("pvt",))
+    return _running_total("pvt", change)
 
 
 def _cmf(n=20) -> Recipe:
@@ -156,7 +173,6 @@ def _cmf(n=20) -> Recipe:
         [
             {},
             {"_flow": flow},
-            {},
             {"_flow_sum": full(F.sum, "_flow", n), "_volume_sum": full(F.sum, "volume", n)},
             {"cmf": F.try_divide(F.col("_flow_sum"), F.col("_volume_sum"))},
         ],
@@ -167,13 +183,11 @@ def _adx(n=14) -> Recipe:
     alpha = 1.0 / n
     up, down, ranges = F.col("_ew_up"), F.col("_ew_down"), F.col("_ew_tr")
     plus, minus = F.col("plus_di"), F.col("minus_di")
-    moves = [
-        {"_prev_high": previous("high"), "_prev_low": previous("low")},
-        {
-            "plus_dm": S.floored(F.col("high") - F.col("_prev_high")),
-            "minus_dm": S.capped(F.col("low") - F.col("_prev_low")),
-        },
-    ]
+    before = {"_prev_high": previous("high"), "_prev_low": previous("low")}
+    moves = {
+        "plus_dm": S.floored(F.col("high") - F.col("_prev_high")),
+        "minus_dm": S.capped(F.col("low") - F.col("_prev_low")),
+    }
     smoothed = side_by_side(
         weighted_mean("_ew_up", F.col("plus_dm"), alpha),
         weighted_mean("_ew_down", F.col("minus_dm"), alpha),
@@ -183,7 +197,8 @@ def _adx(n=14) -> Recipe:
         ("plus_dm", "minus_dm", "plus_di", "minus_di", "dx", "adx"),
         1 + 2 * burn_in(alpha),
         [
-            *side_by_side(moves, _true_range_steps()),
+            _prev_close() | before,
+            _tr() | moves,
             *smoothed,
             {
                 "plus_di": 100.0 * F.try_divide(up, ranges),
@@ -209,7 +224,7 @@ def _log_returns() -> Recipe:
 
 def _pct_change() -> Recipe:
     change = S.pct_change(F.col("close"), F.col("_prev_close"))
-    return Recipe(("pct_change",), 1, [{"_prev_close": previous("close")}, {"pct_change": change}])
+    return Recipe(("pct_change",), 1, [_prev_close(), {"pct_change": change}])
 
 
 RECIPES = {
@@ -246,13 +261,21 @@ def apply_steps(laid: DataFrame, recipes: list[Recipe]) -> DataFrame:
 
 
 def lay_and_compute(
-    bars: DataFrame, recipes: list[Recipe], block_rows: int = BLOCK_ROWS
+    bars: DataFrame, recipes: list[Recipe], block_rows: int = BLOCK_ROWS, settle=None
 ) -> DataFrame:
-    """The bars' own columns, the recipes' outputs and the layout helpers; core rows only."""
-    df = layout(bars, before=max(r.reach for r in recipes), block_rows=block_rows)
-    df = core(apply_steps(df, recipes), keep=True)
+    """The bars' own columns, the recipes' outputs and the layout helpers; core rows only.
+
+    Running totals need a second look at the blocks; ``settle`` (for example
+    ``session.checkpointed``) may keep the first result for it.
+    """
+    own = [c for c in bars.columns if c not in HELPERS]
     outputs = [c for r in recipes for c in r.outputs]
     totals = [c for r in recipes for c in r.totals]
+    df = layout(bars, before=max(r.reach for r in recipes), block_rows=block_rows)
+    df = core(apply_steps(df, recipes), keep=True)
+    df = df.select(*own, *outputs, *[f"{c}__change" for c in totals], *HELPERS)
+    if settle is not None:
+        df = settle(df)
     if totals:
         df = across_blocks(
             df,
@@ -262,7 +285,6 @@ def lay_and_compute(
                 for c in totals
             },
         ).withColumns({c: F.col(c) + F.col(f"_before_{c}") for c in totals})
-    own = [c for c in bars.columns if c not in HELPERS]
     return df.select(*own, *outputs, *HELPERS)
 
 

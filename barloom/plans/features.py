@@ -14,15 +14,18 @@ from ..operators.relative import at_common_times, by_rank, pairs, related_found,
 from ..operators.scaling import fit_scaler, scale
 from ..operators.sequences import drop_last_row, sequences, shifted_target, time_split
 from ..schema import FEATURES, KEYS, RELATIVE, return_features
-from ..session import materialize
+from ..session import checkpointed, materialize
 
 RETURN_FEATURES = tuple(return_features())
 
 
 def feature_rows(bars: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Bars with the 23 features (prices as log returns), gaps filled; ``pos``/``n_rows`` are kept."""
+    """Bars with the 23 features (prices as log returns), gaps filled; ``pos``/``n_rows`` are kept.
+
+    The indicators are checkpointed: totals and gaps look at the blocks again, where they lie.
+    """
     recipes = [RECIPES[n]() for n in (*ALL, "log_returns")]
-    laid = lay_and_compute(bars, recipes, block_rows)
+    laid = lay_and_compute(bars, recipes, block_rows, checkpointed)
     extra = [c for c in RETURN_FEATURES if c not in bars.columns]
     laid = laid.select(*[c for c in bars.columns if c not in HELPERS], *extra, *HELPERS)
     return fill_laid_out(laid, RETURN_FEATURES).drop("block", "stripe", "is_core")

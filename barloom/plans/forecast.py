@@ -12,7 +12,7 @@ from ..operators.latest import last_row
 from ..operators.scaling import scaled
 from ..operators.sequences import sequences
 from ..schema import KEYS
-from ..session import materialize
+from ..session import checkpointed
 from ..sources.periods import interval_seconds
 
 _DAY = 86_400
@@ -78,7 +78,7 @@ def forecast(model: PipelineModel, latest: DataFrame, steps: int, interval: str,
     state is one row per ticker, kept between steps so that the plan does not grow.
     """
     times = future_times(latest, steps, interval)
-    state = materialize(latest.filter("seq is not null").withColumn("price", F.col("close")))
+    state = checkpointed(latest.filter("seq is not null").withColumn("price", F.col("close")))
     done = None
     for step in range(1, steps + 1):
         shown = F.flatten("seq") if dual else F.element_at("seq", -1)
@@ -90,7 +90,7 @@ def forecast(model: PipelineModel, latest: DataFrame, steps: int, interval: str,
         else:
             predicted = F.col("prediction")
             sentiment, confidence = return_sentiment(predicted)
-        moved = materialize(
+        moved = checkpointed(
             scored.withColumns({"step": F.lit(step), "sentiment": sentiment, "confidence": confidence})
             .withColumns(
                 {

@@ -33,6 +33,11 @@ def order_bars(spark, sf, interval="1d") -> DataFrame:
     )
 
 
+def order_weeks(spark, sf) -> DataFrame:
+    """Weeks have enough orders for bars that are rarely flat, so that the money flow is defined."""
+    return order_bars(spark, sf, "1wk")
+
+
 def user_bars(spark, sf, interval="1d") -> DataFrame:
     """Many tickers: one per event type and user."""
     ticks = table(spark, sf, "events").withColumn("ticker", F.concat_ws(":", "event_type", "user_id"))

@@ -35,6 +35,7 @@ def order_bars(start: str = "date_trunc('day', o_orderdate)") -> str:
 
 
 HOURLY, DAILY = event_bars(), order_bars()
+WEEKLY = order_bars("CAST(date_trunc('week', o_orderdate) AS TIMESTAMP)")
 BY_USER = event_bars("date_trunc('day', ts)", "event_type || ':' || user_id")
 
 PLACED = """p AS (SELECT *, row_number() OVER t - 1 AS i, count(*) OVER (PARTITION BY ticker) AS n,
@@ -306,7 +307,7 @@ ORACLE = {
     "bars_1h": bars_sql(HOURLY),
     "bars_1d": bars_sql(DAILY),
     "bars_5d": bars_sql(order_bars("time_bucket(INTERVAL 5 DAY, o_orderdate, TIMESTAMP '1970-01-01')")),
-    "bars_1wk": bars_sql(order_bars("CAST(date_trunc('week', o_orderdate) AS TIMESTAMP)")),
+    "bars_1wk": bars_sql(WEEKLY),
     "bars_1mo": bars_sql(order_bars("CAST(date_trunc('month', o_orderdate) AS TIMESTAMP)")),
     "bars_by_user": bars_sql(BY_USER),
     "roll_up_1d": bars_sql(event_bars("date_trunc('day', ts)")),
@@ -343,13 +344,13 @@ ORACLE = {
     "stochastic": rolled(HOURLY, "pct_k", "pct_d"),
     "williams_r": rolled(HOURLY, "williams_r"),
     "obv": rolled(HOURLY, "obv"),
-    "cmf": rolled(DAILY, "cmf"),
+    "cmf": rolled(WEEKLY, "cmf"),
     "pvt": f"WITH {HOURLY}, {ROLLED} SELECT ticker, ts, {r('pvt', digits=3)} FROM k",
     "adx": recursed(HOURLY, "plus_dm", "minus_dm", "plus_di", "minus_di", "dx", "adx"),
     "log_returns": f"""WITH {HOURLY}, {PLACED}, q AS (SELECT *, {_RETURNS} FROM p)
       SELECT ticker, ts, {rs(*[f'{c}_return' for c in PRICES])} FROM q""",
     "pct_change": f"WITH {HOURLY}, {PLACED} SELECT ticker, ts, {r('close / nullif(pc, 0) - 1', 'pct_change')} FROM p",
-    "indicators": f"WITH RECURSIVE {DAILY}, {ENRICHED} SELECT ticker, ts, {rs(*ALL_COLUMNS)} FROM z",
+    "indicators": f"WITH RECURSIVE {WEEKLY}, {ENRICHED} SELECT ticker, ts, {rs(*ALL_COLUMNS)} FROM z",
     "trend": trend(HOURLY),
     "trend_by_user": trend(BY_USER),
     "level_flags": f"WITH {HOURLY}, {FLAGS} SELECT ticker, ts, {rs(*OHLCV)}, is_support, is_resistance FROM flags",
@@ -410,10 +411,10 @@ ORACLE = {
       {_scaled_from('bars', ('close', 'volume'))} SELECT ticker, ts, {rs('close', 'volume')} FROM scaled""",
     # undoing leaves out the eps that scaling adds: a difference far below two digits
     "unscale": f"WITH {HOURLY} SELECT ticker, ts, {r('close', digits=2)} FROM bars",
-    "ffill_bfill": f"""WITH {DAILY}, {ROLLED}, gaps AS (SELECT ticker, ts, sma_50, cmf FROM k),
+    "ffill_bfill": f"""WITH {WEEKLY}, {ROLLED}, gaps AS (SELECT ticker, ts, sma_50, cmf FROM k),
       {_filled(('sma_50', 'cmf'))} SELECT ticker, ts, {rs('sma_50', 'cmf')} FROM filled""",
     "fill_constant": f"WITH {HOURLY}, {ROLLED} SELECT ticker, ts, {r('coalesce(rsi, 0)', 'rsi')} FROM k",
-    "null_report": f"WITH RECURSIVE {DAILY}, {ENRICHED}, counted AS ("
+    "null_report": f"WITH RECURSIVE {WEEKLY}, {ENRICHED}, counted AS ("
     + " UNION ALL ".join(
         f"SELECT ticker, '{c}' AS feature, count(*) - count({c}) AS n_null FROM z GROUP BY ticker" for c in FEATURES
     )
@@ -433,8 +434,8 @@ ORACLE = {
         (y_true - y_pred) / nullif(sqrt(mse), 0) AS c FROM naive JOIN scores USING (ticker))
       SELECT ticker, ts, CASE WHEN c > 0.5 THEN 'Bullish' WHEN c < -0.5 THEN 'Bearish' ELSE 'Uncertain' END AS direction,
       {r('abs(coalesce(c, 0))', 'score')} FROM judged""",
-    "features": f"WITH RECURSIVE {DAILY}, {FEATURE_ROWS} SELECT ticker, ts, {rs(*RETURN_FEATURES)} FROM filled",
-    "scaled_features": f"""WITH RECURSIVE {DAILY}, {FEATURE_ROWS}, {_robust('filled', RETURN_FEATURES)},
+    "features": f"WITH RECURSIVE {WEEKLY}, {FEATURE_ROWS} SELECT ticker, ts, {rs(*RETURN_FEATURES)} FROM filled",
+    "scaled_features": f"""WITH RECURSIVE {WEEKLY}, {FEATURE_ROWS}, {_robust('filled', RETURN_FEATURES)},
       {_scaled_from('filled', RETURN_FEATURES)} SELECT ticker, ts, {rs(*RETURN_FEATURES)} FROM scaled""",
     "training_sequences": f"""WITH RECURSIVE {HOURLY}, {FEATURE_ROWS}, {_robust('filled', ('close_return', 'rsi'))},
       {_scaled_from('filled', ('close_return', 'rsi'))}, {_labelled(2)},
@@ -446,7 +447,7 @@ ORACLE = {
       CAST(s.i - a.i + 5 AS INTEGER) AS step, {r('s.close_return', 'close_return')}, {r('s.rsi', 'rsi')}
       FROM placed a JOIN placed s ON s.ticker = a.ticker AND s.i BETWEEN a.i - 5 AND a.i - 1
       WHERE a.i >= 5 AND a.i < a.n - 1""",
-    "tree_rows_close": f"""WITH RECURSIVE {DAILY}, {ENRICHED}, ready AS (SELECT *,
+    "tree_rows_close": f"""WITH RECURSIVE {WEEKLY}, {ENRICHED}, ready AS (SELECT *,
         lead(close) OVER (PARTITION BY ticker ORDER BY ts) AS label FROM z),
       kept AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts) - 1 AS nth,
         count(*) OVER (PARTITION BY ticker) AS m FROM ready

@@ -32,7 +32,7 @@ from barloom.sources.related import related_bars
 from barloom.sources.store import load_model, load_params, save_model, save_params
 from barloom.streaming.bars import land, stream_bars, tick_stream
 
-from .fixtures import event_bars, order_bars, related, shown, table, user_bars
+from .fixtures import event_bars, order_bars, order_weeks, related, shown, table, user_bars
 
 AS_OF = datetime(2000, 3, 15, 12, 0)
 SEQ = 5
@@ -173,48 +173,43 @@ def _tree_close_rows(bars):
     )
 
 
-def _gbt(spark, sf):
-    rows = PF.tree_rows(order_bars(spark, sf), target="next_return", min_bars=1)
+def _gbt(bars):
+    rows = materialize(PF.tree_rows(bars, target="next_return", min_bars=1))
     return MO.fit_gbt(rows), rows
 
 
+def _forecast_state(bars, length=1):
+    features = materialize(PF.feature_rows(bars))
+    params = SC.fit_scaler(features, PF.RETURN_FEATURES)
+    scaled = PF.scaled_rows(features, params=params)
+    return FC.latest_state(scaled, bars, PF.RETURN_FEATURES, params, length)
+
+
 def _gbt_forecast(spark, sf, steps=3):
-    bars = order_bars(spark, sf)
-    rows = PF.tree_rows(bars, min_bars=1)
-    fitted = MO.fit_gbt(rows)
+    bars = order_weeks(spark, sf)
+    fitted, _ = _gbt(bars)
     folder = fresh_path(spark, "models")
     save_model(fitted.model, folder, "gbt", "1d", steps)
-    features = materialize(PF.feature_rows(bars))
-    params = SC.fit_scaler(features, PF.RETURN_FEATURES)
-    state = FC.latest_state(
-        PF.scaled_rows(features, params=params), bars, PF.RETURN_FEATURES, params
-    )
-    made = FC.forecast(load_model(folder, "gbt", "1d", steps), state, steps, "1d")
-    return shown(made)
+    model = load_model(folder, "gbt", "1d", steps)
+    return shown(FC.forecast(model, _forecast_state(bars), steps, "1d"))
 
 
 def _gbt_importance(spark, sf):
-    fitted, _ = _gbt(spark, sf)
+    fitted, _ = _gbt(order_weeks(spark, sf))
     return shown(MO.feature_importance(fitted, PF.RETURN_FEATURES, spark))
 
 
 def _gbt_validation(spark, sf):
     """Error per ticker on the rows held out."""
-    fitted, rows = _gbt(spark, sf)
+    fitted, rows = _gbt(order_weeks(spark, sf))
     scored = MO.predict_rows(fitted, rows.filter("not is_train"))
     return shown(M.metrics(scored, "label", "prediction"))
 
 
-def _dual_forecast(spark, sf, steps=3):
-    bars = order_bars(spark, sf)
-    length = 3
-    model = MO.fit_dual(PF.training_sequences(bars, length, min_bars=1), trees=20)
-    features = materialize(PF.feature_rows(bars))
-    params = SC.fit_scaler(features, PF.RETURN_FEATURES)
-    state = FC.latest_state(
-        PF.scaled_rows(features, params=params), bars, PF.RETURN_FEATURES, params, length
-    )
-    return shown(FC.forecast(model, state, steps, "1d", dual=True))
+def _dual_forecast(spark, sf, steps=3, length=3):
+    bars = order_weeks(spark, sf)
+    model = MO.fit_dual(PF.training_sequences(bars, length, min_bars=1))
+    return shown(FC.forecast(model, _forecast_state(bars, length), steps, "1d", dual=True))
 
 
 def _chart(bars):
@@ -263,13 +258,13 @@ QUERIES = {
     "stochastic": _on(event_bars, lambda b: _enriched(b, "stochastic")),
     "williams_r": _on(event_bars, lambda b: _enriched(b, "williams_r")),
     "obv": _on(event_bars, lambda b: _enriched(b, "obv")),
-    "cmf": _on(order_bars, lambda b: _enriched(b, "cmf")),
+    "cmf": _on(order_weeks, lambda b: _enriched(b, "cmf")),
     # sums and squares of large numbers carry fewer decimals than a double's 16 digits allow
     "pvt": _on(event_bars, lambda b: _enriched(b, "pvt"), digits=3),
     "adx": _on(event_bars, lambda b: _enriched(b, "adx")),
     "log_returns": _on(event_bars, lambda b: _enriched(b, "log_returns")),
     "pct_change": _on(event_bars, lambda b: _enriched(b, "pct_change")),
-    "indicators": _on(order_bars, _enriched),
+    "indicators": _on(order_weeks, _enriched),
     # trend, levels, summaries
     "trend": _on(event_bars, L.trend),
     "trend_by_user": _on(user_bars, L.trend),
@@ -305,9 +300,9 @@ QUERIES = {
     "minmax": _on(event_bars, _scaled("minmax")),
     "robust_scale": _on(order_bars, _scaled("robust")),
     "unscale": _on(event_bars, _restored),
-    "ffill_bfill": _on(order_bars, _indicator_gaps),
+    "ffill_bfill": _on(order_weeks, _indicator_gaps),
     "fill_constant": _on(event_bars, lambda b: FI.fill_constant(_enriched(b, "rsi"), 0.0, ("rsi",))),
-    "null_report": _on(order_bars, _null_report),
+    "null_report": _on(order_weeks, _null_report),
     # sequences
     "split": _on(event_bars, SQ.time_split),
     "sequences_labelled": _on(event_bars, lambda b: _steps(SQ.sequences(b, ("close", "volume"), SEQ))),
@@ -318,11 +313,11 @@ QUERIES = {
     "combined_loss": _on(event_bars, _loss),
     "confidence": _on(order_bars, _confidence),
     # features and forecasts
-    "features": _on(order_bars, _features),
-    "scaled_features": _on(order_bars, _scaled_features),
+    "features": _on(order_weeks, _features),
+    "scaled_features": _on(order_weeks, _scaled_features),
     "training_sequences": _on(event_bars, _training_sequences),
     "related_sequences": _related_sequences,
-    "tree_rows_close": _on(order_bars, _tree_close_rows),
+    "tree_rows_close": _on(order_weeks, _tree_close_rows),
     "future_times": _on(order_bars, lambda b: FC.future_times(L.last_row(b, ("ts",)), 7, "1d")),
     "chart_feed": _on(event_bars, _chart),
     "overlay_feed": _on(event_bars, lambda b: FE.overlay_feed(I.indicators(b, ("sma", "ema", "bollinger", "rsi")))),
