@@ -12,14 +12,17 @@ from .layout import BLOCK_ROWS, HELPERS, across_blocks, all_blocks, core, earlie
 
 def fill_laid_out(df: DataFrame, cols, keys=KEYS) -> DataFrame:
     """``fill`` for core rows of a laid-out frame; keeps the layout."""
-    known = {c: F.when(F.col(c).isNotNull(), F.col("pos")) for c in cols}
-    edges = {f"_last_{c}": F.max_by(c, known[c]) for c in cols}
-    edges |= {f"_first_{c}": F.min_by(c, known[c]) for c in cols}
+    own = df.columns
+    seen = running(keys)
+    df = df.withColumns(
+        {f"_down_{c}": F.last(c, ignorenulls=True).over(seen) for c in cols}
+        | {f"_head_{c}": F.first(c, ignorenulls=True).over(seen) for c in cols}
+    )
+    edges = {f"_last_{c}": F.col(f"_down_{c}") for c in cols}
+    edges |= {f"_first_{c}": F.col(f"_head_{c}") for c in cols}
     carried = {f"_prev_{c}": F.last(f"_last_{c}", ignorenulls=True).over(earlier_blocks(keys)) for c in cols}
-    # a gap with nothing before it starts the ticker, so it takes the ticker's first value
+    # a gap with nothing before it starts the key, so it takes the key's first value
     carried |= {f"_start_{c}": F.first(f"_first_{c}", ignorenulls=True).over(all_blocks(keys)) for c in cols}
-    own = df.columns
-    df = df.withColumns({f"_down_{c}": F.last(c, ignorenulls=True).over(running(keys)) for c in cols})
     df = across_blocks(df, edges, carried, keys)
     filled = {c: F.coalesce(f"_down_{c}", f"_prev_{c}", f"_start_{c}") for c in cols}
     return df.withColumns(filled).select(*own)

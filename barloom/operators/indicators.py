@@ -273,13 +273,13 @@ def lay_and_compute(
     totals = [c for r in recipes for c in r.totals]
     df = layout(bars, before=max(r.reach for r in recipes), block_rows=block_rows)
     df = core(apply_steps(df, recipes), keep=True)
-    df = df.select(*own, *outputs, *[f"{c}__change" for c in totals], *HELPERS)
+    df = df.select(*own, *outputs, *HELPERS)
     if settle is not None:
         df = settle(df)
     if totals:
         df = across_blocks(
             df,
-            {f"_sum_{c}": F.sum(f"{c}__change") for c in totals},
+            {f"_sum_{c}": F.col(c) for c in totals},
             {
                 f"_before_{c}": F.coalesce(F.sum(f"_sum_{c}").over(earlier_blocks()), F.lit(0.0))
                 for c in totals

@@ -5,7 +5,8 @@ into blocks of ``block_rows`` consecutive bars, and each block carries the few n
 its frames reach into. Windows partitioned by (ticker, block) then give the same answer.
 
 Columns added: ``pos`` (0-based place within the key), ``n_rows`` (bars of the key), ``block``,
-``stripe`` (see ``functions.ewm``) and ``is_core`` (false for the borrowed neighbours).
+``stripe`` (see ``functions.ewm``), ``is_core`` (false for the borrowed neighbours) and
+``is_block_end`` (the last core row of its block).
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from ..schema import KEYS
 
 BLOCK_ROWS = 16_384
 BUCKET_SECONDS = 30 * 86_400
-HELPERS = ("pos", "n_rows", "block", "stripe", "is_core")
+HELPERS = ("pos", "n_rows", "block", "stripe", "is_core", "is_block_end")
 
 
 def positions(df: DataFrame, keys=KEYS, order: str = "ts", bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
@@ -57,10 +58,17 @@ def layout(
     placed = df if "pos" in df.columns else positions(df, keys)
     first = F.greatest(F.floor((F.col("pos") - after) / block_rows), F.lit(0))
     last = F.floor(F.least(F.col("pos") + before, F.col("n_rows") - 1) / block_rows)
+    is_core = F.floor(F.col("pos") / block_rows) == F.col("block")
+    ends = ((F.col("pos") + 1) % block_rows == 0) | (F.col("pos") == F.col("n_rows") - 1)
     return (
         placed.withColumn("block", F.explode(F.sequence(first, last)))
-        .withColumn("is_core", F.floor(F.col("pos") / block_rows) == F.col("block"))
-        .withColumn("stripe", F.floor(F.col("pos") / STRIPE_ROWS))
+        .withColumns(
+            {
+                "is_core": is_core,
+                "is_block_end": is_core & ends,
+                "stripe": F.floor(F.col("pos") / STRIPE_ROWS),
+            }
+        )
         .repartition(*keys, "block")
     )
 
@@ -75,6 +83,7 @@ def one_block(df: DataFrame, keys=KEYS, order: str = "ts") -> DataFrame:
             "block": F.lit(0).cast("long"),
             "stripe": F.lit(0).cast("long"),
             "is_core": F.lit(True),
+            "is_block_end": F.lit(False),
         }
     )
 
@@ -88,13 +97,13 @@ def core(df: DataFrame, keep: bool = False) -> DataFrame:
 def across_blocks(df: DataFrame, edges: dict, carried: dict, keys=KEYS) -> DataFrame:
     """Add to every row what the other blocks of its key contribute.
 
-    ``edges`` are aggregates that summarise one block, ``carried`` are window expressions over
-    the summaries (ordered by block). Only one summary row per block meets its key's others.
+    ``edges`` are read from the last row of each block, where running expressions have seen the
+    whole block; ``carried`` are windows over them (ordered by block). Only one row per block
+    meets its key's others.
     """
     summary = (
-        df.filter("is_core")
-        .groupBy(*keys, "block")
-        .agg(*[e.alias(n) for n, e in edges.items()])
+        df.filter("is_block_end")
+        .select(*keys, "block", *[e.alias(n) for n, e in edges.items()])
         .select(*keys, "block", *[c.alias(n) for n, c in carried.items()])
     )
     return df.join(summary, [*keys, "block"])

@@ -15,85 +15,81 @@ _ACCURACY = 10_000
 _MARGIN = 3.0 / _ACCURACY
 
 
-def quantiles(df: DataFrame, cols, probs, keys=KEYS) -> DataFrame:
-    """(key, feature, prob, value), linear between neighbouring ranks; reads ``df`` three times."""
-    cols, probs = list(cols), [float(p) for p in probs]
+def quantiles(df: DataFrame, cols, probs, keys=KEYS, also=None) -> DataFrame:
+    """(key, feature, prob, value), linear between neighbouring ranks; reads ``df`` three times.
+
+    ``also`` names further aggregates of a column (functions of its name) to return beside it.
+    """
+    cols, probs, also = list(cols), [float(p) for p in probs], dict(also or {})
     ends = [e for p in probs for e in (max(p - _MARGIN, 0.0), min(p + _MARGIN, 1.0))]
-    sketch = df.groupBy(*keys).agg(
-        *[F.percentile_approx(c, ends, _ACCURACY).alias(f"_ends_{c}") for c in cols],
-        *[F.count(c).alias(f"_n_{c}") for c in cols],
+    wanted = F.array(
+        *[
+            F.struct(F.lit(p).alias("prob"), F.col("ends")[2 * i].alias("lo"), F.col("ends")[2 * i + 1].alias("hi"))
+            for i, p in enumerate(probs)
+        ]
     )
-    bracketed = df.select(*keys, *cols).join(sketch, list(keys))
-
-    def end(c, i, high):
-        return F.col(f"_ends_{c}")[2 * i + high]
-
-    wanted = [(c, i) for c in cols for i in range(len(probs))]
-    counted = bracketed.groupBy(*keys).agg(
-        *[F.count_if(F.col(c) < end(c, i, 0)).alias(f"_below_{c}_{i}") for c, i in wanted],
-        *[F.count_if(F.col(c) <= end(c, i, 1)).alias(f"_upto_{c}_{i}") for c, i in wanted],
-        *[F.first(f"_ends_{c}").alias(f"_ends_{c}") for c in cols],
-        *[F.first(f"_n_{c}").alias(f"_n_{c}") for c in cols],
+    # one row per key, feature and probability: a small table from here on
+    brackets = (
+        df.groupBy(*keys)
+        .agg(
+            *[
+                F.struct(
+                    F.percentile_approx(F.col(c).cast("double"), ends, _ACCURACY).alias("ends"),
+                    F.count(c).alias("n"),
+                    *[f(c).alias(name) for name, f in also.items()],
+                ).alias(c)
+                for c in cols
+            ]
+        )
+        .unpivot(list(keys), cols, "feature", "s")
+        .select(*keys, "feature", "s.*")
+        .select(*keys, "feature", "n", *also, F.explode(wanted).alias("w"))
+        .select(*keys, "feature", "n", *also, "w.*")
     )
-
-    def bracket(c, i):
-        n = F.col(f"_n_{c}")
-        rank = F.lit(probs[i]) * (n - 1)
-        low = F.floor(rank)
-        high = F.least(low + 1, n - 1)
-        # a key too small for the margin may miss its ranks; then all of its values take part
-        held = (F.col(f"_below_{c}_{i}") <= low) & (F.col(f"_upto_{c}_{i}") > high)
-        return F.struct(
-            F.when(held, end(c, i, 0)).otherwise(F.lit(float("-inf"))).alias("from"),
-            F.when(held, end(c, i, 1)).otherwise(F.lit(float("inf"))).alias("to"),
-            F.when(held, F.col(f"_below_{c}_{i}")).otherwise(F.lit(0)).alias("below"),
+    values = (
+        df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
+        .unpivot(list(keys), cols, "feature", "x")
+        .filter("x is not null")
+    )
+    by = [*keys, "feature", "prob"]
+    below, rank = F.col("below"), F.col("prob") * (F.col("n") - 1)
+    low, high = F.floor(rank), F.least(F.floor(rank) + 1, F.col("n") - 1)
+    # a key too small for the margin may miss its ranks; then all of its values take part
+    held = (below <= low) & (F.col("upto") > high)
+    checked = (
+        values.join(brackets.select(*by, "n", "lo", "hi"), [*keys, "feature"])
+        .groupBy(*by, "n", "lo", "hi")
+        .agg(
+            F.count_if(F.col("x") < F.col("lo")).alias("below"),
+            F.count_if(F.col("x") <= F.col("hi")).alias("upto"),
+        )
+        .select(
+            *by,
+            F.when(held, F.col("lo")).otherwise(F.lit(float("-inf"))).alias("lo"),
+            F.when(held, F.col("hi")).otherwise(F.lit(float("inf"))).alias("hi"),
+            F.when(held, below).otherwise(F.lit(0)).alias("below"),
             low.alias("low"),
             high.alias("high"),
             (rank - low).alias("part"),
         )
-
-    brackets = counted.select(*keys, *[bracket(c, i).alias(f"_b_{c}_{i}") for c, i in wanted])
-    candidates = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("feature"),
-                F.lit(probs[i]).alias("prob"),
-                F.col(c).cast("double").alias("x"),
-                F.col(f"_b_{c}_{i}").alias("b"),
-            )
-            for c, i in wanted
-        ]
     )
-    inside = F.filter(candidates, lambda e: (e["x"] >= e["b"]["from"]) & (e["x"] <= e["b"]["to"]))
-    values = (
-        df.select(*keys, *cols)
-        .join(brackets, list(keys))
-        .select(*keys, F.explode(inside).alias("e"))
-        .groupBy(*keys, "e.feature", "e.prob", "e.x", "e.b")
+    inside = (
+        values.join(checked.select(*by, "lo", "hi"), [*keys, "feature"])
+        .filter((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
+        .groupBy(*by, "x")
         .agg(F.count(F.lit(1)).alias("times"))
     )
-    upwards = (
-        Window.partitionBy(*keys, "feature", "prob")
-        .orderBy("x")
-        .rowsBetween(Window.unboundedPreceding, 0)
+    upwards = Window.partitionBy(*by).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    placed = (
+        inside.withColumn("_upto", F.sum("times").over(upwards))
+        .join(checked.drop("lo", "hi"), by)
+        .withColumn("after", F.col("below") + F.col("_upto"))
     )
-    placed = values.withColumn("after", F.col("b.below") + F.sum("times").over(upwards))
     first = F.col("after") - F.col("times")
 
     def at(rank):
         return F.max(F.when((first <= rank) & (rank < F.col("after")), F.col("x")))
 
-    return (
-        placed.groupBy(*keys, "feature", "prob")
-        .agg(
-            at(F.col("b.low")).alias("_low"),
-            at(F.col("b.high")).alias("_high"),
-            F.first("b.part").alias("_part"),
-        )
-        .select(
-            *keys,
-            "feature",
-            "prob",
-            (F.col("_low") + F.col("_part") * (F.col("_high") - F.col("_low"))).alias("value"),
-        )
-    )
+    found = placed.groupBy(*by, "part").agg(at(F.col("low")).alias("_low"), at(F.col("high")).alias("_high"))
+    value = F.col("_low") + F.col("part") * (F.col("_high") - F.col("_low"))
+    return brackets.select(*by, *also).join(found.select(*by, value.alias("value")), by, "left")

@@ -46,19 +46,15 @@ def fit_scaler(
     if kind == "minmax":
         return _pairs(df, cols, F.min, F.max, PARAMS[kind], keys)
     ends = (
-        quantiles(df, cols, (LOW_PROB, HIGH_PROB), keys)
+        quantiles(df, cols, (LOW_PROB, HIGH_PROB), keys, also={"abs_max": lambda c: F.max(F.abs(c))})
         .groupBy(*keys, "feature")
         .agg(
             F.max(F.when(F.col("prob") == LOW_PROB, F.col("value"))).alias("f_min"),
             F.max(F.when(F.col("prob") == HIGH_PROB, F.col("value"))).alias("f_max"),
+            F.max("abs_max").alias("abs_max"),
         )
     )
-    largest = (
-        df.groupBy(*keys)
-        .agg(*[F.max(F.abs(c)).alias(c) for c in cols])
-        .unpivot(list(keys), list(cols), "feature", "abs_max")
-    )
-    return widen_flat(ends.join(largest, [*keys, "feature"])).drop("abs_max")
+    return widen_flat(ends).drop("abs_max")
 
 
 def widen_flat(params: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def feature_rows(bars: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     laid = lay_and_compute(bars, recipes, block_rows, checkpointed)
     extra = [c for c in RETURN_FEATURES if c not in bars.columns]
     laid = laid.select(*[c for c in bars.columns if c not in HELPERS], *extra, *HELPERS)
-    return fill_laid_out(laid, RETURN_FEATURES).drop("block", "stripe", "is_core")
+    return fill_laid_out(laid, RETURN_FEATURES).drop("block", "stripe", "is_core", "is_block_end")
 
 
 def scaled_rows(
@@ -63,7 +63,7 @@ def training_sequences(
     features = materialize(features)
     # the label needs the unscaled prices; only the features named in ``cols`` are replaced
     rows = next_day_label(features, min_bars)
-    rows = scaled_rows(rows, cols, params=fit_scaler(features, cols, "robust", fit_on))
+    rows = scaled_rows(rows, cols, params=materialize(fit_scaler(features, cols, "robust", fit_on)))
     kept = rows.select(
         *KEYS, "ts", "close", "next_return", "sentiment", *cols, "pos", "n_rows",
         (F.col("pos") == F.col("n_rows") - 1).alias("_is_last"),
@@ -85,18 +85,23 @@ def tree_rows(
     """
     if target == "close":
         recipes = [RECIPES[n]() for n in ALL]
-        raw = shifted_target(lay_and_compute(bars, recipes).drop("block", "stripe", "is_core"), k)
-        rows = raw.withColumnRenamed("target", "label")
-        cols = FEATURES
-    else:
-        features = materialize(feature_rows(bars))
-        rows = labelled_rows(features, min_bars).withColumnRenamed("next_return", "label")
-        fitted_on = time_split(rows.drop("pos", "n_rows")) if fit_on == "train" else features
-        rows = scaled_rows(rows, params=fit_scaler(fitted_on, RETURN_FEATURES, "robust", fit_on))
-        cols = RETURN_FEATURES
+        raw = checkpointed(lay_and_compute(bars, recipes).drop("block", "stripe", "is_core", "is_block_end"))
+        rows = shifted_target(raw, k).withColumnRenamed("target", "label")
+        return _vectors(_split_whole(rows, FEATURES), FEATURES)
+    features = materialize(feature_rows(bars))
+    rows = labelled_rows(features, min_bars).withColumnRenamed("next_return", "label")
+    rows = materialize(_split_whole(rows, RETURN_FEATURES))
+    params = fit_scaler(rows if fit_on == "train" else features, RETURN_FEATURES, "robust", fit_on)
+    return _vectors(scaled_rows(rows, params=materialize(params)), RETURN_FEATURES)
+
+
+def _split_whole(rows: DataFrame, cols) -> DataFrame:
     kept = rows.select(*KEYS, "ts", "close", "label", *[c for c in cols if c != "close"])
-    kept = time_split(kept.na.drop("any"))
-    return kept.select(
+    return time_split(kept.na.drop("any"))
+
+
+def _vectors(rows: DataFrame, cols) -> DataFrame:
+    return rows.select(
         *KEYS, "ts", "close", "label", "is_train", array_to_vector(F.array(*cols)).alias("features")
     )
 
@@ -110,12 +115,14 @@ def related_features(
     the join, the relative columns after it.
     """
     found = related_found(bars, related, k)
-    own = feature_rows(bars, block_rows).drop("pos", "n_rows")
+    own = materialize(feature_rows(bars, block_rows).drop("pos", "n_rows"))
     relative_cols = [f"{c}_stock_{i}" for i in range(1, k + 1) for c in RELATIVE]
     their_cols = [f"related_{i}_{c}" for i in range(1, k + 1) for c in RETURN_FEATURES]
 
     prices = bars.select(*KEYS, "ts", "close", "volume")
-    measured = at_common_times(relative(pairs(prices, found), block_rows=block_rows), found)
+    measured = at_common_times(
+        checkpointed(relative(pairs(prices, found), block_rows=block_rows)), found
+    )
     beside_main = by_rank(measured, RELATIVE, k, lambda i, c: f"{c}_stock_{i}")
 
     theirs = own.select(F.col("ticker").alias("related_ticker"), "ts", *RETURN_FEATURES).join(
@@ -123,7 +130,7 @@ def related_features(
     )
     beside_related = by_rank(theirs, RETURN_FEATURES, k, lambda i, c: f"related_{i}_{c}")
 
-    joined = own.join(beside_main, [*KEYS, "ts"]).join(beside_related, [*KEYS, "ts"])
+    joined = materialize(own.join(beside_main, [*KEYS, "ts"]).join(beside_related, [*KEYS, "ts"]))
     return fill(joined, relative_cols, block_rows=block_rows), [
         *RETURN_FEATURES,
         *relative_cols,
@@ -146,8 +153,9 @@ def related_sequences(
     """
     rows, cols = related_features(bars, related, k, block_rows)
     rows = materialize(rows.na.drop("any", subset=cols))
+    params = materialize(fit_scaler(rows, cols, "minmax"))
     labelled = next_day_opening(next_day_label(rows), opening_bars)
-    labelled = scale(labelled, fit_scaler(rows, cols, "minmax"), cols, "minmax")
+    labelled = materialize(scale(labelled, params, cols, "minmax"))
     kept = labelled.select(
         *KEYS, "ts", "close", "next_return", "sentiment", "next_opening_avg", *cols
     )

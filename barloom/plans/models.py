@@ -24,15 +24,18 @@ class Fitted(NamedTuple):
     validation_mse: float
 
 
-def best_round(errors: list[float], patience: int) -> int:
-    """Index of the best round when training stops after ``patience`` rounds without a better one."""
+def best_round(errors: list[float], patience: int) -> tuple[int, bool]:
+    """The best round when training stops after ``patience`` rounds without a better one.
+
+    Also tells whether it did stop, or ran out of rounds.
+    """
     best = 0
     for i, e in enumerate(errors):
         if e < errors[best]:
             best = i
         elif i - best >= patience:
-            break
-    return best
+            return best, True
+    return best, False
 
 
 def fit_gbt(
@@ -42,18 +45,26 @@ def fit_gbt(
     trees: int = TREES,
     depth: int = DEPTH,
 ) -> Fitted:
-    """Boosted trees on the rows with ``is_train``; the others choose how many trees to keep."""
+    """Boosted trees on the rows with ``is_train``; the others choose how many trees to keep.
+
+    The same seed grows the same first trees, so the fit starts small and is repeated with twice
+    the rounds only while the held-out error still improves.
+    """
     shared_dir(rows.sparkSession)
     used = materialize(rows.select("features", F.col(label).alias("label"), "is_train"))
     train, held_out = used.filter("is_train"), used.filter("not is_train")
     gbt = GBTRegressor(
         featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=RATE, seed=SEED
     )
-    model = gbt.fit(train)
-    errors = model.evaluateEachIteration(held_out, "squared")
-    best = best_round(errors, patience)
-    if best + 1 < len(errors):
-        # the same seed grows the same first trees
+    rounds = min(trees, 2 * patience)
+    while True:
+        model = gbt.copy({gbt.maxIter: rounds}).fit(train)
+        errors = model.evaluateEachIteration(held_out, "squared")
+        best, stopped = best_round(errors, patience)
+        if stopped or rounds == trees:
+            break
+        rounds = min(trees, 2 * rounds)
+    if best + 1 < rounds:
         model = gbt.copy({gbt.maxIter: best + 1}).fit(train)
     return Fitted(PipelineModel([model]), best + 1, errors[best])
 

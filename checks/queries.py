@@ -180,7 +180,7 @@ def _gbt(bars):
 
 def _forecast_state(bars, length=1):
     features = materialize(PF.feature_rows(bars))
-    params = SC.fit_scaler(features, PF.RETURN_FEATURES)
+    params = materialize(SC.fit_scaler(features, PF.RETURN_FEATURES))
     scaled = PF.scaled_rows(features, params=params)
     return FC.latest_state(scaled, bars, PF.RETURN_FEATURES, params, length)
 
