@@ -61,8 +61,10 @@ def training_sequences(
     if fit_on == "train":
         features = time_split(features)
     features = materialize(features)
+    # after filling, a feature is NULL either never or for all rows of a ticker too short for it
+    whole = features.na.drop("any", subset=list(cols))
     # the label needs the unscaled prices; only the features named in ``cols`` are replaced
-    rows = next_day_label(features, min_bars)
+    rows = next_day_label(whole, min_bars)
     rows = scaled_rows(rows, cols, params=materialize(fit_scaler(features, cols, "robust", fit_on)))
     kept = rows.select(
         *KEYS, "ts", "close", "next_return", "sentiment", *cols, "pos", "n_rows",

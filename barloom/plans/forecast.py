@@ -56,10 +56,14 @@ def class_sentiment(p_bullish: Column, p_bearish: Column) -> tuple[Column, Colum
 def latest_state(
     scaled_features: DataFrame, closes: DataFrame, cols, params: DataFrame, length: int = 1
 ) -> DataFrame:
-    """Where a forecast starts: per ticker the last scaled rows, close, time and first-column range."""
+    """Where a forecast starts: per ticker the last scaled rows, close, time and first-column range.
+
+    A ticker too short for some feature has no rows to start from.
+    """
     ends = params.filter(F.col("feature") == cols[0]).select(*KEYS, "f_min", "f_max")
     newest = last_row(closes, ("close", "ts"))
     seqs = sequences(scaled_features, cols, length, "latest").drop("ts")
+    seqs = seqs.filter(~F.exists(F.flatten("seq"), lambda x: x.isNull()))
     return newest.join(seqs, list(KEYS), "left").join(ends, list(KEYS), "left")
 
 

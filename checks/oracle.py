@@ -446,7 +446,7 @@ ORACLE = {
       SELECT a.ticker, a.ts, {r('a.next_return', 'next_return')}, CAST(a.next_return <= 0 AS INTEGER) AS sentiment,
       CAST(s.i - a.i + 5 AS INTEGER) AS step, {r('s.close_return', 'close_return')}, {r('s.rsi', 'rsi')}
       FROM placed a JOIN placed s ON s.ticker = a.ticker AND s.i BETWEEN a.i - 5 AND a.i - 1
-      WHERE a.i >= 5 AND a.i < a.n - 1""",
+      WHERE a.i >= 5 AND a.i < a.n - 1 AND a.ticker IN (SELECT ticker FROM whole)""",
     "tree_rows_close": f"""WITH RECURSIVE {WEEKLY}, {ENRICHED}, ready AS (SELECT *,
         lead(close) OVER (PARTITION BY ticker ORDER BY ts) AS label FROM z),
       kept AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts) - 1 AS nth,

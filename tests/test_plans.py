@@ -66,9 +66,7 @@ def test_tree_forecast(fitted, spark):
     again = MO.fit_gbt(rows, trees=3, depth=2)
     assert fit.validation_mse == again.validation_mse and 1 <= fit.trees <= 3
     assert MO.feature_importance(fit, PF.RETURN_FEATURES, spark).count() == 23
-    state = FC.latest_state(
-        scaled.filter("ticker <> 'short'"), bars, PF.RETURN_FEATURES, params
-    )
+    state = FC.latest_state(scaled, bars, PF.RETURN_FEATURES, params)
     got = FC.forecast(fit.model, state, 3, "1h").toPandas().set_index(["ticker", "step"])
     assert len(got) == 7
     alone = got.loc[("short", 1)]
@@ -89,9 +87,10 @@ def test_tree_forecast(fitted, spark):
 def test_dual_forecast(fitted):
     bars, _, params, scaled = fitted
     model = MO.fit_dual(PF.training_sequences(bars, 2), trees=2, depth=2, max_iter=5)
-    state = FC.latest_state(scaled.filter("ticker <> 'short'"), bars, PF.RETURN_FEATURES, params, 2)
-    got = FC.forecast(model, state.filter("ticker <> 'short'"), 2, "1h", dual=True).toPandas()
-    assert len(got) == 4 and got.confidence.between(0.5, 1).all()
+    state = FC.latest_state(scaled, bars, PF.RETURN_FEATURES, params, 2)
+    got = FC.forecast(model, state, 2, "1h", dual=True).toPandas()
+    assert len(got) == 5 and got.confidence.between(0.5, 1).all()
+    assert set(got[got.ticker == "short"].sentiment) == {"Neutral"}
 
 
 def test_the_newest_row_moves_on(spark):
