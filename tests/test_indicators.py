@@ -121,7 +121,7 @@ def test_trend_and_summary(to_bars):
 def test_plans_stay_in_the_jvm_and_in_blocks(to_bars, spark):
     bars = to_bars(walk("a", 100, 1))
     plan = I.indicators(bars)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan.replace("FromPython", "") or "EvalPython" not in plan
+    assert "EvalPython" not in plan and "InPandas" not in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
     limited = trend(bars)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in limited and "Partial" in limited

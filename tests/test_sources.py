@@ -40,6 +40,10 @@ def test_ticks_at_the_same_time_follow_their_id(spark):
     first, second = build_bars(ticks, "1h").orderBy("ts").collect()
     assert (first.open, first.high, first.low, first.close, first.volume) == (4.0, 7.0, 4.0, 6.0, 4.0)
     assert second.ts == datetime(2024, 1, 1, 10) and second.close == 1.0
+    unique = build_bars(ticks.filter("id not in (2, 4)"), "1h", id=None)
+    assert unique.orderBy("ts").first().close == 7.0
+    plan = unique._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
 
 
 def test_bad_numbers_become_null(to_bars):
