@@ -9,6 +9,8 @@ from barloom.session import fresh_path
 
 #: The words of a text: runs of anything but blank, tab, line ends, vertical tab and form feed.
 BLANKS = r"[\x20\x09-\x0D]+"
+#: A table of at most so many narrow rows may be sent to every executor.
+FEW = 200_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,3 +40,11 @@ def lower_ascii(text: Column) -> Column:
 def words_of(text: Column) -> Column:
     """The words of a text in order; none for a text of blanks."""
     return F.filter(F.split(text, BLANKS), lambda w: w != "")
+
+
+def few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows, else as it is, and the join shuffles.
+
+    Counting stops at the bound; pass a table or a checkpoint, not a long plan.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

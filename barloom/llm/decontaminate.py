@@ -19,16 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import kept, lower_ascii, text_of, words_of
+from barloom.llm.common import few, kept, lower_ascii, text_of, words_of
 
 BITS, BLOCK = 64, 8
 RADIUS = 23
-SMALL = 500_000
-
-
-def _few(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if it has few rows; the join shuffles otherwise."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
 def _hash_at(words: Column, i: Column, size: int) -> Column:
@@ -90,14 +84,14 @@ def matches(
     for n in lengths:
         each = F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i, n=n: F.xxhash64(F.array_join(F.slice("w", i, n), " "), F.lit(n))))
         runs.append(rows.select("address", F.size("w").alias("words"), F.posexplode(each).alias("pos", "hash")))
-    found = [r.join(_few(places), "hash").select("address", "words", "pos", F.explode("in").alias("p")) for r in runs]
+    found = [r.join(few(places), "hash").select("address", "words", "pos", F.explode("in").alias("p")) for r in runs]
     windows = found[0]
     for more in found[1:]:
         windows = windows.unionByName(more)
     windows = windows.select("address", (F.col("pos") - F.col("p.at")).alias("start"), F.col("p.n").alias("n"), "words").where("start >= 0 and start + n <= words")
     windows = windows.groupBy("address").agg(F.collect_set(F.struct("start", "n")).alias("windows"))
     windows = kept(windows, "windows")
-    texts = docs.select(F.md5(text_of(text)).alias("address"), text_of(text).alias("t")).join(_few(windows), "address").dropDuplicates(["address"])
+    texts = docs.select(F.md5(text_of(text)).alias("address"), text_of(text).alias("t")).join(few(windows), "address").dropDuplicates(["address"])
     texts = texts.select("address", "windows", words_of(lower_ascii(F.col("t"))).alias("w"))
     cut = texts.select("address", "w", F.explode("windows").alias("p")).select("address", "p.start", "p.n", F.slice("w", F.col("p.start") + 1, F.col("p.n")).alias("w"))
     cut = cut.select("address", "start", "n", shingles(F.col("w"), size).alias("own"))
@@ -119,11 +113,11 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     """doc_id, item_id, similarity, start_word, n_words of every row that holds an item."""
     found = kept(matches(docs, items, text=text, **options), "matches")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.md5(text_of(text)).alias("address"))
-    return rows.join(_few(found), "address").select("doc_id", "item_id", "similarity", "start_word", "n_words")
+    return rows.join(few(found), "address").select("doc_id", "item_id", "similarity", "start_word", "n_words")
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
     found = kept(matches(docs, items, text=text, **options).select(F.col("address").alias("__address")).distinct(), "matches")
     rows = docs.withColumn("__address", F.md5(text_of(text)))
-    return rows.join(_few(found), "__address", "left_anti").select(docs.columns)
+    return rows.join(few(found), "__address", "left_anti").select(docs.columns)

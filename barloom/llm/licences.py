@@ -24,7 +24,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import kept, lower_ascii, text_of
+from barloom.llm.common import few, kept, lower_ascii, text_of
 
 # Licence names and the wording that declares them.
 TEMPLATES = {
@@ -49,12 +49,6 @@ TEMPLATES = {
 }
 TERM = r"[\p{L}\p{N}]+"
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
-SMALL = 200_000
-
-
-def _few(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if it has few rows; the join shuffles otherwise."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
 def _terms(text: str) -> Counter:
@@ -122,7 +116,7 @@ def declared(texts: DataFrame, templates: dict[str, str] = TEMPLATES, least: flo
     parts = F.filter(F.split("text", r"[\r\n]+"), lambda x: x.rlike(anchor))
     units = kept(texts.select("address", F.explode(F.array_distinct(F.array_append(parts, F.col("text")))).alias("unit")).distinct(), "units")
     scored = kept(by_unit(units.select("unit"), templates, least), "scored")
-    best = units.join(_few(scored), "unit").groupBy("address").agg(_best())
+    best = units.join(few(scored), "unit").groupBy("address").agg(_best())
     return best.select("address", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("similarity"))
 
 
@@ -135,7 +129,7 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
     """doc_id, path, licence, similarity, origin (own, inherited or null) and folder (of an inherited one) of every row."""
     rows = files.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(path).cast("string").alias("path"), text_of(text).alias("text"))
     own = kept(declared(rows.select("text"), templates, least), "declared")
-    rows = rows.select("doc_id", "path", F.md5("text").alias("address")).join(_few(own), "address", "left").drop("address")
+    rows = rows.select("doc_id", "path", F.md5("text").alias("address")).join(few(own), "address", "left").drop("address")
     rows = kept(rows.withColumn("folder", folder_of(F.col("path"))), "files")
     named = F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE)
     given = rows.where(named & F.col("licence").isNotNull()).groupBy("folder").agg(_best())
@@ -145,7 +139,7 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
     depth = folders.select("folder", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("depth"), parts.alias("parts"))
     above = depth.select("folder", "depth", F.array_join(F.slice("parts", 1, F.col("depth")), "/").alias("above")).where("depth > 0 or folder = ''")
     near = above.join(given, "above").groupBy("folder").agg(F.max_by(F.struct("above", "theirs.licence", "theirs.similarity"), "depth").alias("near"))
-    joined = rows.join(_few(kept(near, "near")), "folder", "left")
+    joined = rows.join(few(kept(near, "near")), "folder", "left")
     origin = F.when(F.col("licence").isNotNull(), "own").when(F.col("near").isNotNull(), "inherited")
     return joined.select(
         "doc_id", "path", F.coalesce("licence", "near.licence").alias("licence"), F.coalesce("similarity", "near.similarity").alias("similarity"),

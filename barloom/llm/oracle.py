@@ -4,9 +4,9 @@ from __future__ import annotations
 
 TOPK = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
@@ -17,10 +17,10 @@ FROM s QUALIFY rank <= 10
 
 NEAR_DEDUP = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
 ), s AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i : i + 3], ' '))) END AS s FROM w
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) END AS s FROM w
 ), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
 c AS (SELECT a.doc_id AS u, b.doc_id AS v, a.n + b.n - count(*) AS united, count(*) AS common FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n),
 l AS (SELECT u, v FROM c WHERE 100 * common >= 80 * united),
@@ -33,7 +33,7 @@ WARC = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages
 ), d AS (
-  SELECT page_id, n, t, array_to_string(list_transform(range(32), i ->
+  SELECT page_id, n, t, array_to_string(list_transform(range(32), lambda i:
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, 1 + (i // 4) * 5, 5) AS BIGINT) // CAST(pow(32, 3 - i % 4) AS BIGINT)) % 32 AS BIGINT), 1)), '') AS payload_digest FROM p
 ), f AS (SELECT *, max(page_id) OVER (PARTITION BY t) AS last FROM d)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
@@ -46,7 +46,7 @@ def _kind(order: int, kind: str, pattern: str, value: int, least: int) -> str:
     """Findings of one kind: a match starts after the texts between matches and the matches before it."""
     quoted = pattern.replace("'", "''")
     return f"""
-  SELECT doc_id, {order} AS o, '{kind}' AS kind, list_sum(list_transform(b[1 : k], x -> length(x))) + coalesce(list_sum(list_transform(m[1 : k - 1], x -> length(x))), 0) AS s, length(m[k]) AS n
+  SELECT doc_id, {order} AS o, '{kind}' AS kind, list_sum(list_transform(b[1 : k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1 : k - 1], lambda x: length(x))), 0) AS s, length(m[k]) AS n
   FROM (SELECT doc_id, b, m, v, unnest(range(1, len(m) + 1)) AS k FROM (
     SELECT doc_id, string_split_regex(text, '{quoted}') AS b, regexp_extract_all(text, '{quoted}') AS m, regexp_extract_all(text, '{quoted}', {value}) AS v FROM documents))
   WHERE length(v[k]) >= {least}"""

@@ -177,8 +177,8 @@ def fit(
     return train([np.frombuffer(r[2], dtype=np.float16).reshape(-1, FEATURES) for r in found], y, epochs)
 
 
-def score(docs: DataFrame, weights: Weights | float, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id`` and ``score`` of every row, and the columns named in ``keep`` as they are."""
+def score(docs: DataFrame, weights: Weights | float, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:
+    """``doc_id`` and ``score`` of every row; with ``keep`` those columns as they are and the score as ``name``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = []
@@ -192,4 +192,4 @@ def score(docs: DataFrame, weights: Weights | float, doc_id: str = "doc_id", tex
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("__text"), *[F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep)])
     schema = SCORES + "".join(f", __keep{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     scored = picked.mapInArrow(run, schema)
-    return scored.select("doc_id", "score", *[F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep)]) if keep else scored
+    return scored.select(*[F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep)], F.col("score").alias(name)) if keep else scored

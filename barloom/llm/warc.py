@@ -19,13 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import kept
+from barloom.llm.common import few, kept
 from barloom.session import checkpointed, fresh_path
 
 MAGIC = "WARC/1.1\r\n"
 STEP = len(MAGIC)
 END = "\r\n\r\n"
-SMALL = 200_000
 NO_DATE = "1970-01-01T00:00:00Z"
 
 
@@ -36,11 +35,6 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if it has few rows; the join shuffles otherwise."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
-
-
 def write(pages: DataFrame, path: str, least: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
     """Archives of ``pages`` in the folder ``path``; payloads of fewer than ``least`` bytes are never revisits."""
     payload = F.coalesce(F.col(html).cast("string"), F.lit(""))
@@ -48,7 +42,7 @@ def write(pages: DataFrame, path: str, least: int = 0, page_id: str = "page_id",
     rows = rows.withColumn("digest", base32_sha1(F.col("payload").cast("binary")))
     again = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("n"))
     again = kept(again.where("n > 1 and first is not null").select("digest", "first"), "again")
-    rows = rows.join(_small(again), "digest", "left")
+    rows = rows.join(few(again), "digest", "left")
     revisit = F.coalesce(F.col("id") != F.col("first"), F.lit(False)) & (F.octet_length("payload") >= least)
     uri = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
     http = F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8" + END)
@@ -97,7 +91,7 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     splits = said.groupBy("file", "split").agg(F.sum(F.col("size") + STEP).alias("n"))
     earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("file", "split", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__base"))
-    placed = said.join(_small(splits), ["file", "split"]).withColumn("off", F.col("__base") + F.col("__before") - STEP)
+    placed = said.join(few(splits), ["file", "split"]).withColumn("off", F.col("__base") + F.col("__before") - STEP)
     placed = placed.where("off >= 0").drop("__base", "__before")  # before the first magic there is no record
     ends = F.col("off") + STEP + F.col("head") + F.col("length") + 2 * len(END)
     return placed.withColumn("next", F.when(ends <= F.col("bytes"), ends)).withColumn("whole", F.col("whole") & F.col("next").isNotNull())
@@ -121,7 +115,7 @@ def chained(found: DataFrame) -> DataFrame:
         step = step.join(far, ["file", "to"], "left").join(hit, ["file", "off"], "left")
         step = checkpointed(step.select("file", "off", F.col("__far").alias("to"), (F.col("reached") | F.coalesce("__hit", F.lit(False))).alias("reached")))
     reached = step.where("reached").select("file", F.col("off").alias("__run"), F.col("off").alias("run"))
-    return found.join(_small(reached), ["file", "__run"], "left").drop("__run")
+    return found.join(few(reached), ["file", "__run"], "left").drop("__run")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -137,11 +131,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     own = found.withColumn("__own", F.max(F.when(F.col("run").isNotNull(), F.col("off"))).over(inside))
     last = found.groupBy("file", "split").agg(F.max(F.when(F.col("run").isNotNull(), F.col("off"))).alias("__last"))
     carried = last.select("file", "split", F.max("__last").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)).alias("__carried"))
-    own = own.join(_small(carried), ["file", "split"]).withColumn("__own", F.coalesce("__own", "__carried"))
+    own = own.join(few(carried), ["file", "split"]).withColumn("__own", F.coalesce("__own", "__carried"))
     ends = broken.select("file", F.col("off").alias("__own"), F.col("next").alias("__to"))
     parts = kept(own.join(ends, ["file", "__own"]).where("off < __to").select("file", F.col("__own").alias("off"), "row"), "parts")
     texts = spark.read.option("lineSep", MAGIC).text(path).select("value", F.monotonically_increasing_id().alias("row"))
-    joined = texts.join(_small(parts), "row").groupBy("file", "off").agg(F.array_sort(F.collect_list(F.struct("row", "value"))).alias("p"))
+    joined = texts.join(few(parts), "row").groupBy("file", "off").agg(F.array_sort(F.collect_list(F.struct("row", "value"))).alias("p"))
     joined = joined.select("file", "off", F.array_join("p.value", MAGIC).alias("value"))
     joined = joined.select("file", "off", "value", *[c.alias(n) for n, c in _parsed(F.col("value")).items()])
     payload = F.when(F.col("type") == "response", _payload(F.col("value")))
