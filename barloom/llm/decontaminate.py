@@ -29,6 +29,12 @@ def _hash_at(words: Column, i: Column, size: int) -> Column:
     return F.xxhash64(*[F.get(words, i + k) for k in range(size)])
 
 
+def _short_runs(n: int) -> Column:
+    """The hashes of all runs of ``n`` words, for items too short for a shingle."""
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " "), F.lit(n)))
+    return F.when(F.size("w") >= n, runs)
+
+
 def shingles(words: Column, size: int) -> Column:
     """The distinct shingles of a list of words; all words as one where they are too few."""
     each = F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.array_join(F.slice(words, i, size), " "))
@@ -70,7 +76,7 @@ def matches(
     """address (of the text), item_id, similarity, start_word, n_words: each text's best window for each item it holds."""
     items = items.select(F.col(item_id).cast("long").alias("item_id"), words_of(lower_ascii(text_of(item_text))).alias("w")).where(F.size("w") > 0)
     items = items.withColumn("n", F.size("w")).withColumn("shingles", shingles(F.col("w"), size)).withColumn("print", simhash(F.col("shingles")))
-    items = kept(items, "items")
+    items = kept(items.withColumn("item", F.monotonically_increasing_id()), "items")
     # where each shingle stands in items of each length; an item shorter than a shingle stands for itself, by its length
     places = F.when(F.col("n") >= size, F.transform(F.sequence(F.lit(0), F.col("n") - size), lambda i: F.struct(i.alias("at"), _hash_at(F.col("w"), i, size).alias("hash"))))
     lengths = [r[0] for r in items.where(F.col("n") < size).select("n").distinct().collect()]  # size - 1 numbers at most
@@ -81,9 +87,7 @@ def matches(
     rows = docs.select(F.md5(text_of(text)).alias("address"), words_of(lower_ascii(text_of(text))).alias("w"))
     long = F.when(F.size("w") >= size, F.transform(F.sequence(F.lit(0), F.size("w") - size), lambda i: _hash_at(F.col("w"), i, size)))
     runs = [rows.select("address", F.size("w").alias("words"), F.posexplode(long).alias("pos", "hash"))]
-    for n in lengths:
-        each = F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i, n=n: F.xxhash64(F.array_join(F.slice("w", i, n), " "), F.lit(n))))
-        runs.append(rows.select("address", F.size("w").alias("words"), F.posexplode(each).alias("pos", "hash")))
+    runs += [rows.select("address", F.size("w").alias("words"), F.posexplode(_short_runs(n)).alias("pos", "hash")) for n in lengths]
     found = [r.join(few(places), "hash").select("address", "words", "pos", F.explode("in").alias("p")) for r in runs]
     windows = found[0]
     for more in found[1:]:
@@ -99,11 +103,11 @@ def matches(
 
     asked = cut.select("address", "start", "n", "own_print", F.explode(_blocks(F.col("own_print"))).alias("b")).select("address", "start", "n", "own_print", "b.block", "b.value")
     masks = F.array(*[F.lit(m) for m in _errors(radius)])
-    index = items.select("item_id", "n", "print", F.explode(_blocks(F.col("print"))).alias("b"), masks.alias("m")).select("item_id", "n", "print", "b.block", "b.value", F.explode("m").alias("mask"))
-    index = index.select("item_id", "n", "print", "block", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+    index = items.select("item", "n", "print", F.explode(_blocks(F.col("print"))).alias("b"), masks.alias("m")).select("item", "n", "print", "b.block", "b.value", F.explode("m").alias("mask"))
+    index = index.select("item", "n", "print", "block", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
     near = asked.join(index, (asked["n"] == index["n"]) & (asked["block"] == index["block"]) & (asked["value"] == index["value"]) & (F.bit_count(F.col("own_print").bitwiseXOR(F.col("print"))) <= radius))
-    near = near.select("address", "start", asked["n"], "item_id").distinct()
-    pairs = near.join(cut.select("address", "start", "n", "own"), ["address", "start", "n"]).join(items.select("item_id", "n", "shingles"), ["item_id", "n"])
+    near = near.select("address", "start", asked["n"], "item").distinct()
+    pairs = near.join(cut.select("address", "start", "n", "own"), ["address", "start", "n"]).join(items.select("item", "item_id", "shingles"), "item")
     scored = pairs.select("address", "item_id", "start", "n", F.round(similarity(F.col("own"), F.col("shingles")), 6).alias("similarity")).where(F.col("similarity") >= least)
     best = scored.groupBy("address", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n")).alias("b"))
     return best.select("address", "item_id", "b.similarity", (-F.col("b.s")).cast("long").alias("start_word"), F.col("b.n").cast("long").alias("n_words"))

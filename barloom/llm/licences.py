@@ -120,9 +120,13 @@ def declared(texts: DataFrame, templates: dict[str, str] = TEMPLATES, least: flo
     return best.select("address", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("similarity"))
 
 
+def _parts(path: Column) -> Column:
+    return F.filter(F.split(path, "/"), lambda x: x != "")
+
+
 def folder_of(path: Column) -> Column:
-    """The directory part of a path, "" for a file at the top; parts are cut at /."""
-    return F.array_join(F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0))), "/")
+    """The directory of a path, "" for a file at the top; a leading / and empty parts do not count."""
+    return F.array_join(F.slice(_parts(path), 1, F.greatest(F.size(_parts(path)) - 1, F.lit(0))), "/")
 
 
 def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = 0.8, doc_id: str = "doc_id", path: str = "path", text: str = "text") -> DataFrame:
@@ -131,13 +135,13 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
     own = kept(declared(rows.select("text"), templates, least), "declared")
     rows = rows.select("doc_id", "path", F.md5("text").alias("address")).join(few(own), "address", "left").drop("address")
     rows = kept(rows.withColumn("folder", folder_of(F.col("path"))), "files")
-    named = F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE)
+    named = F.substring_index("path", "/", -1).rlike(LICENCE_FILE)
     given = rows.where(named & F.col("licence").isNotNull()).groupBy("folder").agg(_best())
     given = given.select(F.col("folder").alias("above"), F.struct(F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("similarity")).alias("theirs"))
     folders = rows.where("folder is not null").select("folder").distinct()
-    parts = F.split("folder", "/")
+    parts = _parts(F.col("folder"))
     depth = folders.select("folder", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("depth"), parts.alias("parts"))
-    above = depth.select("folder", "depth", F.array_join(F.slice("parts", 1, F.col("depth")), "/").alias("above")).where("depth > 0 or folder = ''")
+    above = depth.select("folder", "depth", F.array_join(F.slice("parts", 1, F.col("depth")), "/").alias("above"))
     near = above.join(given, "above").groupBy("folder").agg(F.max_by(F.struct("above", "theirs.licence", "theirs.similarity"), "depth").alias("near"))
     joined = rows.join(few(kept(near, "near")), "folder", "left")
     origin = F.when(F.col("licence").isNotNull(), "own").when(F.col("near").isNotNull(), "inherited")
