@@ -1,9 +1,10 @@
 """Exponential weighting as plain window sums.
 
 ``S_t = sum(beta^(t-i) * v_i)`` is split into stripes of positions. Inside a stripe it is
-``beta^j * sum(beta^-j * v)``; across stripes only the previous stripe's last value still
-counts, because a stripe is long enough for ``beta^length`` to vanish in double precision.
-A block with ``burn_in`` rows of history in front therefore needs nothing from other blocks.
+``beta^j * sum(beta^-j * v)``; what all earlier stripes of the block contribute is their last values, each
+damped by ``beta^length`` once more per stripe. A mean needs ``burn_in`` rows of history in front of a block,
+after which older values are below double precision. A ratio of two such sums can stay defined on values that have
+all but vanished; it needs ``memory`` rows, after which they are no double at all.
 """
 
 from __future__ import annotations
@@ -30,6 +31,11 @@ def burn_in(alpha: float) -> int:
     return math.ceil(math.log(_TINY) / math.log(1.0 - alpha))
 
 
+def memory(alpha: float) -> int:
+    """Rows after which an older value has left even a sum of zeros: beta^n is below the smallest double."""
+    return math.ceil(math.log(5e-324) / math.log(1.0 - alpha))
+
+
 # one stripe length suits all usual weights, so that their windows share a sort
 STRIPE_ROWS = burn_in(1.0 / 14.0)
 
@@ -55,11 +61,14 @@ def decayed_sum(name: str, value: Column, alpha: float, keys=KEYS) -> Steps:
         .orderBy(stripe, "pos")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    part, carried = f"{name}__part", f"{name}__carried"
+    part, ends, carried = f"{name}__part", f"{name}__ends", f"{name}__carried"
     stripe_end = F.when(F.col("pos") % rows == rows - 1, F.col(part))
+    # at the first row of a stripe: the sum at the end of the stripe before, from the ends of all earlier ones
+    before = F.aggregate(ends, F.lit(0.0), lambda acc, end: acc * beta**rows + end)
     return [
         {part: F.pow(F.lit(beta), j) * F.sum(F.pow(F.lit(beta), -j) * value).over(inside)},
-        {carried: F.last(stripe_end, ignorenulls=True).over(earlier)},
+        {ends: F.collect_list(stripe_end).over(earlier)},
+        {carried: F.first(F.when(j == 0, before), ignorenulls=True).over(inside)},
         {name: F.col(part) + F.pow(F.lit(beta), j + 1) * F.coalesce(F.col(carried), F.lit(0.0))},
     ]
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..functions.ewm import Steps, burn_in, recursive_mean, side_by_side, span_alpha, weighted_mean
+from ..functions.ewm import Steps, burn_in, memory, recursive_mean, side_by_side, span_alpha, weighted_mean
 from ..functions.rolling import full, previous, running
 from ..schema import KEYS, PRICES
 from .layout import BLOCK_ROWS, HELPERS, across_blocks, core, earlier_blocks, layout
@@ -27,7 +27,7 @@ class Recipe(NamedTuple):
 
 
 # Levels are numbered so that recipes meet: 0 looks back at the bars, 1 combines, 2 averages the
-# combinations and starts exponential sums, 3 carries those over, 8 and 9 do so once more.
+# combinations and starts exponential sums, 3 and 4 carry those over, 8 and on do so once more.
 
 
 def _change() -> Column:
@@ -195,7 +195,7 @@ def _adx(n=14) -> Recipe:
     )
     return Recipe(
         ("plus_dm", "minus_dm", "plus_di", "minus_di", "dx", "adx"),
-        1 + 2 * burn_in(alpha),
+        1 + 2 * memory(alpha),
         [
             _prev_close() | before,
             _tr() | moves,

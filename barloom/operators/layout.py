@@ -17,11 +17,18 @@ from pyspark.sql import functions as F
 from ..functions.ewm import STRIPE_ROWS
 from ..schema import KEYS
 
-BLOCK_ROWS = 16_384
+BLOCK_ROWS = 65_536
 BUCKET_SECONDS = 30 * 86_400
 HELPERS = ("pos", "n_rows", "block", "stripe", "is_core", "is_block_end")
 
 
+def join_rows(df: DataFrame, more: DataFrame, by) -> DataFrame:
+    """Every row of ``df`` beside the columns of ``more`` (at most one row for each of ``by``); a NULL equals a NULL."""
+    theirs = more.select(*[F.col(c).alias(f"_by_{c}") for c in by], *[c for c in more.columns if c not in by])
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    return df.join(theirs, same, "left").drop(*[f"_by_{c}" for c in by])
+
+
 def positions(df: DataFrame, keys=KEYS, order: str = "ts", bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """Add ``pos`` and ``n_rows``.
 
@@ -44,8 +51,7 @@ def positions(df: DataFrame, keys=KEYS, order: str = "ts", bucket_seconds: int =
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(order)
     return (
-        df.withColumn("_bucket", bucket)
-        .join(starts, [*keys, "_bucket"])
+        join_rows(df.withColumn("_bucket", bucket), starts, [*keys, "_bucket"])
         .withColumn("pos", F.col("_start") + F.row_number().over(inside) - 1)
         .drop("_bucket", "_start")
     )
@@ -106,7 +112,7 @@ def across_blocks(df: DataFrame, edges: dict, carried: dict, keys=KEYS) -> DataF
         .select(*keys, "block", *[e.alias(n) for n, e in edges.items()])
         .select(*keys, "block", *[c.alias(n) for n, c in carried.items()])
     )
-    return df.join(summary, [*keys, "block"])
+    return join_rows(df, summary, [*keys, "block"])
 
 
 def earlier_blocks(keys=KEYS):

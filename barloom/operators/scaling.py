@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..schema import KEYS
+from .layout import join_rows
 from .quantile import quantiles
 
 # The scaler's constants.
@@ -70,13 +71,13 @@ def widen_flat(params: DataFrame) -> DataFrame:
 
 
 def beside(df: DataFrame, params: DataFrame, cols, kind: str, keys=KEYS) -> DataFrame:
-    """Add ``<col>__a`` and ``<col>__b``, the two parameters of every column."""
+    """Add ``<col>__a`` and ``<col>__b``, the two parameters of every column; NULL for a key without parameters."""
     a, b = PARAMS[kind]
     wide = params.groupBy(*keys).agg(
         *[F.max(F.when(F.col("feature") == c, F.col(a))).alias(f"{c}__a") for c in cols],
         *[F.max(F.when(F.col("feature") == c, F.col(b))).alias(f"{c}__b") for c in cols],
     )
-    return df.join(wide, list(keys))
+    return join_rows(df, wide, list(keys))
 
 
 def _apply(df, params, cols, kind, keys, formula) -> DataFrame:

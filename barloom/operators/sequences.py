@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.rolling import block_window
 from ..schema import KEYS
-from .latest import newest
 from .layout import BLOCK_ROWS, HELPERS, core, layout, positions
 
 
@@ -40,7 +39,9 @@ def sequences(
     """
     step = F.array(*cols)
     if mode == "latest":
-        tail = newest(df.select(*keys, "ts", step.alias("step")), length, keys=keys)
+        # by place in the key, so that the plan is the same for any length and no key is sorted as a whole
+        placed = positions(df.select(*keys, "ts", step.alias("step")), keys)
+        tail = placed.filter(F.col("pos") >= F.col("n_rows") - length)
         packed = F.sort_array(F.collect_list(F.struct("ts", "step"))).alias("rows")
         out = tail.groupBy(*keys).agg(packed).filter(F.size("rows") == length)
         return out.select(*keys, F.element_at("rows", -1)["ts"].alias("ts"), F.col("rows")["step"].alias("seq"))
@@ -56,7 +57,3 @@ def sequences(
     laid = laid.withColumn("seq", F.collect_list(step).over(frame)).filter(F.size("seq") == length)
     return core(laid).select(*own, "seq")
 
-
-def flat(df: DataFrame, seq: str = "seq", to: str = "flat") -> DataFrame:
-    """The sequence as one array, step after step."""
-    return df.withColumn(to, F.flatten(seq))

@@ -15,6 +15,7 @@ from ..operators.scaling import fit_scaler, scale
 from ..operators.sequences import drop_last_row, sequences, shifted_target, time_split
 from ..schema import FEATURES, KEYS, RELATIVE, return_features
 from ..session import checkpointed, materialize
+from ..sources.periods import sequence_length
 
 RETURN_FEATURES = tuple(return_features())
 
@@ -45,17 +46,30 @@ def labelled_rows(features: DataFrame, min_bars: int = 2) -> DataFrame:
     return drop_last_row(next_day_label(features, min_bars)).filter("next_return is not null")
 
 
-def training_sequences(
+def uncovered(features: DataFrame, cols=RETURN_FEATURES) -> DataFrame:
+    """(ticker, feature): features that a ticker has no value of at all, so that no row of it can be used."""
+    counts = features.groupBy(*KEYS).agg(*[F.count(c).alias(c) for c in cols])
+    return counts.unpivot(list(KEYS), list(cols), "feature", "n").filter("n = 0").drop("n")
+
+
+def pooled_length(bars: DataFrame, interval: str, forecast_days: int) -> int:
+    """The sequence length for all tickers together: that of the ticker with the fewest bars."""
+    fewest = bars.groupBy(*KEYS).count().agg(F.min("count")).first()[0]
+    return max(1, sequence_length(interval, forecast_days, fewest or 0))
+
+
+def training_data(
     bars: DataFrame,
     length: int,
     cols=RETURN_FEATURES,
     fit_on: str = "all",
     min_bars: int = 2,
     block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """(ticker, ts, close, next_return, sentiment, seq): indicators, fill, scale, label, window.
+) -> tuple[DataFrame, DataFrame]:
+    """``training_sequences`` and the scaling parameters they were made with.
 
-    The features are written to the shared checkpoint folder once, as fitting reads them thrice.
+    The features are written to the shared checkpoint folder once, as fitting reads them thrice. A ticker that lacks a
+    feature has no rows; ``uncovered`` names it.
     """
     features = feature_rows(bars, block_rows)
     if fit_on == "train":
@@ -65,16 +79,32 @@ def training_sequences(
     whole = features.na.drop("any", subset=list(cols))
     # the label needs the unscaled prices; only the features named in ``cols`` are replaced
     rows = next_day_label(whole, min_bars)
-    rows = scaled_rows(rows, cols, params=materialize(fit_scaler(features, cols, "robust", fit_on)))
+    params = materialize(fit_scaler(features, cols, "robust", fit_on))
+    rows = scaled_rows(rows, cols, params=params)
     kept = rows.select(
         *KEYS, "ts", "close", "next_return", "sentiment", *cols, "pos", "n_rows",
         (F.col("pos") == F.col("n_rows") - 1).alias("_is_last"),
     )
-    return (
+    made = (
         sequences(kept, cols, length, "labelled", block_rows=block_rows)
         .filter("not _is_last and next_return is not null")
         .select(*KEYS, "ts", "close", "next_return", "sentiment", "seq")
     )
+    return made, params
+
+
+def training_sequences(bars: DataFrame, length: int, **options) -> DataFrame:
+    """(ticker, ts, close, next_return, sentiment, seq): indicators, fill, scale, label, window."""
+    return training_data(bars, length, **options)[0]
+
+
+def tree_data(bars: DataFrame, fit_on: str = "train", min_bars: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Rows for boosted trees on the next day's return, and the scaling parameters of their features."""
+    features = materialize(feature_rows(bars))
+    rows = labelled_rows(features, min_bars).withColumnRenamed("next_return", "label")
+    rows = materialize(_split_whole(rows, RETURN_FEATURES))
+    params = materialize(fit_scaler(rows if fit_on == "train" else features, RETURN_FEATURES, "robust", fit_on))
+    return _vectors(scaled_rows(rows, params=params), RETURN_FEATURES), params
 
 
 def tree_rows(
@@ -90,11 +120,7 @@ def tree_rows(
         raw = checkpointed(lay_and_compute(bars, recipes).drop("block", "stripe", "is_core", "is_block_end"))
         rows = shifted_target(raw, k).withColumnRenamed("target", "label")
         return _vectors(_split_whole(rows, FEATURES), FEATURES)
-    features = materialize(feature_rows(bars))
-    rows = labelled_rows(features, min_bars).withColumnRenamed("next_return", "label")
-    rows = materialize(_split_whole(rows, RETURN_FEATURES))
-    params = fit_scaler(rows if fit_on == "train" else features, RETURN_FEATURES, "robust", fit_on)
-    return _vectors(scaled_rows(rows, params=materialize(params)), RETURN_FEATURES)
+    return tree_data(bars, fit_on, min_bars)[0]
 
 
 def _split_whole(rows: DataFrame, cols) -> DataFrame:
@@ -114,7 +140,7 @@ def related_features(
     """Main features, 6 relative columns and 23 features per related ticker, joined on time.
 
     Returns the frame and its feature columns (23 + 6k + 23k). Gaps are filled per ticker before
-    the join, the relative columns after it.
+    the join, the relative columns after it. A ticker with fewer than ``k`` related ones keeps its rows.
     """
     found = related_found(bars, related, k)
     own = materialize(feature_rows(bars, block_rows).drop("pos", "n_rows"))
@@ -133,7 +159,16 @@ def related_features(
     beside_related = by_rank(theirs, RETURN_FEATURES, k, lambda i, c: f"related_{i}_{c}")
 
     joined = materialize(own.join(beside_main, [*KEYS, "ts"]).join(beside_related, [*KEYS, "ts"]))
-    return fill(joined, relative_cols, block_rows=block_rows), [
+    # a rank that a ticker has no related ticker for is 0 everywhere; has_<rank> tells it from a value
+    had = found.groupBy(*KEYS).agg(F.collect_set("rank").alias("_ranks"))
+    filled = fill(joined, relative_cols, block_rows=block_rows).join(had, list(KEYS))
+    absent = {
+        c: F.when(F.array_contains("_ranks", i), F.col(c)).otherwise(F.lit(0.0))
+        for i in range(1, k + 1)
+        for c in [*(f"{c}_stock_{i}" for c in RELATIVE), *(f"related_{i}_{c}" for c in RETURN_FEATURES)]
+    }
+    marks = {f"has_{i}": F.array_contains("_ranks", i) for i in range(1, k + 1)}
+    return filled.withColumns(absent).withColumns(marks).drop("_ranks"), [
         *RETURN_FEATURES,
         *relative_cols,
         *their_cols,
@@ -151,7 +186,7 @@ def related_sequences(
     """Sequences over the features of a ticker and its related tickers.
 
     Scaled by min and max per ticker; labels are the next day's return, sentiment and opening
-    average. Tickers without the full number of related tickers have gaps and give no sequence.
+    average. Features of related tickers that a ticker does not have are 0.
     """
     rows, cols = related_features(bars, related, k, block_rows)
     rows = materialize(rows.na.drop("any", subset=cols))

@@ -6,11 +6,12 @@ from typing import NamedTuple
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.sequences import time_split
 from ..session import materialize, shared_dir
 
 # The boosted-tree settings.
@@ -84,17 +85,27 @@ def flat_vectors(sequences: DataFrame) -> DataFrame:
     return sequences.withColumn("features", array_to_vector(F.flatten("seq")))
 
 
+class FittedDual(NamedTuple):
+    model: PipelineModel
+    trees: int
+    validation_mse: float
+    validation_log_loss: float
+
+
 def fit_dual(
-    sequences: DataFrame, trees: int = TREES, depth: int = DEPTH, max_iter: int = 100
-) -> PipelineModel:
-    """Return (``predicted_return``) and sentiment probabilities (``probability``) from sequences."""
-    shared_dir(sequences.sparkSession)
-    used = materialize(flat_vectors(sequences).select("features", "next_return", "sentiment"))
-    returns = GBTRegressor(
-        featuresCol="features", labelCol="next_return", predictionCol="predicted_return",
-        maxIter=trees, maxDepth=depth, stepSize=RATE, seed=SEED,
-    ).fit(used)
+    sequences: DataFrame, trees: int = TREES, depth: int = DEPTH, max_iter: int = 100, patience: int = PATIENCE_HELPER
+) -> FittedDual:
+    """Return (``predicted_return``) and sentiment probabilities (``probability``) from sequences.
+
+    The last fifth of each ticker's sequences is held out; it chooses how many trees to keep and gives both errors.
+    """
+    used = materialize(time_split(flat_vectors(sequences).select("ticker", "ts", "features", "next_return", "sentiment")))
+    fitted = fit_gbt(used, patience, "next_return", trees, depth)
+    returns = fitted.model.stages[0].setPredictionCol("predicted_return")
     sentiment = LogisticRegression(
         featuresCol="features", labelCol="sentiment", predictionCol="predicted_sentiment", maxIter=max_iter
-    ).fit(used)
-    return PipelineModel([returns, sentiment])
+    ).fit(used.filter("is_train"))
+    p = F.element_at(vector_to_array("probability"), F.col("sentiment") + 1)
+    held_out = sentiment.transform(used.filter("not is_train"))
+    log_loss = held_out.agg(F.avg(-F.ln(F.greatest(p, F.lit(1e-15))))).first()[0]
+    return FittedDual(PipelineModel([returns, sentiment]), fitted.trees, fitted.validation_mse, log_loss)

@@ -2,28 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, from ``spark.checkpoint.dir``.
+    """The folder every executor can reach: ``spark.checkpoint.dir``, else one in the warehouse folder.
 
-    Only a local-mode session may go without the setting; it gets a fresh temporary folder.
+    What the library writes there stays until the owner of the folder removes it.
     """
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if configured:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(configured)
-        return configured
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    folder = folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_kept"
     if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-"))
-    return sc.getCheckpointDir()
+        sc.setCheckpointDir(folder)
+    return folder
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

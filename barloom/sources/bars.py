@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalar as S
 from ..schema import BARS, KEYS, PRICES
@@ -41,7 +43,7 @@ def read_bars(
 ) -> DataFrame:
     """Landed bars as parquet, orc, csv or json files, or a table (``format="table"``).
 
-    The bounds (``start`` included, ``end`` not) and tickers are plain predicates for the scan.
+    The bounds (``start`` included, ``end`` not) and tickers, as given, are plain predicates for the scan.
     """
     if format == "table":
         raw = spark.table(path)
@@ -49,7 +51,7 @@ def read_bars(
         reader = spark.read.format(format).options(**options)
         raw = (reader if format in ("parquet", "orc") else reader.schema(BARS)).load(path)
     if tickers is not None:
-        raw = raw.filter(F.col("ticker").isin([t.upper() for t in tickers]))
+        raw = raw.filter(F.col("ticker").isin(list(tickers)))
     if start is not None:
         raw = raw.filter(F.col("ts") >= F.lit(start))
     if end is not None:
@@ -72,6 +74,20 @@ def ohlcv(price: Column, order: Column, volume: Column) -> list[Column]:
     ]
 
 
+def tick_order(id_type: T.DataType | None) -> Column:
+    """The order of ticks by ``_at``, then ``_id``; no ``_id`` where the type is None.
+
+    For a whole-number id it is one decimal (times 2 * 10^19, more than the ids span), which Spark aggregates by
+    hash; a struct, for other ids, makes it sort all ticks first.
+    """
+    if id_type is None:
+        return F.col("_at")
+    if isinstance(id_type, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        micros = F.unix_micros("_at").cast("decimal(18,0)")
+        return (micros * F.lit(Decimal(2 * 10**19)).cast("decimal(20,0)") + F.col("_id")).cast("decimal(38,0)")
+    return F.struct("_at", "_id")
+
+
 def build_bars(
     ticks: DataFrame,
     interval: str,
@@ -80,14 +96,21 @@ def build_bars(
     price: str = "price",
     volume: str | None = None,
     id: str | None = "id",
+    start: datetime | None = None,
+    end: datetime | None = None,
 ) -> DataFrame:
     """Bars of any width; ticks at the same time are ordered by ``id``.
 
     All aggregates combine before the shuffle, so a crowded bar costs one row per task. With
-    ``id=None`` the caller vouches that a ticker's tick times are unique; then Spark aggregates by
-    hash instead of by sort.
+    ``id=None`` the caller vouches that a ticker's tick times are unique. ``start`` (included) and ``end`` (not) bound
+    the bars' times; the scan gets the same bounds on the ticks, widened by an interval so that edge bars are whole.
     """
     interval_parts(interval)
+    wide, kind = timedelta(days=32), ticks.schema[ts].dataType
+    if start is not None:  # in the column's own type, else the scan does not take it
+        ticks = ticks.filter(F.col(ts) >= F.lit(start - wide).cast(kind))
+    if end is not None:
+        ticks = ticks.filter(F.col(ts) < F.lit(end + wide).cast(kind))
     tie = [] if id is None else [F.col(id).alias("_id")]
     typed = ticks.select(
         F.col(ticker).cast("string").alias("ticker"),
@@ -96,10 +119,14 @@ def build_bars(
         *tie,
         (F.lit(1.0) if volume is None else F.col(volume)).alias("_volume"),
     )
-    order = F.struct("_at", "_id") if tie else F.col("_at")
+    order = tick_order(ticks.schema[id].dataType if tie else None)
+    placed = typed.withColumn("ts", bar_start(F.col("_at"), interval))
+    if start is not None:
+        placed = placed.filter(F.col("ts") >= F.lit(start))
+    if end is not None:
+        placed = placed.filter(F.col("ts") < F.lit(end))
     return (
-        typed.withColumn("ts", bar_start(F.col("_at"), interval))
-        .groupBy(*KEYS, "ts")
+        placed.groupBy(*KEYS, "ts")
         .agg(*ohlcv(F.col("_price"), order, F.col("_volume")))
     )
 

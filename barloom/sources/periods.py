@@ -9,14 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What can be chosen, how many days a unit counts, how wide an interval is.
-PERIODS = ("1d", "5d", "1mo", "3mo", "6mo", "ytd", "1y", "2y", "5y", "10y", "max")
 PERIOD_DAYS = {"d": 1, "mo": 30, "y": 365}
 DEFAULT_PERIOD_DAYS = 365
 INTERVALS = {
     "1m": (1, "minute"), "5m": (5, "minute"), "15m": (15, "minute"), "30m": (30, "minute"),
     "1h": (1, "hour"), "1d": (1, "day"), "5d": (5, "day"), "1wk": (1, "week"), "1mo": (1, "month"),
 }
-TRADING_MINUTES_PER_DAY = 390
 STEPS_PER_DAY = {
     "1m": 390, "5m": 78, "15m": 26, "30m": 13, "1h": 6.5, "1d": 1, "5d": 1 / 5, "1wk": 1 / 7, "1mo": 1 / 30,
 }
@@ -33,14 +31,18 @@ def period_start(period: str, as_of: datetime) -> datetime | None:
     return as_of - timedelta(days=days)
 
 
-def period_filter(bars: DataFrame, period: str, as_of: datetime) -> DataFrame:
-    """Bars between a period's first day and the day of ``as_of``; plain bounds, so the scan skips."""
+def period_bounds(period: str, as_of: datetime) -> tuple[datetime | None, datetime]:
+    """The first moment of a period's first day (None for ``max``) and the end of the day of ``as_of``."""
     upto = datetime(as_of.year, as_of.month, as_of.day) + timedelta(days=1)
-    kept = bars.filter(F.col("ts") < F.lit(upto))
     start = period_start(period, as_of)
-    if start is None:
-        return kept
-    return kept.filter(F.col("ts") >= F.lit(datetime(start.year, start.month, start.day)))
+    return start and datetime(start.year, start.month, start.day), upto
+
+
+def period_filter(bars: DataFrame, period: str, as_of: datetime) -> DataFrame:
+    """Bars of a period; plain bounds, so a scan of bars skips. Give ``period_bounds`` to ``build_bars`` to prune ticks."""
+    start, upto = period_bounds(period, as_of)
+    kept = bars.filter(F.col("ts") < F.lit(upto))
+    return kept if start is None else kept.filter(F.col("ts") >= F.lit(start))
 
 
 def interval_parts(interval: str) -> tuple[int, str]:

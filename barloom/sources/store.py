@@ -26,3 +26,15 @@ def save_params(params: DataFrame, path: str) -> None:
 
 def load_params(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def save_fit(model: PipelineModel, params: DataFrame, folder: str, model_type: str, interval: str, days: int) -> str:
+    """A model and, beside it, the scaling parameters of the rows it was fitted on."""
+    path = save_model(model, folder, model_type, interval, days)
+    save_params(params, f"{path}_params")
+    return path
+
+
+def load_fit(spark: SparkSession, folder: str, model_type: str, interval: str, days: int) -> tuple[PipelineModel, DataFrame]:
+    params = load_params(spark, f"{folder.rstrip('/')}/{model_name(model_type, interval, days)}_params")
+    return load_model(folder, model_type, interval, days), params

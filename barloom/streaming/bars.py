@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..sources.bars import ohlcv
+from ..sources.bars import ohlcv, tick_order
 from ..sources.periods import interval_parts
 
 
@@ -27,7 +27,7 @@ def stream_bars(
     n, unit = interval_parts(interval)
     if unit in ("week", "month"):
         raise ValueError("a stream window needs a fixed length of at most days")
-    order = F.struct("_at", "_id")
+    order = tick_order(ticks.schema[id].dataType)
     return (
         ticks.select(
             F.col(ticker).cast("string").alias("ticker"),
@@ -58,3 +58,29 @@ def land(bars: DataFrame, path: str, checkpoint: str):
         .trigger(availableNow=True)
         .start()
     )
+
+
+def land_versions(bars: DataFrame, path: str, checkpoint: str):
+    """Write every bar as soon as it has a tick, and again when it changes; nothing waits for the watermark.
+
+    Each batch replaces its own folder ``batch=<id>``, so a batch that is run again leaves no second copy.
+    """
+
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
+
+    return (
+        bars.writeStream.outputMode("update")
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def newest_versions(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The last version of every bar that ``land_versions`` wrote."""
+    values = [c for c in like.columns if c not in ("ticker", "ts")]
+    written = spark.read.schema(like.schema.add("batch", "long")).option("basePath", path).parquet(path)
+    last = F.max_by(F.struct(*values), "batch").alias("last")
+    return written.groupBy("ticker", "ts").agg(last).select("ticker", "ts", "last.*")

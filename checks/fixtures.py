@@ -26,10 +26,10 @@ def event_bars(spark, sf, interval="1h") -> DataFrame:
     )
 
 
-def order_bars(spark, sf, interval="1d") -> DataFrame:
+def order_bars(spark, sf, interval="1d", start=None, end=None) -> DataFrame:
     return build_bars(
         table(spark, sf, "orders"), interval,
-        ticker="o_orderpriority", ts="o_orderdate", price="o_totalprice", id="o_orderkey",
+        ticker="o_orderpriority", ts="o_orderdate", price="o_totalprice", id="o_orderkey", start=start, end=end,
     )
 
 
@@ -44,6 +44,12 @@ def user_bars(spark, sf, interval="1d") -> DataFrame:
     return build_bars(ticks, interval, price="value", id="event_id")
 
 
+def user_minutes(spark, sf) -> DataFrame:
+    """A ticker per user, with enough bars for the averages of a trend."""
+    ticks = table(spark, sf, "events").withColumn("ticker", F.col("user_id").cast("string"))
+    return build_bars(ticks, "1m", price="value", id="event_id")
+
+
 def related(spark) -> DataFrame:
     return spark.createDataFrame(RELATED_ROWS, RELATED)
 

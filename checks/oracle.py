@@ -36,6 +36,14 @@ def order_bars(start: str = "date_trunc('day', o_orderdate)") -> str:
 
 HOURLY, DAILY = event_bars(), order_bars()
 WEEKLY = order_bars("CAST(date_trunc('week', o_orderdate) AS TIMESTAMP)")
+MINUTES = event_bars("time_bucket(INTERVAL 1 MINUTE, ts)")
+USER_MINUTES = event_bars("time_bucket(INTERVAL 1 MINUTE, ts)", "CAST(user_id AS VARCHAR)")
+# bars that do not move from place 400 to 1700
+FLAT = MINUTES.replace("bars AS", "moving AS", 1) + """, counted AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts) - 1 AS j FROM moving),
+  stuck AS (SELECT ticker, close AS v FROM counted WHERE j = 399),
+  bars AS (SELECT ticker, ts, """ + ", ".join(
+    f"CASE WHEN v IS NOT NULL AND j BETWEEN 400 AND 1700 THEN v ELSE {c} END AS {c}" for c in PRICES
+) + """, volume FROM counted LEFT JOIN stuck USING (ticker))"""
 BY_USER = event_bars("date_trunc('day', ts)", "event_type || ':' || user_id")
 
 PLACED = """p AS (SELECT *, row_number() OVER t - 1 AS i, count(*) OVER (PARTITION BY ticker) AS n,
@@ -269,9 +277,9 @@ def wide(k: int) -> str:
     return f"WITH {HOURLY}, {paired(k)} SELECT ticker, ts, {cols} FROM measured GROUP BY 1, 2 HAVING count(*) = {k}"
 
 
-def sequence_sql(lo: int, hi: int, at: str) -> str:
+def sequence_sql(lo: int, hi: int, at: str, cte: str = HOURLY) -> str:
     """Steps of the sequences of rows i+lo .. i+hi, shown with the time of row ``at``."""
-    return f"""WITH {HOURLY}, {PLACED} SELECT a.ticker, a.ts, CAST(s.i - a.i - ({lo}) AS INTEGER) AS step,
+    return f"""WITH {cte}, {PLACED} SELECT a.ticker, a.ts, CAST(s.i - a.i - ({lo}) AS INTEGER) AS step,
       {r('s.close', 'x')}, {r('s.volume', 'y')} FROM p a JOIN p s ON s.ticker = a.ticker
       AND s.i BETWEEN a.i + ({lo}) AND a.i + ({hi}) WHERE {at}"""
 
@@ -311,8 +319,10 @@ ORACLE = {
     "bars_1mo": bars_sql(order_bars("CAST(date_trunc('month', o_orderdate) AS TIMESTAMP)")),
     "bars_by_user": bars_sql(BY_USER),
     "roll_up_1d": bars_sql(event_bars("date_trunc('day', ts)")),
-    "stream_bars": bars_sql(
-        HOURLY, "WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR"
+    "stream_bars": bars_sql(HOURLY),
+    "read_bars": bars_sql(HOURLY, "WHERE ticker IN ('click', 'view', 'error')"),
+    "read_bars_range": bars_sql(
+        HOURLY, "WHERE ticker IN ('click', 'view', 'error') AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20'"
     ),
     "candles": bars_sql(HOURLY),
     "period_6mo": bars_sql(
@@ -347,12 +357,13 @@ ORACLE = {
     "cmf": rolled(WEEKLY, "cmf"),
     "pvt": f"WITH {HOURLY}, {ROLLED} SELECT ticker, ts, {r('pvt', digits=3)} FROM k",
     "adx": recursed(HOURLY, "plus_dm", "minus_dm", "plus_di", "minus_di", "dx", "adx"),
+    "adx_flat_stretch": recursed(FLAT, "plus_dm", "minus_dm", "plus_di", "minus_di", "dx", "adx"),
     "log_returns": f"""WITH {HOURLY}, {PLACED}, q AS (SELECT *, {_RETURNS} FROM p)
       SELECT ticker, ts, {rs(*[f'{c}_return' for c in PRICES])} FROM q""",
     "pct_change": f"WITH {HOURLY}, {PLACED} SELECT ticker, ts, {r('close / nullif(pc, 0) - 1', 'pct_change')} FROM p",
     "indicators": f"WITH RECURSIVE {WEEKLY}, {ENRICHED} SELECT ticker, ts, {rs(*ALL_COLUMNS)} FROM z",
     "trend": trend(HOURLY),
-    "trend_by_user": trend(BY_USER),
+    "trend_by_user": trend(USER_MINUTES),
     "level_flags": f"WITH {HOURLY}, {FLAGS} SELECT ticker, ts, {rs(*OHLCV)}, is_support, is_resistance FROM flags",
     "levels": f"WITH {HOURLY}, {FLAGS} SELECT ticker, kind, {r('level')} FROM levels",
     "levels_top3": f"WITH {HOURLY}, {FLAGS}, {TOP} SELECT ticker, kind, {r('level')}, number FROM top",
@@ -423,6 +434,7 @@ ORACLE = {
     "sequences_labelled": sequence_sql(-5, -1, "a.i >= 5"),
     "sequences_sliding": sequence_sql(0, 4, "a.i + 4 < a.n"),
     "sequences_latest": sequence_sql(-4, 0, "a.i = a.n - 1 AND a.n >= 5"),
+    "sequences_latest_long": sequence_sql(-1199, 0, "a.i = a.n - 1 AND a.n >= 1200", MINUTES),
     "metrics": f"""WITH {DAILY}, {_NAIVE}, {_METRICS}
       SELECT ticker, {', '.join(r(c, digits=2) for c in ('mse', 'rmse', 'mae', 'directional_accuracy'))} FROM scores""",
     "combined_loss": f"""WITH {HOURLY}, {_labelled(2)}, guessed AS (SELECT *,
@@ -447,6 +459,8 @@ ORACLE = {
       CAST(s.i - a.i + 5 AS INTEGER) AS step, {r('s.close_return', 'close_return')}, {r('s.rsi', 'rsi')}
       FROM placed a JOIN placed s ON s.ticker = a.ticker AND s.i BETWEEN a.i - 5 AND a.i - 1
       WHERE a.i >= 5 AND a.i < a.n - 1 AND a.ticker IN (SELECT ticker FROM whole)""",
+    "uncovered": f"WITH RECURSIVE {DAILY}, {FEATURE_ROWS} "
+    + " UNION ALL ".join(f"SELECT ticker, '{c}' AS feature FROM filled GROUP BY ticker HAVING count({c}) = 0" for c in RETURN_FEATURES),
     "tree_rows_close": f"""WITH RECURSIVE {WEEKLY}, {ENRICHED}, ready AS (SELECT *,
         lead(close) OVER (PARTITION BY ticker ORDER BY ts) AS label FROM z),
       kept AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts) - 1 AS nth,

@@ -26,16 +26,17 @@ from barloom.plans.technical import technical_report
 from barloom.schema import FEATURES, KEYS, PRICES
 from barloom.session import fresh_path, materialize
 from barloom.sources import periods as P
-from barloom.sources.bars import market_hours, roll_up
+from barloom.operators.layout import positions
+from barloom.sources.bars import market_hours, read_bars, roll_up
 from barloom.sources.candles import candles
 from barloom.sources.related import related_bars
-from barloom.sources.store import load_model, load_params, save_model, save_params
-from barloom.streaming.bars import land, stream_bars, tick_stream
+from barloom.sources.store import load_fit, load_params, save_fit, save_params
+from barloom.streaming.bars import land_versions, newest_versions, stream_bars, tick_stream
 
-from .fixtures import event_bars, order_bars, order_weeks, related, shown, table, user_bars
+from .fixtures import event_bars, order_bars, order_weeks, related, shown, table, user_bars, user_minutes
 
 AS_OF = datetime(2000, 3, 15, 12, 0)
-SEQ = 5
+SEQ, LONG = 5, 1200
 
 
 def _on(make, operate, digits=6):
@@ -84,8 +85,35 @@ def _stream(spark, sf):
     ticks = tick_stream(spark, sf, table(spark, sf, "events"), "events.parquet")
     bars = stream_bars(ticks, "1h", ticker="event_type", price="value", id="event_id")
     out = fresh_path(spark, "stream_bars")
-    land(bars, out, fresh_path(spark, "stream_state")).awaitTermination()
-    return shown(spark.read.schema(bars.schema).parquet(out))
+    land_versions(bars, out, fresh_path(spark, "stream_state")).awaitTermination()
+    return shown(newest_versions(spark, out, bars))
+
+
+def _read(start=None, end=None):
+    """Bars written once and read back between two dates."""
+    def run(spark, sf):
+        path = fresh_path(spark, "bars")
+        event_bars(spark, sf).write.parquet(path)
+        return shown(read_bars(spark, path, tickers=("click", "view", "error"), start=start, end=end))
+
+    return run
+
+
+def _flat_stretch(bars, first=400, last=1700):
+    """One-minute bars that do not move between two places; all rows stay."""
+    placed = positions(bars)
+    stuck = placed.filter(F.col("pos") == first - 1).select(F.col("ticker").alias("_t"), F.col("close").alias("_stuck"))
+    inside = F.col("_stuck").isNotNull() & F.col("pos").between(first, last)
+    out = placed.join(stuck, F.col("ticker") == F.col("_t"), "left")
+    return out.withColumns({c: F.when(inside, F.col("_stuck")).otherwise(F.col(c)) for c in PRICES}).select(*bars.columns)
+
+
+def _in_period(period):
+    def run(spark, sf):
+        start, end = P.period_bounds(period, AS_OF)
+        return shown(P.period_filter(order_bars(spark, sf, "1d", start, end), period, AS_OF))
+
+    return run
 
 
 def _scaled(kind, cols=("close", "volume")):
@@ -173,43 +201,53 @@ def _tree_close_rows(bars):
     )
 
 
+# bars of five days have several orders each, so that the money flow is defined; labels and forecasts share that step
+STEP = "5d"
+
+
 def _gbt(bars):
-    rows = materialize(PF.tree_rows(bars, target="next_return", min_bars=1))
-    return MO.fit_gbt(rows), rows
+    rows, params = PF.tree_data(bars, min_bars=1)
+    rows = materialize(rows)
+    return MO.fit_gbt(rows), rows, params
 
 
-def _forecast_state(bars, length=1):
-    features = materialize(PF.feature_rows(bars))
-    params = materialize(SC.fit_scaler(features, PF.RETURN_FEATURES))
-    scaled = PF.scaled_rows(features, params=params)
+def _forecast_state(bars, params, length=1):
+    """The newest scaled rows, by the parameters of the fit."""
+    scaled = PF.scaled_rows(materialize(PF.feature_rows(bars)), params=params)
     return FC.latest_state(scaled, bars, PF.RETURN_FEATURES, params, length)
 
 
 def _gbt_forecast(spark, sf, steps=3):
-    bars = order_weeks(spark, sf)
-    fitted, _ = _gbt(bars)
+    bars = order_bars(spark, sf, STEP)
+    fitted, _, params = _gbt(bars)
     folder = fresh_path(spark, "models")
-    save_model(fitted.model, folder, "gbt", "1d", steps)
-    model = load_model(folder, "gbt", "1d", steps)
-    return shown(FC.forecast(model, _forecast_state(bars), steps, "1d"))
+    save_fit(fitted.model, params, folder, "gbt", STEP, steps)
+    model, params = load_fit(spark, folder, "gbt", STEP, steps)
+    return shown(FC.forecast(model, _forecast_state(bars, params), steps, STEP))
 
 
 def _gbt_importance(spark, sf):
-    fitted, _ = _gbt(order_weeks(spark, sf))
+    fitted, _, _ = _gbt(order_bars(spark, sf, STEP))
     return shown(MO.feature_importance(fitted, PF.RETURN_FEATURES, spark))
 
 
 def _gbt_validation(spark, sf):
     """Error per ticker on the rows held out."""
-    fitted, rows = _gbt(order_weeks(spark, sf))
+    fitted, rows, _ = _gbt(order_bars(spark, sf, STEP))
     scored = MO.predict_rows(fitted, rows.filter("not is_train"))
     return shown(M.metrics(scored, "label", "prediction"))
 
 
-def _dual_forecast(spark, sf, steps=3, length=3):
-    bars = order_weeks(spark, sf)
-    model = MO.fit_dual(PF.training_sequences(bars, length, min_bars=1))
-    return shown(FC.forecast(model, _forecast_state(bars, length), steps, "1d", dual=True))
+def _dual_forecast(spark, sf, steps=3):
+    bars = order_bars(spark, sf, STEP)
+    length = PF.pooled_length(bars, STEP, steps)
+    made, params = PF.training_data(bars, length, fit_on="train", min_bars=1)
+    fitted = MO.fit_dual(made)
+    return shown(FC.forecast(fitted.model, _forecast_state(bars, params, length), steps, STEP, dual=True))
+
+
+def _uncovered(bars):
+    return PF.uncovered(PF.feature_rows(bars))
 
 
 def _chart(bars):
@@ -238,8 +276,10 @@ QUERIES = {
     "roll_up_1d": _on(event_bars, lambda b: roll_up(b, "1d")),
     "stream_bars": _stream,
     "candles": _on(event_bars, lambda b: candles(_payloads(b))),
-    "period_6mo": _on(order_bars, lambda b: P.period_filter(b, "6mo", AS_OF)),
-    "period_ytd": _on(order_bars, lambda b: P.period_filter(b, "ytd", AS_OF)),
+    "period_6mo": _in_period("6mo"),
+    "period_ytd": _in_period("ytd"),
+    "read_bars": _read(),
+    "read_bars_range": _read(datetime(2024, 1, 10), datetime(2024, 1, 20)),
     "market_hours": _on(lambda s, d: event_bars(s, d, "5m"), market_hours),
     "weekdays": _on(order_bars, lambda b: b.filter(S.is_weekday(F.col("ts")))),
     "enough_bars": _on(user_bars, lambda b: L.enough_bars(b, 5)),
@@ -262,12 +302,13 @@ QUERIES = {
     # sums and squares of large numbers carry fewer decimals than a double's 16 digits allow
     "pvt": _on(event_bars, lambda b: _enriched(b, "pvt"), digits=3),
     "adx": _on(event_bars, lambda b: _enriched(b, "adx")),
+    "adx_flat_stretch": _on(lambda s, d: event_bars(s, d, "1m"), lambda b: _enriched(_flat_stretch(b), "adx")),
     "log_returns": _on(event_bars, lambda b: _enriched(b, "log_returns")),
     "pct_change": _on(event_bars, lambda b: _enriched(b, "pct_change")),
     "indicators": _on(order_weeks, _enriched),
     # trend, levels, summaries
     "trend": _on(event_bars, L.trend),
-    "trend_by_user": _on(user_bars, L.trend),
+    "trend_by_user": _on(user_minutes, L.trend),
     "level_flags": _on(event_bars, V.level_flags),
     "levels": _on(event_bars, V.levels),
     "levels_top3": _on(event_bars, lambda b: V.top_levels(V.levels(b))),
@@ -308,6 +349,9 @@ QUERIES = {
     "sequences_labelled": _on(event_bars, lambda b: _steps(SQ.sequences(b, ("close", "volume"), SEQ))),
     "sequences_sliding": _on(event_bars, lambda b: _steps(SQ.sequences(b, ("close", "volume"), SEQ, "sliding"))),
     "sequences_latest": _on(event_bars, lambda b: _steps(SQ.sequences(b, ("close", "volume"), SEQ, "latest"))),
+    "sequences_latest_long": _on(
+        lambda s, d: event_bars(s, d, "1m"), lambda b: _steps(SQ.sequences(b, ("close", "volume"), LONG, "latest"))
+    ),
     # metrics
     "metrics": _on(order_bars, lambda b: M.metrics(_naive(b)), digits=2),
     "combined_loss": _on(event_bars, _loss),
@@ -317,6 +361,7 @@ QUERIES = {
     "scaled_features": _on(order_weeks, _scaled_features),
     "training_sequences": _on(event_bars, _training_sequences),
     "related_sequences": _related_sequences,
+    "uncovered": _on(order_bars, _uncovered),
     "tree_rows_close": _on(order_weeks, _tree_close_rows),
     "future_times": _on(order_bars, lambda b: FC.future_times(L.last_row(b, ("ts",)), 7, "1d")),
     "chart_feed": _on(event_bars, _chart),

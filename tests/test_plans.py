@@ -86,9 +86,10 @@ def test_tree_forecast(fitted, spark):
 
 def test_dual_forecast(fitted):
     bars, _, params, scaled = fitted
-    model = MO.fit_dual(PF.training_sequences(bars, 2), trees=2, depth=2, max_iter=5)
+    fit = MO.fit_dual(PF.training_sequences(bars, 2), trees=2, depth=2, max_iter=5)
+    assert 1 <= fit.trees <= 2 and fit.validation_mse > 0 and fit.validation_log_loss > 0
     state = FC.latest_state(scaled, bars, PF.RETURN_FEATURES, params, 2)
-    got = FC.forecast(model, state, 2, "1h", dual=True).toPandas()
+    got = FC.forecast(fit.model, state, 2, "1h", dual=True).toPandas()
     assert len(got) == 5 and got.confidence.between(0.5, 1).all()
     assert set(got[got.ticker == "short"].sentiment) == {"Neutral"}
 
