@@ -1,18 +1,22 @@
 """Exact quantiles per key without gathering a key's values.
 
-A sketch brackets each wanted rank, one counting pass checks the brackets, and only the values
-inside a bracket (a few in ten thousand) are ordered, after equal values have been counted.
+A sketch brackets each wanted rank, one counting pass checks the brackets, and only the values inside a bracket (a few
+in ten thousand) are ordered, after equal values have been counted. Values stay in their columns until they are
+known to lie inside; brackets are one row per key, repeated for ``SALTS`` buckets of its rows, so that the rows
+of a large key meet them in as many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import KEYS
+from .layout import join_rows
 
 _ACCURACY = 10_000
 _MARGIN = 3.0 / _ACCURACY
+SALTS = 32
 
 
 def quantiles(df: DataFrame, cols, probs, keys=KEYS, also=None) -> DataFrame:
@@ -20,76 +24,85 @@ def quantiles(df: DataFrame, cols, probs, keys=KEYS, also=None) -> DataFrame:
 
     ``also`` names further aggregates of a column (functions of its name) to return beside it.
     """
-    cols, probs, also = list(cols), [float(p) for p in probs], dict(also or {})
+    cols, probs, also, keys = list(cols), [float(p) for p in probs], dict(also or {}), list(keys)
     ends = [e for p in probs for e in (max(p - _MARGIN, 0.0), min(p + _MARGIN, 1.0))]
-    wanted = F.array(
+    sketches = df.groupBy(*keys).agg(
         *[
-            F.struct(F.lit(p).alias("prob"), F.col("ends")[2 * i].alias("lo"), F.col("ends")[2 * i + 1].alias("hi"))
-            for i, p in enumerate(probs)
+            F.struct(
+                F.percentile_approx(F.col(c).cast("double"), ends, _ACCURACY).alias("ends"),
+                F.count(c).alias("n"),
+                *[f(c).alias(name) for name, f in also.items()],
+            ).alias(f"_s_{c}")
+            for c in cols
         ]
     )
-    # one row per key, feature and probability: a small table from here on
-    brackets = (
-        df.groupBy(*keys)
+    values = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
+    values = values.withColumn("_salt", F.pmod(F.xxhash64(*cols), F.lit(SALTS)).cast("int"))
+    each = [(c, i) for c in cols for i in range(len(probs))]
+
+    def lo(c: str, i: int) -> Column:
+        return F.col(f"_s_{c}")["ends"][2 * i]
+
+    def hi(c: str, i: int) -> Column:
+        return F.col(f"_s_{c}")["ends"][2 * i + 1]
+
+    counted = (
+        _meet(values, sketches, keys)
+        .groupBy(*keys)
         .agg(
-            *[
-                F.struct(
-                    F.percentile_approx(F.col(c).cast("double"), ends, _ACCURACY).alias("ends"),
-                    F.count(c).alias("n"),
-                    *[f(c).alias(name) for name, f in also.items()],
-                ).alias(c)
-                for c in cols
-            ]
+            *[F.count_if(F.col(c) < lo(c, i)).alias(f"_below_{c}_{i}") for c, i in each],
+            *[F.count_if(F.col(c) <= hi(c, i)).alias(f"_upto_{c}_{i}") for c, i in each],
         )
-        .unpivot(list(keys), cols, "feature", "s")
-        .select(*keys, "feature", "s.*")
-        .select(*keys, "feature", "n", *also, F.explode(wanted).alias("w"))
-        .select(*keys, "feature", "n", *also, "w.*")
-    )
-    values = (
-        df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
-        .unpivot(list(keys), cols, "feature", "x")
-        .filter("x is not null")
     )
-    by = [*keys, "feature", "prob"]
-    below, rank = F.col("below"), F.col("prob") * (F.col("n") - 1)
-    low, high = F.floor(rank), F.least(F.floor(rank) + 1, F.col("n") - 1)
-    # a key too small for the margin may miss its ranks; then all of its values take part
-    held = (below <= low) & (F.col("upto") > high)
-    checked = (
-        values.join(brackets.select(*by, "n", "lo", "hi"), [*keys, "feature"])
-        .groupBy(*by, "n", "lo", "hi")
-        .agg(
-            F.count_if(F.col("x") < F.col("lo")).alias("below"),
-            F.count_if(F.col("x") <= F.col("hi")).alias("upto"),
-        )
-        .select(
-            *by,
-            F.when(held, F.col("lo")).otherwise(F.lit(float("-inf"))).alias("lo"),
-            F.when(held, F.col("hi")).otherwise(F.lit(float("inf"))).alias("hi"),
+
+    def bracket(c: str, i: int) -> Column:
+        n, below = F.col(f"_s_{c}")["n"], F.col(f"_below_{c}_{i}")
+        rank = F.lit(probs[i]) * (n - 1)
+        low, high = F.floor(rank), F.least(F.floor(rank) + 1, n - 1)
+        # the sketch errs by n / 10,000 ranks and the margin is three times that, so only a key of a few
+        # thousand values, where a margin is less than a rank, can miss; then all of its values take part
+        held = (below <= low) & (F.col(f"_upto_{c}_{i}") > high)
+        return F.struct(
+            F.lit(c).alias("feature"),
+            F.lit(probs[i]).alias("prob"),
+            F.when(held, lo(c, i)).otherwise(F.lit(float("-inf"))).alias("lo"),
+            F.when(held, hi(c, i)).otherwise(F.lit(float("inf"))).alias("hi"),
             F.when(held, below).otherwise(F.lit(0)).alias("below"),
             low.alias("low"),
             high.alias("high"),
             (rank - low).alias("part"),
+            *[F.col(f"_s_{c}")[name].alias(name) for name in also],
         )
-    )
-    inside = (
-        values.join(checked.select(*by, "lo", "hi"), [*keys, "feature"])
-        .filter((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
+
+    brackets = join_rows(sketches, counted, keys).select(*keys, *[bracket(c, i).alias(f"_b_{c}_{i}") for c, i in each])
+
+    def inside(c: str, i: int) -> Column:
+        b, x = F.col(f"_b_{c}_{i}"), F.col(c)
+        return F.when((x >= b["lo"]) & (x <= b["hi"]), F.struct(F.lit(c).alias("feature"), F.lit(probs[i]).alias("prob"), x.alias("x")))
+
+    by = [*keys, "feature", "prob"]
+    found = (
+        _meet(values, brackets, keys)
+        .select(*keys, F.explode(F.array_compact(F.array(*[inside(c, i) for c, i in each]))).alias("v"))
+        .select(*keys, "v.*")
         .groupBy(*by, "x")
         .agg(F.count(F.lit(1)).alias("times"))
     )
     upwards = Window.partitionBy(*by).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    placed = (
-        inside.withColumn("_upto", F.sum("times").over(upwards))
-        .join(checked.drop("lo", "hi"), by)
-        .withColumn("after", F.col("below") + F.col("_upto"))
-    )
+    rows = brackets.select(*keys, F.explode(F.array(*[F.col(f"_b_{c}_{i}") for c, i in each])).alias("b")).select(*keys, "b.*")
+    placed = join_rows(found.withColumn("_upto", F.sum("times").over(upwards)), rows.select(*by, "below", "low", "high"), by)
+    placed = placed.withColumn("after", F.col("below") + F.col("_upto"))
     first = F.col("after") - F.col("times")
 
     def at(rank):
         return F.max(F.when((first <= rank) & (rank < F.col("after")), F.col("x")))
 
-    found = placed.groupBy(*by, "part").agg(at(F.col("low")).alias("_low"), at(F.col("high")).alias("_high"))
+    ordered = placed.groupBy(*by).agg(at(F.col("low")).alias("_low"), at(F.col("high")).alias("_high"))
     value = F.col("_low") + F.col("part") * (F.col("_high") - F.col("_low"))
-    return brackets.select(*by, *also).join(found.select(*by, value.alias("value")), by, "left")
+    return join_rows(rows.select(*by, "part", *also), ordered, by).select(*by, *also, value.alias("value"))
+
+
+def _meet(values: DataFrame, per_key: DataFrame, keys) -> DataFrame:
+    """Every row beside its key's row, by (key, salt)."""
+    salted = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return join_rows(values, salted, [*keys, "_salt"])

@@ -306,6 +306,13 @@ def _long(cols, source: str, extra: str = "") -> str:
     )
 
 
+TREE_ROWS = f"""{WEEKLY}, {FEATURE_ROWS}, {_labelled(1)},
+  ahead_of AS (SELECT f.*, l.next_return AS label, row_number() OVER t AS j, count(*) OVER (PARTITION BY f.ticker) AS k
+    FROM filled f JOIN labelled l ON l.ticker = f.ticker AND l.ts = f.ts WINDOW t AS (PARTITION BY f.ticker ORDER BY f.ts)),
+  kept AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts) - 1 AS nth, count(*) OVER (PARTITION BY ticker) AS m
+    FROM ahead_of WHERE j < k AND {' AND '.join(f'{c} IS NOT NULL' for c in (*RETURN_FEATURES, 'label'))}),
+  train AS (SELECT * FROM kept WHERE nth < floor(0.8 * m)),
+  {_robust('train', RETURN_FEATURES)}, {_scaled_from('kept', RETURN_FEATURES, ', label, nth, m')}"""
 
 ORACLE = {
     "bars_1m": bars_sql(event_bars("time_bucket(INTERVAL 1 MINUTE, ts)")),
@@ -420,6 +427,10 @@ ORACLE = {
       FROM bars WINDOW k AS (PARTITION BY ticker)""",
     "robust_scale": f"""WITH {DAILY}, {_robust('bars', ('close', 'volume'))},
       {_scaled_from('bars', ('close', 'volume'))} SELECT ticker, ts, {rs('close', 'volume')} FROM scaled""",
+    "robust_scale_train": f"""WITH {DAILY}, {PLACED}, train AS (SELECT * FROM p WHERE i < floor(0.8 * n)),
+      {_robust('train', ('close', 'volume'))}, {_scaled_from('bars', ('close', 'volume'))}
+      SELECT ticker, ts, {rs('close', 'volume')} FROM scaled""",
+    "unscale_minmax": f"WITH {HOURLY} SELECT ticker, ts, {rs('close', 'volume')} FROM bars",
     # undoing leaves out the eps that scaling adds: a difference far below two digits
     "unscale": f"WITH {HOURLY} SELECT ticker, ts, {r('close', digits=2)} FROM bars",
     "ffill_bfill": f"""WITH {WEEKLY}, {ROLLED}, gaps AS (SELECT ticker, ts, sma_50, cmf FROM k),
@@ -446,19 +457,43 @@ ORACLE = {
         (y_true - y_pred) / nullif(sqrt(mse), 0) AS c FROM naive JOIN scores USING (ticker))
       SELECT ticker, ts, CASE WHEN c > 0.5 THEN 'Bullish' WHEN c < -0.5 THEN 'Bearish' ELSE 'Uncertain' END AS direction,
       {r('abs(coalesce(c, 0))', 'score')} FROM judged""",
+    "confidence_percent": f"""WITH {DAILY}, {_NAIVE}, judged AS (SELECT *, 100 * (y_true - y_pred) / nullif(y_pred, 0) AS c FROM naive)
+      SELECT ticker, ts, CASE WHEN c > 0.5 THEN 'Bullish' WHEN c < -0.5 THEN 'Bearish' ELSE 'Uncertain' END AS direction,
+      {r('abs(c)', 'score')} FROM judged""",
     "features": f"WITH RECURSIVE {WEEKLY}, {FEATURE_ROWS} SELECT ticker, ts, {rs(*RETURN_FEATURES)} FROM filled",
     "scaled_features": f"""WITH RECURSIVE {WEEKLY}, {FEATURE_ROWS}, {_robust('filled', RETURN_FEATURES)},
       {_scaled_from('filled', RETURN_FEATURES)} SELECT ticker, ts, {rs(*RETURN_FEATURES)} FROM scaled""",
-    "training_sequences": f"""WITH RECURSIVE {HOURLY}, {FEATURE_ROWS}, {_robust('filled', ('close_return', 'rsi'))},
-      {_scaled_from('filled', ('close_return', 'rsi'))}, {_labelled(2)},
-      placed AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts) - 1 AS i,
-        count(*) OVER (PARTITION BY ticker) AS n FROM scaled JOIN labelled USING (ticker, ts)),
+    "training_sequences": f"""WITH RECURSIVE {HOURLY}, {FEATURE_ROWS}, {_robust('filled', RETURN_FEATURES)},
+      {_scaled_from('filled', RETURN_FEATURES)}, {_labelled(2)},
+      placed AS (SELECT scaled.*, next_return, row_number() OVER (PARTITION BY ticker ORDER BY ts) - 1 AS i,
+        count(*) OVER (PARTITION BY ticker) AS n FROM scaled JOIN (SELECT ticker, ts, next_return FROM labelled) USING (ticker, ts)),
       whole AS (SELECT ticker FROM filled GROUP BY ticker HAVING {' AND '.join(
           f'count({c}) = count(*)' for c in RETURN_FEATURES)})
       SELECT a.ticker, a.ts, {r('a.next_return', 'next_return')}, CAST(a.next_return <= 0 AS INTEGER) AS sentiment,
-      CAST(s.i - a.i + 5 AS INTEGER) AS step, {r('s.close_return', 'close_return')}, {r('s.rsi', 'rsi')}
+      CAST(s.i - a.i + 5 AS INTEGER) AS step, {', '.join(r('s.' + c, c) for c in RETURN_FEATURES)}
       FROM placed a JOIN placed s ON s.ticker = a.ticker AND s.i BETWEEN a.i - 5 AND a.i - 1
       WHERE a.i >= 5 AND a.i < a.n - 1 AND a.ticker IN (SELECT ticker FROM whole)""",
+    "tree_rows_return": f"""WITH RECURSIVE {TREE_ROWS}
+      SELECT ticker, ts, {r('label')}, nth < floor(0.8 * m) AS is_train, {rs(*RETURN_FEATURES)} FROM scaled""",
+    # three steps, each from the scaled return of the one before
+    "forecast_fixed": f"""WITH RECURSIVE {TREE_ROWS},
+      newest AS (SELECT ticker, max(ts) AS last, last(close ORDER BY ts) AS close FROM bars GROUP BY ticker),
+      state AS (SELECT f.ticker, n.close, {', '.join(
+          f'greatest(least((f.{c} - w.lo_{c}) / (w.hi_{c} - w.lo_{c} + 1e-8), 10), -10) AS {k}'
+          for c, k in (('open_return', 'x0'), ('rsi', 'y')))}, w.lo_open_return AS lo, w.hi_open_return AS hi
+        FROM filled f JOIN newest n ON n.ticker = f.ticker AND n.last = f.ts JOIN wide w ON w.ticker = f.ticker
+        WHERE {' AND '.join(f'f.{c} IS NOT NULL' for c in RETURN_FEATURES)}),
+      {', '.join(
+          f"r{k} AS (SELECT *, 0.02 * x{k - 1} - 0.01 * y AS p{k}, greatest(least((0.02 * x{k - 1} - 0.01 * y - lo) / (hi - lo + 1e-8), 10), -10) AS x{k} FROM {'state' if k == 1 else f'r{k - 1}'})"
+          for k in (1, 2, 3))},
+      done AS ({' UNION ALL '.join(
+          f"SELECT ticker, {k} AS step, close * exp({' + '.join(f'p{j}' for j in range(1, k + 1))}) AS price, p{k} AS p FROM r3" for k in (1, 2, 3))}),
+      walked AS (SELECT ticker, close, last + (k * INTERVAL 1 DAY) AS ts FROM newest, range(1, 30) AS w(k)),
+      times AS (SELECT ticker, close, ts, row_number() OVER (PARTITION BY ticker ORDER BY ts) AS step FROM walked WHERE isodow(ts) < 6 QUALIFY step <= 3)
+      SELECT t.ticker, CAST(t.step AS INTEGER) AS step, t.ts, {r('coalesce(d.price, t.close)', 'price')},
+        CASE WHEN d.price IS NULL THEN 'Neutral' WHEN p > 0 THEN 'Bullish' ELSE 'Bearish' END AS sentiment,
+        {r('CASE WHEN d.price IS NULL THEN 0.5 ELSE least(abs(p), 1.0) END', 'confidence')}
+      FROM times t LEFT JOIN done d USING (ticker, step) WHERE d.price IS NOT NULL OR t.step = 1""",
     "uncovered": f"WITH RECURSIVE {DAILY}, {FEATURE_ROWS} "
     + " UNION ALL ".join(f"SELECT ticker, '{c}' AS feature FROM filled GROUP BY ticker HAVING count({c}) = 0" for c in RETURN_FEATURES),
     "tree_rows_close": f"""WITH RECURSIVE {WEEKLY}, {ENRICHED}, ready AS (SELECT *,

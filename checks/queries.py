@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -171,17 +173,17 @@ def _scaled_features(bars):
     return PF.scaled_rows(rows).select(*KEYS, "ts", *PF.RETURN_FEATURES)
 
 
-def _training_sequences(bars):
-    made = PF.training_sequences(bars, SEQ)
-    close, rsi = (PF.RETURN_FEATURES.index(c) for c in ("close_return", "rsi"))
-    return made.select(
-        *KEYS, "ts", "next_return", "sentiment", F.posexplode("seq").alias("step", "row")
-    ).select(
-        *KEYS, "ts", "next_return", "sentiment", F.col("step").cast("int").alias("step"),
-        F.col("row")[close].alias("close_return"), F.col("row")[rsi].alias("rsi"),
+def _all_steps(made, cols, *labels):
+    """One row per step of a sequence, with every feature."""
+    return made.select(*KEYS, "ts", *labels, F.posexplode("seq").alias("step", "row")).select(
+        *KEYS, "ts", *labels, F.col("step").cast("int").alias("step"), *[F.col("row")[i].alias(c) for i, c in enumerate(cols)]
     )
 
 
+def _training_sequences(bars):
+    return _all_steps(PF.training_sequences(bars, SEQ), PF.RETURN_FEATURES, "next_return", "sentiment")
+
+
 def _related_sequences(spark, sf):
     bars = event_bars(spark, sf)
     made = PF.related_sequences(bars, related(spark), SEQ, k=2)
@@ -205,6 +207,37 @@ def _tree_close_rows(bars):
 STEP = "5d"
 
 
+def _tree_return_rows(bars):
+    v = vector_to_array("features")
+    rows = PF.tree_rows(bars, target="next_return", min_bars=1)
+    return rows.select(*KEYS, "ts", "label", "is_train", *[v[i].alias(c) for i, c in enumerate(PF.RETURN_FEATURES)])
+
+
+def _fixed_forecast(spark, sf, steps=3):
+    """A forecast whose model is a formula of the newest scaled row; scaled by the parameters of the training rows."""
+    bars = order_weeks(spark, sf)
+    _, params = PF.tree_data(bars, min_bars=1)
+    first, rsi = 1, PF.RETURN_FEATURES.index("rsi") + 1
+    formula = f"0.02 * element_at(element_at(seq, -1), {first}) - 0.01 * element_at(element_at(seq, -1), {rsi}) AS prediction"
+    model = PipelineModel([SQLTransformer(statement=f"SELECT *, {formula} FROM __THIS__")])
+    return shown(FC.forecast(model, _forecast_state(bars, params), steps, "1d"))
+
+
+def _trained_scale(bars, cols=("close", "volume")):
+    split = SQ.time_split(bars)
+    return SC.scale(split, SC.fit_scaler(split, cols, "robust", "train"), cols, "robust").select(*KEYS, "ts", *cols)
+
+
+def _restored_range(bars, cols=("close", "volume")):
+    """Scaled and restored with the same eps, to six digits."""
+    params = SC.fit_scaler(bars, cols, "minmax")
+    return SC.unscale(SC.scale(bars, params, cols, "minmax"), params, cols, "minmax", with_eps=True).select(*KEYS, "ts", *cols)
+
+
+def _confidence_percent(bars):
+    return M.confidence(_naive(bars), "y_pred", "y_true").select(*KEYS, "ts", "direction", "score")
+
+
 def _gbt(bars):
     rows, params = PF.tree_data(bars, min_bars=1)
     rows = materialize(rows)
@@ -340,7 +373,9 @@ QUERIES = {
     "zscore": _on(event_bars, _scaled("zscore")),
     "minmax": _on(event_bars, _scaled("minmax")),
     "robust_scale": _on(order_bars, _scaled("robust")),
+    "robust_scale_train": _on(order_bars, _trained_scale),
     "unscale": _on(event_bars, _restored),
+    "unscale_minmax": _on(event_bars, _restored_range),
     "ffill_bfill": _on(order_weeks, _indicator_gaps),
     "fill_constant": _on(event_bars, lambda b: FI.fill_constant(_enriched(b, "rsi"), 0.0, ("rsi",))),
     "null_report": _on(order_weeks, _null_report),
@@ -356,12 +391,15 @@ QUERIES = {
     "metrics": _on(order_bars, lambda b: M.metrics(_naive(b)), digits=2),
     "combined_loss": _on(event_bars, _loss),
     "confidence": _on(order_bars, _confidence),
+    "confidence_percent": _on(order_bars, _confidence_percent),
     # features and forecasts
     "features": _on(order_weeks, _features),
     "scaled_features": _on(order_weeks, _scaled_features),
     "training_sequences": _on(event_bars, _training_sequences),
     "related_sequences": _related_sequences,
     "uncovered": _on(order_bars, _uncovered),
+    "tree_rows_return": _on(order_weeks, _tree_return_rows),
+    "forecast_fixed": _fixed_forecast,
     "tree_rows_close": _on(order_weeks, _tree_close_rows),
     "future_times": _on(order_bars, lambda b: FC.future_times(L.last_row(b, ("ts",)), 7, "1d")),
     "chart_feed": _on(event_bars, _chart),
