@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.schema import RELATED
+from barloom.schema import RELATED, RELATIVE, return_features
 from barloom.sources.bars import build_bars
 
 # each event type is compared with all the others
@@ -54,6 +54,12 @@ def related(spark) -> DataFrame:
     return spark.createDataFrame(RELATED_ROWS, RELATED)
 
 
+def related_columns(k: int) -> list[str]:
+    """The features of a ticker and of its first ``k`` related ones, in the order of their sequences."""
+    relative = [f"{c}_stock_{i}" for i in range(1, k + 1) for c in RELATIVE]
+    return [*return_features(), *relative, *(f"related_{i}_{c}" for i in range(1, k + 1) for c in return_features())]
+
+
 def shown(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, timestamps without a zone, so that both engines print the same."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from barloom.plans.features import RETURN_FEATURES
 from barloom.schema import FEATURES, PRICES, RELATIVE
 
-from .fixtures import RELATED_ROWS
+from .fixtures import RELATED_ROWS, related_columns
 
 OHLCV = (*PRICES, "volume")
 
@@ -128,14 +128,14 @@ _RETURNS = ", ".join(
 )
 
 
-def _filled(cols) -> str:
+def _filled(cols, source: str = "gaps", to: str = "") -> str:
     down = ", ".join(f"last_value({c} IGNORE NULLS) OVER u AS d_{c}" for c in cols)
     up = ", ".join(f"first({c} ORDER BY ts) FILTER ({c} IS NOT NULL) AS s_{c}" for c in cols)
     put = ", ".join(f"coalesce(d_{c}, s_{c}) AS {c}" for c in cols)
-    return f"""down AS (SELECT ticker, ts, {down} FROM gaps
+    return f"""{to}down AS (SELECT ticker, ts, {down} FROM {source}
       WINDOW u AS (PARTITION BY ticker ORDER BY ts ROWS UNBOUNDED PRECEDING)),
-    starts AS (SELECT ticker, {up} FROM gaps GROUP BY ticker),
-    filled AS (SELECT ticker, ts, {put} FROM down JOIN starts USING (ticker))"""
+    {to}starts AS (SELECT ticker, {up} FROM {source} GROUP BY ticker),
+    {to}filled AS (SELECT ticker, ts, {put} FROM {to}down JOIN {to}starts USING (ticker))"""
 
 
 FEATURE_ROWS = f"""{ENRICHED}, gaps AS (SELECT ticker, ts, {_RETURNS}, volume,
@@ -277,6 +277,37 @@ def wide(k: int) -> str:
     return f"WITH {HOURLY}, {paired(k)} SELECT ticker, ts, {cols} FROM measured GROUP BY 1, 2 HAVING count(*) = {k}"
 
 
+def related_sequences(k: int, length: int = 5) -> str:
+    """Features joined on time, relative ones filled, scaled between min and max, labelled from the rows that are left."""
+    of = range(1, k + 1)
+    relative = [f"{c}_stock_{i}" for i in of for c in RELATIVE]
+    side = ", ".join(f"max({c}) FILTER (rank = {i}) AS {c}_stock_{i}" for i in of for c in RELATIVE)
+    theirs = ", ".join(f"max(f.{c}) FILTER (r.rank = {i}) AS related_{i}_{c}" for i in of for c in RETURN_FEATURES)
+    cols = related_columns(k)
+    kept = ", ".join(f"q.{c}" for c in cols if c not in relative)
+    spread = ", ".join(f"({c} - min({c}) OVER t) / (max({c}) OVER t - min({c}) OVER t + 1e-8) AS {c}" for c in cols)
+    return f"""WITH RECURSIVE {HOURLY}, {FEATURE_ROWS}, {paired(k)},
+      side AS (SELECT ticker, ts, {side} FROM measured GROUP BY 1, 2 HAVING count(*) = {k}),
+      theirs AS (SELECT r.ticker, f.ts, {theirs} FROM related r JOIN filled f ON f.ticker = r.related_ticker GROUP BY 1, 2),
+      joined AS (SELECT * FROM filled JOIN side USING (ticker, ts) JOIN theirs USING (ticker, ts)),
+      {_filled(relative, "joined", "j")},
+      ready AS (SELECT q.ticker, q.ts, {kept}, {", ".join("jfilled." + c for c in relative)}, b.open, b.high, b.low, b.close
+        FROM joined q JOIN jfilled USING (ticker, ts) JOIN bars b ON b.ticker = q.ticker AND b.ts = q.ts
+        WHERE {" AND ".join(("jfilled." if c in relative else "q.") + c + " IS NOT NULL" for c in cols)}),
+      {BY_DAY.replace("FROM bars", "FROM ready")}, {OPENING},
+      scaled AS (SELECT ticker, ts, {spread} FROM ready WINDOW t AS (PARTITION BY ticker)),
+      labels AS (SELECT d.ticker, d.ts, o.opening_avg AS next_opening_avg,
+        CASE WHEN a.next_n >= 2 THEN ln(a.next_avg / a.close) ELSE 0 END AS next_return
+        FROM dated d JOIN ahead a USING (ticker, date)
+        LEFT JOIN opened o ON o.ticker = d.ticker AND o.date = coalesce(a.next_date, a.date)),
+      placed AS (SELECT scaled.*, next_return, next_opening_avg, row_number() OVER (PARTITION BY ticker ORDER BY ts) - 1 AS i
+        FROM scaled JOIN labels USING (ticker, ts))
+      SELECT a.ticker, a.ts, {r('a.next_return', 'next_return')}, CAST(a.next_return <= 0 AS INTEGER) AS sentiment,
+        {r('a.next_opening_avg', 'next_opening_avg')}, CAST(s.i - a.i + {length} AS INTEGER) AS step, {', '.join(r('s.' + c, c) for c in cols)}
+      FROM placed a JOIN placed s ON s.ticker = a.ticker AND s.i BETWEEN a.i - {length} AND a.i - 1
+      WHERE a.i >= {length} AND a.next_opening_avg IS NOT NULL"""
+
+
 def sequence_sql(lo: int, hi: int, at: str, cte: str = HOURLY) -> str:
     """Steps of the sequences of rows i+lo .. i+hi, shown with the time of row ``at``."""
     return f"""WITH {cte}, {PLACED} SELECT a.ticker, a.ts, CAST(s.i - a.i - ({lo}) AS INTEGER) AS step,
@@ -473,6 +504,7 @@ ORACLE = {
       CAST(s.i - a.i + 5 AS INTEGER) AS step, {', '.join(r('s.' + c, c) for c in RETURN_FEATURES)}
       FROM placed a JOIN placed s ON s.ticker = a.ticker AND s.i BETWEEN a.i - 5 AND a.i - 1
       WHERE a.i >= 5 AND a.i < a.n - 1 AND a.ticker IN (SELECT ticker FROM whole)""",
+    "related_sequences": related_sequences(2),
     "tree_rows_return": f"""WITH RECURSIVE {TREE_ROWS}
       SELECT ticker, ts, {r('label')}, nth < floor(0.8 * m) AS is_train, {rs(*RETURN_FEATURES)} FROM scaled""",
     # three steps, each from the scaled return of the one before

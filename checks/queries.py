@@ -35,7 +35,7 @@ from barloom.sources.related import related_bars
 from barloom.sources.store import load_fit, load_params, save_fit, save_params
 from barloom.streaming.bars import land_versions, newest_versions, stream_bars, tick_stream
 
-from .fixtures import event_bars, order_bars, order_weeks, related, shown, table, user_bars, user_minutes
+from .fixtures import event_bars, order_bars, order_weeks, related, related_columns, shown, table, user_bars, user_minutes
 
 AS_OF = datetime(2000, 3, 15, 12, 0)
 SEQ, LONG = 5, 1200
@@ -184,15 +184,10 @@ def _training_sequences(bars):
     return _all_steps(PF.training_sequences(bars, SEQ), PF.RETURN_FEATURES, "next_return", "sentiment")
 
 
-def _related_sequences(spark, sf):
+def _related_sequences(spark, sf, k=2):
     bars = event_bars(spark, sf)
-    made = PF.related_sequences(bars, related(spark), SEQ, k=2)
-    return shown(
-        made.select(
-            *KEYS, "ts", "next_return", "sentiment", "next_opening_avg",
-            F.size("seq").alias("steps"), F.size(F.col("seq")[0]).alias("width"),
-        )
-    )
+    made = PF.related_sequences(bars, related(spark), SEQ, k=k)
+    return shown(_all_steps(made, related_columns(k), "next_return", "sentiment", "next_opening_avg"))
 
 
 def _tree_close_rows(bars):
