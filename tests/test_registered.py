@@ -12,6 +12,7 @@ FOLDER = "/root/testdata/sf0.001"
 SLOW = {
     "scaled_features", "training_sequences", "tree_rows_close", "features", "null_report", "technical_report",
     "indicators", "related_sequences", "gbt_validation", "feature_importance", "gbt_forecast", "dual_forecast",
+    "tree_rows_return", "forecast_fixed", "uncovered",
 }
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the test tables")
