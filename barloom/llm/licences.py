@@ -47,6 +47,8 @@ TEMPLATES = {
     "Proprietary": "All rights reserved.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+# Words of any English text, the last choice for an anchor.
+COMMON = ("a", "all", "and", "by", "in", "into", "is", "of", "the", "this", "to", "under")
 TERM = r"[\p{L}\p{N}]+"
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
 
@@ -75,12 +77,13 @@ def vectors(templates: dict[str, str]) -> dict[str, dict[str, float]]:
 def anchors(templates: dict[str, str], least: float) -> list[str]:
     """Terms of which a unit has at least one if its cosine to any template is ``least``.
 
-    A unit without the anchors of a template has at most the length of the template's other terms as its cosine.
+    A unit without the anchors of a template has at most the length of the template's other terms as its cosine. Rare
+    words are taken before common ones, so that few texts have an anchor.
     """
     found: set[str] = set()
     for v in vectors(templates).values():
         rest = sum(x * x for x in v.values())
-        for t, x in sorted(v.items(), key=lambda p: (-p[1], p[0])):
+        for t, x in sorted(v.items(), key=lambda p: (p[0] in COMMON, -p[1], p[0])):
             if rest < least * least - 1e-9:
                 break
             found.add(t)
@@ -89,20 +92,23 @@ def anchors(templates: dict[str, str], least: float) -> list[str]:
 
 
 def by_unit(units: DataFrame, templates: dict[str, str], least: float) -> DataFrame:
-    """unit, licence, similarity of the distinct ``units`` (a column) that reach ``least``."""
+    """id, licence, similarity of the ``units`` (id and unit, one row an id) that reach ``least``.
+
+    A unit's text is left behind as soon as it is cut into terms.
+    """
     spark = units.sparkSession
     idf, other = rarity(templates)
     posting = spark.createDataFrame([(t, n, x, idf[t]) for n, v in vectors(templates).items() for t, x in v.items()], "term string, licence string, x double, idf double")
     weights = F.broadcast(posting.select("term", "idf").distinct())  # as many rows as the templates have terms
-    terms = units.distinct().select("unit", F.explode(F.regexp_extract_all(lower_ascii(F.col("unit")), F.lit(TERM), F.lit(0))).alias("term"))
-    terms = terms.groupBy("unit", "term").agg(F.count("*").alias("tf")).join(weights, "term", "left")
+    terms = units.select("id", F.explode(F.regexp_extract_all(lower_ascii(F.col("unit")), F.lit(TERM), F.lit(0))).alias("term"))
+    terms = terms.groupBy("id", "term").agg(F.count("*").alias("tf")).join(weights, "term", "left")
     terms = terms.withColumn("y", F.col("tf") * F.coalesce("idf", F.lit(other)))
-    length = terms.groupBy("unit").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("length"))
-    dots = terms.where("idf is not null").join(F.broadcast(posting.drop("idf")), "term").groupBy("unit", "licence").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    cosine = dots.join(length, "unit").select("unit", "licence", F.round(F.col("dot") / F.col("length"), 6).alias("similarity"))
+    length = terms.groupBy("id").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("length"))
+    dots = terms.where("idf is not null").join(F.broadcast(posting.drop("idf")), "term").groupBy("id", "licence").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    cosine = dots.join(length, "id").select("id", "licence", F.round(F.col("dot") / F.col("length"), 6).alias("similarity"))
     cosine = cosine.where(F.col("similarity") >= least)
-    best = cosine.groupBy("unit").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "licence")).alias("b"))
-    return best.select("unit", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("similarity"))
+    best = cosine.groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "licence")).alias("b"))
+    return best.select("id", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("similarity"))
 
 
 def _best() -> Column:
@@ -114,9 +120,9 @@ def declared(texts: DataFrame, templates: dict[str, str] = TEMPLATES, least: flo
     anchor = rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{'|'.join(anchors(templates, least))})(?![\p{{L}}\p{{N}}])"
     texts = texts.where(F.col("text").rlike(anchor)).select(F.md5("text").alias("address"), "text")
     parts = F.filter(F.split("text", r"[\r\n]+"), lambda x: x.rlike(anchor))
-    units = kept(texts.select("address", F.explode(F.array_distinct(F.array_append(parts, F.col("text")))).alias("unit")).distinct(), "units")
-    scored = kept(by_unit(units.select("unit"), templates, least), "scored")
-    best = units.join(few(scored), "unit").groupBy("address").agg(_best())
+    units = texts.select("address", F.explode(F.array_distinct(F.array_append(parts, F.col("text")))).alias("unit")).withColumn("id", F.md5("unit"))
+    scored = kept(by_unit(units.select("id", "unit").dropDuplicates(["id"]), templates, least), "scored")
+    best = units.select("address", "id").join(few(scored), "id").groupBy("address").agg(_best())
     return best.select("address", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("similarity"))
 
 
