@@ -1,20 +1,27 @@
 """Masked pseudo-likelihood: a window network trained in numpy predicts every token from both sides.
 
-Tokens are words; the ``words`` most frequent ones of the whole corpus are themselves, all others share ``others``
-buckets by a checksum. The network adds the embeddings of two tokens on each side (weighed by place), and predicts the token in two
-steps, its class and then its place in the class. A document's score is the sum of the log-probabilities of its tokens.
+Tokens are words. Every word found ``often`` times in the corpus, and the ``words`` most frequent ones anyway, have a
+token of their own, so the vocabulary grows with the corpus; all others share ``others`` buckets by a checksum. The network
+adds the embeddings of two tokens on each side (weighed by place), and predicts the token in two steps, its class and
+then its place in the class; classes are about as many as their members. A word in a bucket has a third step, its share of the
+bucket's words by the counts of the whole corpus: n / (N + T + 1) where it was counted n times, N and T being the words and
+the distinct words of the bucket; the rest, (T + 1) / (N + T + 1), is for words never counted, spelled byte by byte at 1/257 a byte
+and for the end. A document's score is the sum of the log-probabilities of its words.
 
 Training is by rounds. In a round every partition of the corpus starts from the same weights, learns from one in ``mask``
 of its positions (others in each round) and returns its weights and token count; the mean over partitions, formed
-in groups of 64, starts the next round. Only word counts (cut to the most frequent) and weights reach the driver.
+in groups of 64 or fewer, starts the next round. Only the counts of
+words found ``often`` / 10 times, one row a bucket and weights reach the driver; the counts of all others meet the
+documents in a join, which no word that is frequent enough to be skewed enters.
 
-Defined cases: a null or empty text has no token, score 0 and a null mean; a token longer than 64 bytes is never a word
-of the vocabulary; an empty corpus leaves the first weights; repeated rows are scored alike; columns other than the
+Defined cases: a null or empty text has no token, score 0 and a null mean; a token longer than 64 bytes is never counted,
+so it is spelled; an empty corpus leaves the first weights; repeated rows are scored alike; columns other than the
 id and the text are not read.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -22,16 +29,18 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import text_of
+from barloom.llm.common import kept, text_of
 
 WIDE = 32
 SIDES = (-2, -1, 1, 2)
 LONGEST = 64
-SCORES = "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double"
 FLUSH = 200_000
+SPELLED = math.log(257)
+AVERAGED = 64 << 20
 
 
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -57,12 +66,23 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text_of(text).alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def wide_of(size: int) -> int:
+    """The members of a class among ``size`` tokens: a power of two near the root, WIDE at least."""
+    return max(WIDE, 1 << (size - 1).bit_length() // 2)
+
+
 class Vocabulary(dict):
-    """Word to token: the frequent words in order, then the buckets of all others."""
+    """Word to token: the frequent words in order, then the buckets of all others.
+
+    On the driver it also has the counts of the others: those to send along, the table of all, and (N, T) of each bucket.
+    """
 
     def __init__(self, words: list[bytes], others: int):
         super().__init__({w: i for i, w in enumerate(words)})
         self.first, self.others = len(words), others
+        self.sent: dict[bytes, int] = {}
+        self.counts: DataFrame | None = None
+        self.totals: list[tuple[int, int]] = [(0, 0)] * others
 
     def __missing__(self, word: bytes) -> int:
         token = self.first + zlib.crc32(word) % self.others
@@ -75,7 +95,8 @@ class Vocabulary(dict):
 
     @property
     def size(self) -> int:
-        return -(-(self.first + self.others) // WIDE) * WIDE
+        wide = wide_of(self.first + self.others)
+        return -(-(self.first + self.others) // wide) * wide
 
     def tokens(self, text: str) -> np.ndarray:
         words = text.encode("utf-8", "replace").split()
@@ -83,20 +104,28 @@ class Vocabulary(dict):
 
 
 def first_weights(size: int, width: int = 16, seed: int = 1) -> dict[str, np.ndarray]:
-    """``size`` tokens in classes of WIDE; the embedding after the last is the end of a text."""
+    """``size`` tokens in classes of ``wide_of(size)``; the embedding after the last is the end of a text."""
     rng = np.random.default_rng(seed)
     draw = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-    classes = size // WIDE
+    wide = wide_of(size)
+    classes = -(-size // wide)
     return {
         "embedding": draw(size + 1, width), "side": np.ones((len(SIDES), width), dtype=np.float32), "bias": np.zeros(width, dtype=np.float32),
         "cls": draw(width, classes), "cls_bias": np.zeros(classes, dtype=np.float32),
-        "place": draw(classes, width, WIDE), "place_bias": np.zeros((classes, WIDE), dtype=np.float32),
+        "place": draw(classes, width, wide), "place_bias": np.zeros((classes, wide), dtype=np.float32),
     }
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x = np.exp(x - x.max(axis=1, keepdims=True))
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
+def _log_softmax_at(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The log of the chosen one of each row."""
+    x -= x.max(axis=1, keepdims=True)
+    return x[np.arange(len(x)), chosen] - np.log(np.exp(x).sum(axis=1))
 
 
 def hidden(w: dict[str, np.ndarray], flat: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -106,21 +135,21 @@ def hidden(w: dict[str, np.ndarray], flat: np.ndarray, at: np.ndarray) -> np.nda
 def log_probabilities(w: dict[str, np.ndarray], flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Of the tokens at the positions ``at`` of ``flat``, which has two ends before, between and after texts."""
     h, token = hidden(w, flat, at), flat[at]
-    cls, place = token // WIDE, token % WIDE
-    out = _log_softmax(h @ w["cls"] + w["cls_bias"])[np.arange(len(at)), cls]
+    cls, place = np.divmod(token, w["place_bias"].shape[1])
+    out = _log_softmax_at(h @ w["cls"] + w["cls_bias"], cls)
     order = np.argsort(cls.astype(np.int16), kind="stable")
     edges = np.searchsorted(cls[order], np.arange(len(w["cls_bias"]) + 1))
     for c in np.flatnonzero(np.diff(edges)):
         own = order[edges[c] : edges[c + 1]]
-        out[own] += _log_softmax(h[own] @ w["place"][c] + w["place_bias"][c])[np.arange(len(own)), place[own]]
+        out[own] += _log_softmax_at(h[own] @ w["place"][c] + w["place_bias"][c], place[own])
     return out
 
 
 def gradient(w: dict[str, np.ndarray], flat: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean negative log-probability."""
     h, token, n = hidden(w, flat, at), flat[at], len(at)
-    cls, place = token // WIDE, token % WIDE
-    d = np.exp(_log_softmax(h @ w["cls"] + w["cls_bias"]))
+    cls, place = np.divmod(token, w["place_bias"].shape[1])
+    d = _softmax(h @ w["cls"] + w["cls_bias"])
     d[np.arange(n), cls] -= 1
     g = {"cls": h.T @ d, "cls_bias": d.sum(0), "place": np.zeros_like(w["place"]), "place_bias": np.zeros_like(w["place_bias"])}
     d_h = d @ w["cls"].T
@@ -128,7 +157,7 @@ def gradient(w: dict[str, np.ndarray], flat: np.ndarray, at: np.ndarray) -> dict
     edges = np.searchsorted(cls[order], np.arange(len(w["cls_bias"]) + 1))
     for c in np.flatnonzero(np.diff(edges)):
         own = order[edges[c] : edges[c + 1]]
-        d = np.exp(_log_softmax(h[own] @ w["place"][c] + w["place_bias"][c]))
+        d = _softmax(h[own] @ w["place"][c] + w["place_bias"][c])
         d[np.arange(len(own)), place[own]] -= 1
         g["place"][c], g["place_bias"][c] = h[own].T @ d, d.sum(0)
         d_h[own] += d @ w["place"][c].T
@@ -155,21 +184,24 @@ def lay_out(texts: Iterable[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(parts), np.array(starts, dtype=np.int64)
 
 
-def learn(w: dict[str, np.ndarray], texts: Iterator[np.ndarray], turn: int, mask: int, batch: int = 4096, rate: float = 0.1) -> tuple[dict[str, np.ndarray], int]:
-    """Adagrad over batches of the positions masked in this turn; returns the weights and the number of positions."""
+def learn(w: dict[str, np.ndarray], texts: Iterator[np.ndarray], turn: int | list[int], mask: int, batch: int = 4096, rate: float = 0.1) -> tuple[dict[str, np.ndarray], int]:
+    """Adagrad over batches of the positions masked in this turn, or in these in order; returns the weights and the number of positions."""
+    turns = [turn] if isinstance(turn, int) else turn
     w = {k: v.copy() for k, v in w.items()}
     square = {k: np.full_like(v, 1e-4) for k, v in w.items()}
     end, seen = len(w["embedding"]) - 1, 0
 
     def step(group: list[np.ndarray]) -> int:
         flat, _ = lay_out(group, end)
-        at = np.flatnonzero(flat != end)
-        at = at[(at + turn) % mask == 0]
-        for k in range(0, len(at), batch):
-            for name, d in gradient(w, flat, at[k : k + batch]).items():
-                square[name] += d * d
-                w[name] -= (rate * d / np.sqrt(square[name])).astype(np.float32)
-        return len(at)
+        every, seen = np.flatnonzero(flat != end), 0
+        for t in turns:
+            at = every[(every + t) % mask == 0]
+            for k in range(0, len(at), batch):
+                for name, d in gradient(w, flat, at[k : k + batch]).items():
+                    square[name] += d * d
+                    w[name] -= (rate * d / np.sqrt(square[name])).astype(np.float32)
+            seen += len(at)
+        return seen
 
     group, size = [], 0
     for t in texts:
@@ -193,61 +225,115 @@ def unpack_weights(data: bytes, like: dict[str, np.ndarray]) -> dict[str, np.nda
     return out
 
 
-def _mean(rows: DataFrame) -> tuple[bytes, int] | None:
-    """The mean of the weights in (part, n, weights), weighed by n; groups of 64 at a time."""
+def _mean(rows: DataFrame, many: int = 64) -> tuple[bytes, int] | None:
+    """The mean of the weights in (part, n, weights), weighed by n; groups of ``many`` at a time."""
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         total = int(frame["n"].sum())
         mean = sum(np.frombuffer(x, dtype=np.float32).astype(np.float64) * (n / total) for x, n in zip(frame["weights"], frame["n"], strict=True))
         return pd.DataFrame({"part": [int(frame["part"].iloc[0])], "n": [total], "weights": [mean.astype(np.float32).tobytes()]})
 
-    for _ in range(4):  # enough for 16 million partitions
-        rows = rows.withColumn("part", F.floor(F.col("part") / 64)).groupBy("part").applyInPandas(one, "part long, n long, weights binary")
+    for _ in range(math.ceil(24 / math.log2(many))):  # enough for 16 million partitions
+        rows = rows.withColumn("part", F.floor(F.col("part") / many)).groupBy("part").applyInPandas(one, "part long, n long, weights binary")
     found = rows.select("n", "weights").collect()  # one row
     return (bytes(found[0].weights), found[0].n) if found else None
 
 
+def count(docs: DataFrame, words: int, others: int, often: int, text: str = "text") -> Vocabulary:
+    """The vocabulary of ``docs`` with the counts of all words that have no token of their own."""
+    counted = kept(count_words(docs, text), "words")
+    frequent = {bytes(r.word): r.n for r in counted.where(F.col("n") >= often / 10).collect()}
+    own = {bytes(r.word): r.n for r in counted.orderBy(F.col("n").desc(), "word").limit(words).collect()} | {x: n for x, n in frequent.items() if n >= often}
+    vocabulary = Vocabulary(sorted(own, key=lambda x: (-own[x], x)), others)
+    vocabulary.sent = {x: n for x, n in frequent.items() if x not in own}
+    if not own:
+        return vocabulary
+    bucket = F.pmod(F.crc32("word"), F.lit(others)).cast("int")
+    totals = {r.b: (r.n, r.t) for r in counted.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("t")).collect()}
+    for x, n in own.items():
+        b = zlib.crc32(x) % others
+        totals[b] = (totals[b][0] - n, totals[b][1] - 1)
+    vocabulary.totals = [totals.get(b, (0, 0)) for b in range(others)]
+    vocabulary.counts = counted.where(F.col("n") < often / 10)
+    return vocabulary
+
+
 def train(
-    docs: DataFrame, words: int = 992, others: int = 32, rounds: int = 2, mask: int = 8, width: int = 16, text: str = "text"
+    docs: DataFrame, words: int = 992, others: int = 32, rounds: int = 2, mask: int = 8, width: int = 16, text: str = "text", often: int = 10_000, batch: int = 16_384
 ) -> tuple[Vocabulary, dict[str, np.ndarray]]:
-    counted = count_words(docs, text).orderBy(F.col("n").desc(), "word").limit(words)
-    vocabulary = Vocabulary([bytes(r.word) for r in counted.collect()], others)
+    vocabulary = count(docs, words, others, often, text)
     w = first_weights(vocabulary.size, width)
+    many = max(2, min(64, AVERAGED // len(pack_weights(w))))
     texts = docs.select(text_of(text).alias("text"), F.spark_partition_id().cast("long").alias("part"))
     for turn in range(rounds):
-        def run(batches: Iterator[pa.RecordBatch], w: dict = w, turn: int = turn) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], w: dict = w, turns: list[int] = [turn]) -> Iterator[pa.RecordBatch]:
             part: list[int] = []
 
             def each() -> Iterator[np.ndarray]:
-                for batch in batches:
-                    part[:] = [batch.column(1)[0].as_py()] if len(batch) else part
-                    for value in batch.column(0):
+                for rows in batches:
+                    part[:] = [rows.column(1)[0].as_py()] if len(rows) else part
+                    for value in rows.column(0):
                         yield vocabulary.tokens(value.as_py())
 
-            after, seen = learn(w, each(), turn, mask)
+            after, seen = learn(w, each(), turns, mask, batch)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([seen], pa.int64()), pa.array([pack_weights(after)], pa.binary())], names=["part", "n", "weights"])
 
-        found = _mean(texts.mapInArrow(run, "part long, n long, weights binary"))
+        found = _mean(texts.mapInArrow(run, "part long, n long, weights binary"), many)
         w = unpack_weights(found[0], w) if found else w
     return vocabulary, w
 
 
 def score(docs: DataFrame, vocabulary: Vocabulary, w: dict[str, np.ndarray], doc_id: str = "doc_id", text: str = "text", slice_tokens: int = 32_768) -> DataFrame:
-    """n_tokens, their summed log-probability and its mean for every row."""
+    """n_tokens, the summed log-probability of the words and its mean for every row."""
+    first, others, totals = vocabulary.first, vocabulary.others, vocabulary.totals
+    bottom = [math.log(n + t + 1) for n, t in totals]
+    fresh = [math.log(t + 1) - low for (_, t), low in zip(totals, bottom, strict=True)]
+    sent = {x: math.log(n) - bottom[zlib.crc32(x) % others] for x, n in vocabulary.sent.items()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = len(w["embedding"]) - 1
+        """A row a document, and one for each of its words whose count must be looked up."""
+        end, key = len(w["embedding"]) - 1, TaskContext.get().partitionId() << 33
         for batch in batches:
             for low in range(0, len(batch), 512):
                 part = batch.slice(low, 512)
-                tokens = [vocabulary.tokens(v.as_py()) for v in part.column(1)]
+                tokens, shares, keys, asked, times = [], [], [], [], []
+                for j, value in enumerate(part.column(1)):
+                    words = value.as_py().encode("utf-8", "replace").split()
+                    tokens.append(np.fromiter(map(vocabulary.__getitem__, words), dtype=np.int32, count=len(words)))
+                    share = 0.0
+                    for x, n in Counter([words[i] for i in np.flatnonzero(tokens[-1] >= first).tolist()]).items():
+                        if x in sent:
+                            share += n * sent[x]
+                        elif len(x) > LONGEST:
+                            share += n * (fresh[zlib.crc32(x) % others] - (len(x) + 1) * SPELLED)
+                        else:
+                            keys.append(key + j)
+                            asked.append(x)
+                            times.append(n)
+                    shares.append(share)
                 flat, starts = lay_out(tokens, end)
                 at = np.flatnonzero(flat != end)
                 logs = np.zeros(len(flat))
                 for k in range(0, len(at), slice_tokens):
                     logs[at[k : k + slice_tokens]] = log_probabilities(w, flat, at[k : k + slice_tokens])
-                sizes = np.array([len(t) for t in tokens], dtype=np.int64)
-                sums = np.add.reduceat(logs, starts)
-                means = pa.array(sums / np.maximum(sizes, 1), pa.float64(), mask=sizes == 0)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), means], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
-
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(run, SCORES)
+                sizes = pa.array([len(t) for t in tokens], pa.int64())
+                sums = np.add.reduceat(logs, starts) + np.array(shares)
+                own = [pa.array(range(key, key + len(part)), pa.int64()), part.column(0), sizes, pa.array(sums, pa.float64()), pa.nulls(len(part), pa.binary()), pa.nulls(len(part), pa.int64())]
+                yield pa.RecordBatch.from_arrays(own, names=names)
+                if asked:
+                    none = [pa.nulls(len(asked), t) for t in (pa.int64(), pa.int64(), pa.float64())]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *none, pa.array(asked, pa.binary()), pa.array(times, pa.int64())], names=names)
+                key += len(part)
+
+    names = ["key", "doc_id", "n_tokens", "log_likelihood", "word", "times"]
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
+    rows = kept(rows.mapInArrow(run, "key long, doc_id long, n_tokens long, log_likelihood double, word binary, times long"), "scored")
+    heads, asked = rows.where("times is null"), rows.where("times is not null").select("key", "word", "times")
+    counts = vocabulary.counts if vocabulary.counts is not None else docs.sparkSession.createDataFrame([], "word binary, n long")
+    bucket = F.pmod(F.crc32("word"), F.lit(others)).cast("int")
+    look = lambda values: F.get(F.array(*[F.lit(float(x)) for x in values]), bucket)
+    logs = F.when(F.col("n").isNull(), look(fresh) - (F.length("word") + 1) * SPELLED).otherwise(F.log("n") - look(bottom))
+    shares = asked.join(counts, "word", "left").select("key", (F.col("times") * logs).alias("log_likelihood"))
+    sums = heads.select("key", "doc_id", "n_tokens", "log_likelihood").unionByName(shares, allowMissingColumns=True).groupBy("key")
+    sums = sums.agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("log_likelihood").alias("log_likelihood"))
+    return sums.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_likelihood"))

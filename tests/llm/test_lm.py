@@ -81,3 +81,34 @@ def test_weights_of_parts_are_averaged_by_tokens(spark):
     rows = [(i, n, np.full(3, v, dtype=np.float32).tobytes()) for i, n, v in [(0, 1, 1.0), (70, 3, 5.0), (5000, 4, 2.0)]]
     data, n = lm._mean(spark.createDataFrame(rows, "part long, n long, weights binary"))
     assert n == 8 and np.frombuffer(data, dtype=np.float32) == pytest.approx([3.0, 3.0, 3.0])
+
+
+def test_the_vocabulary_grows_with_the_corpus(docs):
+    seen = {b"the", b"cat", b"sat", b"on", b"mat", b"a", b"dog", b"ran", b"in", b"park"}
+    assert set(lm.count(docs, 2, 4, 30)) == seen
+    vocabulary = lm.count(docs, 2, 4, 100)
+    assert set(list(vocabulary)[: vocabulary.first]) == {b"the", b"cat"}
+    assert vocabulary.sent == {w: 60 if w in (b"sat", b"on", b"mat") else 30 for w in seen - {b"the", b"cat"}}
+    assert sum(n for n, _ in vocabulary.totals) == 3 * 60 + 5 * 30 and sum(t for _, t in vocabulary.totals) == 8
+
+
+@pytest.mark.parametrize("often", [100, 10_000])
+def test_words_of_a_bucket_by_their_counts(spark, docs, often):
+    """Of the same bucket, whether counts are sent along or joined; words never counted are spelled, long ones too."""
+    vocabulary, w = lm.train(docs, words=2, others=1, often=often)
+    texts = ["cat mat", "cat dog", "cat zebra", "cat " + "y" * 80, "cat mat mat"]
+    got = [r.log_likelihood for r in lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), vocabulary, w).orderBy("doc_id").collect()]
+    n, t = 3 * 60 + 5 * 30, 8
+    assert vocabulary.totals == [(n, t)]
+    assert got[0] - got[1] == pytest.approx(np.log(60 / 30), abs=1e-5)
+    assert got[1] - got[2] == pytest.approx(np.log(30 / (t + 1)) + 6 * np.log(257), abs=1e-4)
+    assert got[2] - got[3] == pytest.approx(75 * np.log(257), abs=1e-3)
+    flat, _ = lm.lay_out([vocabulary.tokens(texts[4])], vocabulary.size)
+    assert got[4] == pytest.approx(lm.log_probabilities(w, flat, np.arange(2, 5)).sum() + 2 * np.log(60 / (n + t + 1)), abs=1e-4)
+
+
+def test_garbage_is_less_likely_than_text(spark, docs):
+    vocabulary, w = lm.train(docs)
+    rows = [(0, TEXTS[0]), (1, " ".join(f"q{i}zx" for i in range(180)))]
+    got = [r.mean_log_likelihood for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary, w).orderBy("doc_id").collect()]
+    assert got[1] < got[0] - 5
