@@ -8,9 +8,9 @@ bucket's words by the counts of the whole corpus: n / (N + T + 1) where it was c
 the distinct words of the bucket; the rest, (T + 1) / (N + T + 1), is for words never counted, spelled byte by byte at 1/257 a byte
 and for the end. A document's score is the sum of the log-probabilities of its words.
 
-Training is by rounds. In a round every partition of the corpus starts from the same weights, learns from one in ``mask``
-of its positions (others in each round) and returns its weights and token count; the mean over partitions, formed
-in groups of 64 or fewer, starts the next round. Only the counts of
+Training is by rounds. In a round every partition of the corpus starts from the same weights, learns from its share of
+the ``mask`` residues of positions, one residue after the other, and returns its weights and token count; the mean over
+partitions, formed in groups of 64 or fewer, starts the next round. Together the rounds predict every position once. Only the counts of
 words found ``often`` / 10 times, one row a bucket and weights reach the driver; the counts of all others meet the
 documents in a join, which no word that is frequent enough to be skewed enters.
 
@@ -184,6 +184,11 @@ def lay_out(texts: Iterable[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(parts), np.array(starts, dtype=np.int64)
 
 
+def residues(turn: int, rounds: int, mask: int) -> list[int]:
+    """Those that are learned from in a round: over all rounds each of 0 to ``mask`` - 1, once where rounds are not more."""
+    return [r % mask for r in range(turn, max(rounds, mask), rounds)]
+
+
 def learn(w: dict[str, np.ndarray], texts: Iterator[np.ndarray], turn: int | list[int], mask: int, batch: int = 4096, rate: float = 0.1) -> tuple[dict[str, np.ndarray], int]:
     """Adagrad over batches of the positions masked in this turn, or in these in order; returns the weights and the number of positions."""
     turns = [turn] if isinstance(turn, int) else turn
@@ -265,7 +270,7 @@ def train(
     many = max(2, min(64, AVERAGED // len(pack_weights(w))))
     texts = docs.select(text_of(text).alias("text"), F.spark_partition_id().cast("long").alias("part"))
     for turn in range(rounds):
-        def run(batches: Iterator[pa.RecordBatch], w: dict = w, turns: list[int] = [turn]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], w: dict = w, turns: list[int] = residues(turn, rounds, mask)) -> Iterator[pa.RecordBatch]:
             part: list[int] = []
 
             def each() -> Iterator[np.ndarray]:

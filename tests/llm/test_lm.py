@@ -83,6 +83,27 @@ def test_weights_of_parts_are_averaged_by_tokens(spark):
     assert n == 8 and np.frombuffer(data, dtype=np.float32) == pytest.approx([3.0, 3.0, 3.0])
 
 
+def test_every_position_is_learned_from_once(monkeypatch):
+    """Also those of a text shorter than the mask."""
+    texts = [np.arange(n, dtype=np.int32) % 60 for n in (1, 3, 2, 40, 1000, 5)]
+    seen = Counter()
+    whole = lm.gradient
+    monkeypatch.setattr(lm, "gradient", lambda w, flat, at: (seen.update(at.tolist()), whole(w, flat, at))[1])
+    for turn in range(2):
+        lm.learn(lm.first_weights(64, 4), iter(texts), lm.residues(turn, 2, 8), 8)
+    flat, _ = lm.lay_out(texts, 64)
+    assert seen == Counter(np.flatnonzero(flat != 64).tolist())
+    assert [lm.residues(t, 3, 2) for t in range(3)] == [[0], [1], [0]]
+
+
+def test_training_covers_the_corpus(docs, monkeypatch):
+    """By the defaults, over all rounds."""
+    total, whole = [], lm._mean
+    monkeypatch.setattr(lm, "_mean", lambda rows, many: (total.append((found := whole(rows, many))[1]), found)[1])
+    lm.train(docs)
+    assert sum(total) == sum(len((t or "").split()) for t in [*TEXTS, "the cat"])
+
+
 def test_the_vocabulary_grows_with_the_corpus(docs):
     seen = {b"the", b"cat", b"sat", b"on", b"mat", b"a", b"dog", b"ran", b"in", b"park"}
     assert set(lm.count(docs, 2, 4, 30)) == seen
