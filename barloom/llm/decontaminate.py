@@ -1,8 +1,8 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted shingles.
 
 A window is as many words of a document as a benchmark item has, placed so that one of its shingles stands where that
-shingle stands in an item of this length. (A window that shares none can't be similar at all, so nothing else is
-fingerprinted.) Windows and items get a 64-bit SimHash of their shingles. Fingerprints within ``radius`` 23 bits have, of
+shingle stands in an item of this length. What sticks out of the document is clipped, so an item that lacks words where
+the document starts or ends, or a document shorter than the item, has its window too. Windows and items get a 64-bit SimHash of their shingles. Fingerprints within ``radius`` 23 bits have, of
 8 blocks of 8 bits, one that differs in 2 bits at most: items are indexed under every such variant of every block,
 windows look their blocks up, and all pairs within the radius are found. A pair counts if its shingles, weighed by
 their letters, have a similarity (common weight over united weight) of ``least`` or more.
@@ -92,25 +92,27 @@ def matches(
     windows = found[0]
     for more in found[1:]:
         windows = windows.unionByName(more)
-    windows = windows.select("address", (F.col("pos") - F.col("p.at")).alias("start"), F.col("p.n").alias("n"), "words").where("start >= 0 and start + n <= words")
-    windows = windows.groupBy("address").agg(F.collect_set(F.struct("start", "n")).alias("windows"))
+    windows = windows.select("address", (F.col("pos") - F.col("p.at")).alias("start"), F.col("p.n").alias("n"), "words")
+    # n stays that of the item, held is how many words the document has there
+    clipped = F.struct(F.greatest(F.lit(0), "start").alias("start"), "n", (F.least("words", F.col("start") + F.col("n")) - F.greatest(F.lit(0), "start")).alias("held"))
+    windows = windows.groupBy("address").agg(F.collect_set(clipped).alias("windows"))
     windows = kept(windows, "windows")
     texts = docs.select(F.md5(text_of(text)).alias("address"), text_of(text).alias("t")).join(few(windows), "address").dropDuplicates(["address"])
     texts = texts.select("address", "windows", words_of(lower_ascii(F.col("t"))).alias("w"))
-    cut = texts.select("address", "w", F.explode("windows").alias("p")).select("address", "p.start", "p.n", F.slice("w", F.col("p.start") + 1, F.col("p.n")).alias("w"))
-    cut = cut.select("address", "start", "n", shingles(F.col("w"), size).alias("own"))
+    cut = texts.select("address", "w", F.explode("windows").alias("p")).select("address", "p.start", "p.n", "p.held", F.slice("w", F.col("p.start") + 1, F.col("p.held")).alias("w"))
+    cut = cut.select("address", "start", "n", "held", shingles(F.col("w"), size).alias("own"))
     cut = kept(cut.withColumn("own_print", simhash(F.col("own"))), "prints")
 
-    asked = cut.select("address", "start", "n", "own_print", F.explode(_blocks(F.col("own_print"))).alias("b")).select("address", "start", "n", "own_print", "b.block", "b.value")
+    asked = cut.select("address", "start", "n", "held", "own_print", F.explode(_blocks(F.col("own_print"))).alias("b")).select("address", "start", "n", "held", "own_print", "b.block", "b.value")
     masks = F.array(*[F.lit(m) for m in _errors(radius)])
     index = items.select("item", "n", "print", F.explode(_blocks(F.col("print"))).alias("b"), masks.alias("m")).select("item", "n", "print", "b.block", "b.value", F.explode("m").alias("mask"))
     index = index.select("item", "n", "print", "block", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
     near = asked.join(index, (asked["n"] == index["n"]) & (asked["block"] == index["block"]) & (asked["value"] == index["value"]) & (F.bit_count(F.col("own_print").bitwiseXOR(F.col("print"))) <= radius))
-    near = near.select("address", "start", asked["n"], "item").distinct()
-    pairs = near.join(cut.select("address", "start", "n", "own"), ["address", "start", "n"]).join(items.select("item", "item_id", "shingles"), "item")
-    scored = pairs.select("address", "item_id", "start", "n", F.round(similarity(F.col("own"), F.col("shingles")), 6).alias("similarity")).where(F.col("similarity") >= least)
-    best = scored.groupBy("address", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n")).alias("b"))
-    return best.select("address", "item_id", "b.similarity", (-F.col("b.s")).cast("long").alias("start_word"), F.col("b.n").cast("long").alias("n_words"))
+    near = near.select("address", "start", asked["n"], "held", "item").distinct()
+    pairs = near.join(cut.select("address", "start", "n", "held", "own"), ["address", "start", "n", "held"]).join(items.select("item", "item_id", "shingles"), "item")
+    scored = pairs.select("address", "item_id", "start", "held", F.round(similarity(F.col("own"), F.col("shingles")), 6).alias("similarity")).where(F.col("similarity") >= least)
+    best = scored.groupBy("address", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "held")).alias("b"))
+    return best.select("address", "item_id", "b.similarity", (-F.col("b.s")).cast("long").alias("start_word"), F.col("b.held").cast("long").alias("n_words"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

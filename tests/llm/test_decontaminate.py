@@ -88,3 +88,33 @@ def test_blocks_guarantee_the_radius():
         errors = rng.sample(range(64), RADIUS)
         blocks = [sum(1 << (e % BLOCK) for e in errors if e // BLOCK == k) for k in range(64 // BLOCK)]
         assert any(b in masks for b in blocks)
+
+
+def test_windows_are_clipped_to_the_document(spark):
+    """Every window and every clipped one by brute force, without a condition on where its shingles stand."""
+    weight = lambda s: sum(map(len, s))
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    items = [(i, " ".join(word() for _ in range(rng.randint(12, 60)))) for i in range(20)]
+    docs, more = [], lambda: [word() for _ in range(30)]
+    for _, text in items:
+        v = words(text)
+        middle = v[: len(v) // 2] + v[len(v) // 2 + 1 :]
+        docs += [v[1:], v[:-1], v[1:] + more(), more() + v[:-1], v[1:-1], middle, middle + more(), more() + middle, v[: len(v) // 2]]
+    want = set()
+    for d, w in enumerate(docs):
+        for i, text in items:
+            v = words(text)
+            b = shingles(v)
+            for at in range(1 - len(v), len(w)):
+                a = shingles(w[max(0, at) : at + len(v)])
+                if a & b and round(weight(a & b) / weight(a | b), 6) >= 0.8:
+                    want.add((d, i))
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = contaminated(frame, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == want
+    assert {d for d, _ in want} >= {d for d in range(len(docs)) if d % 9 < 4}
+    for r in rows:
+        assert 0 <= r.start_word and r.start_word + r.n_words <= len(docs[r.doc_id])
+    assert {r.doc_id for r in clean(frame, bench).collect()} == set(range(len(docs))) - {d for d, _ in want}
