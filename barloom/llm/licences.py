@@ -1,6 +1,8 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Units are the lines of every text (a header is a line or more) and the text as a whole (a licence file). Terms are runs
+Units are the lines and sentences of every text, the text as a whole (a licence file), and windows of as many terms as a
+template has, placed so that an anchor stands where it stands in the template, across line ends: a declaration is found in
+whatever it is wrapped into. Terms are runs
 of letters and digits, weighed by their count and their rarity among the templates; a term that no template has
 weighs most. A unit's licence is the template of the highest cosine, if that is ``least`` or more.
 
@@ -91,6 +93,29 @@ def anchors(templates: dict[str, str], least: float) -> list[str]:
     return sorted(found)
 
 
+def places(templates: dict[str, str], least: float) -> dict[str, list[tuple[int, int]]]:
+    """Of each anchor where it stands among the terms of templates, and how many terms those have."""
+    out: dict[str, set[tuple[int, int]]] = {a: set() for a in anchors(templates, least)}
+    for text in templates.values():
+        terms = re.findall(r"[^\W_]+", text.lower())
+        for at, t in enumerate(terms):
+            if t in out:
+                out[t].add((at, len(terms)))
+    return {a: sorted(p) for a, p in out.items()}
+
+
+def _windows(terms: Column, templates: dict[str, str], least: float) -> Column:
+    """The windows of a list of terms, clipped to it."""
+    stand = F.create_map(*[c for a, p in places(templates, least).items() for c in (F.lit(a), F.array(*[F.struct(F.lit(q).alias("q"), F.lit(n).alias("n")) for q, n in p]))])
+    found = F.filter(F.transform(terms, lambda t, i: F.struct(i.alias("i"), F.element_at(stand, t).alias("p"))), lambda x: x["p"].isNotNull())
+
+    def at(i: Column, p: Column) -> Column:
+        start = i - p["q"]
+        return F.array_join(F.slice(terms, F.greatest(start, F.lit(0)) + 1, p["n"] + F.least(start, F.lit(0))), " ")
+
+    return F.flatten(F.transform(found, lambda x: F.transform(x["p"], lambda p: at(x["i"], p))))
+
+
 def by_unit(units: DataFrame, templates: dict[str, str], least: float) -> DataFrame:
     """id, licence, similarity of the ``units`` (id and unit, one row an id) that reach ``least``.
 
@@ -119,8 +144,10 @@ def declared(texts: DataFrame, templates: dict[str, str] = TEMPLATES, least: flo
     """address (MD5 of the text), licence and similarity of the texts (a column ``text``) that declare one themselves."""
     anchor = rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{'|'.join(anchors(templates, least))})(?![\p{{L}}\p{{N}}])"
     texts = texts.where(F.col("text").rlike(anchor)).select(F.md5("text").alias("address"), "text")
-    parts = F.filter(F.split("text", r"[\r\n]+"), lambda x: x.rlike(anchor))
-    units = texts.select("address", F.explode(F.array_distinct(F.array_append(parts, F.col("text")))).alias("unit")).withColumn("id", F.md5("unit"))
+    texts = texts.dropDuplicates(["address"]).withColumn("terms", F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(TERM), F.lit(0)))
+    parts = F.filter(F.concat(F.split("text", r"[\r\n]+"), F.split("text", r"(?<=[.!?])\s+")), lambda x: x.rlike(anchor))
+    parts = F.concat(parts, F.array("text"), _windows(F.col("terms"), templates, least))
+    units = texts.select("address", F.explode(F.array_distinct(parts)).alias("unit")).withColumn("id", F.md5("unit"))
     scored = kept(by_unit(units.select("id", "unit").dropDuplicates(["id"]), templates, least), "scored")
     best = units.select("address", "id").join(few(scored), "id").groupBy("address").agg(_best())
     return best.select("address", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("similarity"))

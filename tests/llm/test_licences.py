@@ -67,3 +67,18 @@ def test_nearest_ancestor(spark):
 
 def test_empty(spark):
     assert scan(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
+
+
+def test_declarations_that_share_or_break_their_line(spark):
+    body = "nothing but other words stand here and go on for long " * 20
+    texts = {
+        "This work is licensed under the GNU General Public\nLicense, version 3.": "GPL-3.0",
+        "Copyright 2020 Acme Inc. Released under the MIT License.": "MIT",
+        "Copyright (c) 2021 Jane Doe. Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        body + "Licensed under CC BY-NC 4.0. " + body: "CC-BY-NC-4.0",
+        body + "it was (Released under\n# the ISC License) " + body: "ISC",
+        body: None,
+    } | {body + t.replace(" ", "\n", 2) + " " + body: n for n, t in TEMPLATES.items()}
+    rows = [(i, f"{i}/x", t) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.licence for r in scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == list(texts.values())
