@@ -73,4 +73,68 @@ FROM documents d LEFT JOIN g USING (doc_id)
 """
 )
 
-ORACLE = {"op4_segment_topk": TOPK, "op5_minhash_hamming": NEAR_DEDUP, "op6_warc_chain": WARC, "op7_secret_ledger": SECRETS}
+
+def _clusters(k: int = 8, rounds: int = 10, seed: int = 3, width: int = 64) -> str:
+    """Rounds one after another; all numbers are whole and small enough for a double."""
+    near = "SELECT v.vec_id, v.e, arg_min(c.j, (v.ee - 2 * list_inner_product(v.e, c.c) + c.cc, c.j)) AS j, min(v.ee - 2 * list_inner_product(v.e, c.c) + c.cc) AS d FROM v, {c} c GROUP BY v.id, v.vec_id, v.e"
+    parts = [
+        f"""v AS (SELECT row_number() OVER () AS id, vec_id, e, list_inner_product(e, e) AS ee FROM (
+          SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+          WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {width}))""",
+        f"""c0 AS (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), e) - 1 AS j, e AS c, ee AS cc FROM v
+          WHERE vec_id IS NOT NULL ORDER BY sha256('{seed}:' || vec_id), e LIMIT {k})""",
+    ]
+    for i in range(rounds):
+        parts += [
+            f"a{i} AS ({near.format(c=f'c{i}')})",
+            f"""m{i} AS (SELECT j, list(floor(s / n) ORDER BY nth) AS c FROM (
+              SELECT j, nth, sum(x) AS s, count(*) AS n FROM (SELECT j, unnest(e) AS x, unnest(range({width})) AS nth FROM a{i}) GROUP BY j, nth) GROUP BY j)""",
+            f"""c{i + 1} AS (SELECT o.j, coalesce(m.c, o.c) AS c, list_inner_product(coalesce(m.c, o.c), coalesce(m.c, o.c)) AS cc
+              FROM c{i} o LEFT JOIN m{i} m ON m.j = o.j)""",
+        ]
+    parts += [f"a{rounds} AS ({near.format(c=f'c{rounds}')})"]
+    return f"""WITH {", ".join(x.replace(" AS (", " AS MATERIALIZED (", 1) for x in parts)}
+      SELECT a.vec_id, CAST(a.j AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance,
+        CAST(sum(a.d) OVER (PARTITION BY a.j) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+        sha256(array_to_string(list_transform(c.c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+      FROM a{rounds} a JOIN c{rounds} c USING (j)"""
+
+
+COLLOCATIONS = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, list_filter(string_split_regex(unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[\x20\x09]+'), lambda x: x <> '') AS w
+  FROM documents
+), t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+g AS (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, least(5, len(w) - i + 1) + 1)) AS m FROM s)),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+z AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.a AS l, y.a AS r, t.n, CAST((CAST(1000 AS HUGEINT) * c.a * t.n) // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : c.k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1 : c.m], ' ') JOIN t ON t.lang = c.lang
+), b AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (
+  SELECT lang, phrase, max(a) AS a FROM (
+    SELECT lang, a, array_to_string(w[i : i + q - 1], ' ') AS phrase FROM (
+      SELECT *, unnest(range(1, m - q + 2)) AS i FROM (SELECT lang, a, m, string_split(phrase, ' ') AS w, unnest(range(2, m)) AS q FROM f WHERE m > 2)))
+  GROUP BY lang, phrase
+)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, l, r, n, score
+FROM b LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE o.a IS NULL OR 100 * o.a < 100 * b.a QUALIFY rank <= 2000
+"""
+
+LINES = r"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS nth FROM d),
+k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (f.key IS NULL), '')) AS kept_sha256
+FROM d JOIN k USING (id) LEFT JOIN f ON f.key = k.key GROUP BY id, doc_id
+"""
+
+ORACLE = {
+    "op4_segment_topk": TOPK, "op5_minhash_hamming": NEAR_DEDUP, "op6_warc_chain": WARC, "op7_secret_ledger": SECRETS,
+    "op11_literal_centroids": _clusters(), "op12_suffix_collocations": COLLOCATIONS, "op13_hashed_lines": LINES,
+}

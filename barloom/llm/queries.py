@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, licences, lm, near_dedup, packing, quality, secrets, sharding, topk, warc
+from barloom.llm import clusters, collocations, decontaminate, licences, lines, lm, near_dedup, packing, quality, secrets, sharding, topk, warc
 from barloom.llm.common import table
 
 PREDICT = 0.3
@@ -71,6 +71,19 @@ def contaminated_rows(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def cluster_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return clusters.described(clusters.fit(table(spark, folder, "embeddings"), k=8, rounds=10, seed=3))
+
+
+def collocation_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"), least=100, top=2000, share=100)
+
+
+def line_rows(spark: SparkSession, folder: str) -> DataFrame:
+    left = lines.split_texts(table(spark, folder, "documents"), enough=10, points=1)
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_attention_quality": quality_rows,
     "op2_best_two_fit": packing_rows,
@@ -82,4 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bounded_ring": sharding_rows,
     "op9_masked_lm": lm_rows,
     "op10_simhash_decontamination": contaminated_rows,
+    "op11_literal_centroids": cluster_rows,
+    "op12_suffix_collocations": collocation_rows,
+    "op13_hashed_lines": line_rows,
 }
