@@ -9,10 +9,11 @@ more, and again, until each fits. Prefixes are dealt by a hash to groups of abou
 sums over runs of equal starts, read off the sorted leaves, are the nodes of its subtrees. Only nodes above a divided
 prefix have parts in several groups; those parts are added up afterwards.
 
-A phrase that occurs ``least`` times is made of words that do. Words that do not end a suffix; they are told by a table of
-2**24 bits in which the bit of every frequent word is set, whatever the size of the vocabulary: a word that shares a bit only
-makes a suffix longer than needed, so the result does not depend on it. Counts of single words, and of all of a language, are
-over the whole corpus.
+A phrase that occurs ``least`` times is made of words, and of pairs of neighbours, that do. A suffix ends before a word that is not
+frequent, and after the first word of a pair that is not. Both are told by a table of 2**BITS bits in which the bit of every
+frequent word or pair is set, whatever the size of the corpus: another one that shares a bit only makes a suffix longer
+than needed, so the result does not depend on it. Counts of single words, and of all of a language, are over the whole
+corpus.
 
 Scores, the least over the cuts of a phrase, are whole numbers of 38 digits until they are divided.
 
@@ -37,10 +38,10 @@ from pyspark.sql import functions as F
 from barloom.llm.common import few, kept, text_of
 
 LONGEST = 5
-BUDGET = 1 << 16
-BITS = 24
-CHUNK = 1 << 20  # words that a task gathers before it adds up their suffixes
-KNOWN = 400_000
+BUDGET = 1 << 18
+BITS = 25
+CHUNK = 1 << 19  # words that a task gathers before it adds up their pairs or suffixes
+KNOWN = 150_000
 #: Ends of pieces become line ends, a tab a blank.
 TABLE = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 SUFFIX = "lang string, suffix binary, n long"
@@ -50,8 +51,14 @@ def pieces_of(data: bytes) -> list[bytes]:
     return data.lower().translate(TABLE).split(b"\n")
 
 
-def _bit(lang: str, word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(lang.encode("utf-8", "replace") + b"\n" + word) >> (64 - BITS)
+def _hash(lang: str, word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(lang.encode("utf-8", "replace") + b"\n" + word)
+
+
+def _pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    x = first * np.uint64(0x9E3779B97F4A7C15) + second
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
 
 def _slabs(piece: bytes, size: int = 1 << 20) -> Iterator[bytes]:
@@ -85,43 +92,110 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def frequent_bits(frequent: DataFrame) -> bytes:
-    """The table of bits of (lang, word); at most 2**BITS bits reach the driver, in words of 64."""
+def bit_table(hashes: DataFrame) -> bytes:
+    """The table with the bits of all ``hashes`` (h); at most 2**BITS bits reach the driver, in words of 64."""
+    place = F.shiftrightunsigned("h", 64 - BITS)
+    rows = hashes.select((place / 64).cast("long").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("mask"))
+    rows = rows.groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
+    table = np.zeros(1 << (BITS - 6), dtype="<i8")
+    table[rows["at"].to_numpy()] = rows["mask"].to_numpy()
+    return table.tobytes()
+
+
+def word_hashes(words: DataFrame) -> DataFrame:
+    """h of each (lang, word), as tasks compute it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.array([_bit(lang, word) for lang, word in zip(*(c.to_pylist() for c in batch.columns), strict=True)], dtype=np.uint64)
-            masks = (np.uint64(1) << (bits % np.uint64(64))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((bits // np.uint64(64)).astype(np.int64)), pa.array(masks)], names=["at", "mask"])
+            h = np.array([_hash(lang, word) for lang, word in zip(*(c.to_pylist() for c in batch.columns), strict=True)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+
+    return words.select("lang", "word").mapInArrow(run, "h long")
 
-    rows = frequent.select("lang", "word").mapInArrow(run, "at long, mask long").groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
-    table = np.zeros(1 << (BITS - 6), dtype=np.int64)
-    table[rows["at"].to_numpy()] = rows["mask"].to_numpy()
-    return np.packbits(np.unpackbits(table.view(np.uint8), bitorder="little")).tobytes()
+
+def _told(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = hashes >> np.uint64(64 - BITS)
+    return (table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 class Words(dict):
-    """Word to a number from 1 on, 0 for a word that is not frequent; ``names`` has the words by number."""
+    """Word to a number from 1 on, 0 for a word that is not frequent; ``names`` and ``hashes`` have those by number."""
 
-    def __init__(self, lang: str, bits: np.ndarray):
+    def __init__(self, lang: str, table: np.ndarray):
         super().__init__()
-        self.lang, self.bits, self.names = lang, bits, []
+        self.lang, self.table, self.names, self.hashes = lang, table, [], [0]
 
     def __missing__(self, word: bytes) -> int:
-        bit = _bit(self.lang, word)
-        number = 0
-        if self.bits[bit >> 3] >> (7 - (bit & 7)) & 1:
+        h, number = _hash(self.lang, word), 0
+        place = h >> (64 - BITS)
+        if self.table[place >> 3] >> (place & 7) & 1:
             self.names.append(word)
+            self.hashes.append(h)
             number = len(self.names)
         self[word] = number
         return number
 
 
-def distinct_suffixes(numbers: np.ndarray, starts: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct suffixes, rows of ``longest`` numbers (below 2**21) filled up with 0, of the first ``starts`` places, and how often each is there."""
-    padded = np.concatenate([numbers, np.zeros(longest, dtype=np.int64)])
+class Gathered:
+    """The numbers of the words of a task's texts by language, 0 at ends and for words that are not frequent.
+
+    ``flush`` is called with a language's words, their numbers and how many places at the end still lack what follows them.
+    """
+
+    def __init__(self, table: bytes, flush, overlap: int):
+        self.table, self.flush, self.overlap = np.frombuffer(table, dtype=np.uint8), flush, overlap
+        self.known: dict[str, Words] = {}
+        self.texts: dict[str, list[int]] = {}
+
+    def _out(self, lang: str, keep: int = 0) -> Iterator[pa.RecordBatch]:
+        words, numbers = self.known[lang], self.texts[lang]
+        yield from self.flush(lang, words, np.array(numbers, dtype=np.int64), keep)
+        rest = [words.names[i - 1] if i else None for i in numbers[len(numbers) - keep :]]
+        if len(words) > KNOWN:
+            words = self.known[lang] = Words(lang, self.table)
+        self.texts[lang] = [0 if w is None else words[w] for w in rest]
+
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if lang not in self.known:
+                    self.known[lang], self.texts[lang] = Words(lang, self.table), []
+                for piece in pieces_of(value.as_py()):
+                    for slab in _slabs(piece):
+                        self.texts[lang].extend(map(self.known[lang].__getitem__, slab.split()))
+                        if len(self.texts[lang]) > CHUNK:
+                            yield from self._out(lang, self.overlap)
+                    self.texts[lang].append(0)
+                if sum(map(len, self.texts.values())) > 2 * CHUNK:
+                    yield from self.end()
+        yield from self.end()
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        for lang in list(self.texts):
+            yield from self._out(lang)
+            self.known.pop(lang), self.texts.pop(lang)
+
+
+def pair_hashes(docs: DataFrame, table: bytes) -> DataFrame:
+    """h and n, its number of places, of every pair of neighbours that are both frequent; pairs of one hash count as one."""
+    def flush(lang: str, words: Words, numbers: np.ndarray, keep: int) -> Iterator[pa.RecordBatch]:
+        first, second = numbers[:-1], numbers[1:]
+        packed, n = np.unique((first << 21 | second)[(first > 0) & (second > 0)], return_counts=True)
+        of = np.array(words.hashes, dtype=np.uint64)
+        h = _pair_hashes(of[packed >> 21], of[packed & ((1 << 21) - 1)])
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    return docs.mapInArrow(lambda batches: Gathered(table, flush, 1).run(batches), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def distinct_suffixes(numbers: np.ndarray, goes_on: np.ndarray, starts: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct suffixes, rows of ``longest`` numbers (below 2**21) filled up with 0, of the first ``starts`` places, and how often each is there.
+
+    ``goes_on`` tells whether a place and the next one are a pair that suffixes may hold.
+    """
+    padded, goes_on = np.concatenate([numbers, np.zeros(longest, dtype=np.int64)]), np.concatenate([goes_on, np.zeros(longest, dtype=bool)])
     cols = [padded[:starts]]
     for j in range(1, longest):
-        cols.append(np.where(cols[-1] > 0, padded[j : starts + j], 0))
+        cols.append(np.where((cols[-1] > 0) & goes_on[j - 1 : starts + j - 1], padded[j : starts + j], 0))
     there = cols[0] > 0
     cols = [c[there] for c in cols] + [np.zeros(int(there.sum()), dtype=np.int64)] * (-longest % 3)
     if not len(cols[0]):
@@ -141,59 +215,57 @@ def joined(rows: np.ndarray, names: pa.Array) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), words), pa.scalar(b" ", pa.binary()))
 
 
-def leaves(docs: DataFrame, bits: bytes, longest: int) -> DataFrame:
-    """lang, suffix and n, its number of places, of every distinct suffix of ``docs`` (lang, text as bytes)."""
+def _rows(lang: str, suffix: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for low in range(0, len(n), 1 << 16):
+        part = slice(low, low + (1 << 16))
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n[part]), pa.string()), suffix[part], pa.array(n[part], pa.int64())], names=["lang", "suffix", "n"])
+
+
+def leaves(docs: DataFrame, table: bytes, pairs: bytes, longest: int) -> DataFrame:
+    """lang, suffix and n, its number of places, of every distinct suffix of ``docs`` (lang, text as bytes).
+
+    Suffixes of one or two words come back all the time, so a task sends them once for every KNOWN of them.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(bits, dtype=np.uint8)
-        known: dict[str, Words] = {}
-        texts: dict[str, list[int]] = {}
-
-        def flush(lang: str, keep: int = 0) -> Iterator[pa.RecordBatch]:
-            """What is gathered, but for the last ``keep`` places, whose suffixes may go on."""
-            numbers, words = np.array(texts[lang], dtype=np.int64), known[lang]
-            rows, n = distinct_suffixes(numbers, len(numbers) - keep, longest)
-            if len(n):
-                suffix = joined(rows, pa.array(words.names, pa.binary()))
-                for low in range(0, len(n), 1 << 16):
-                    part = slice(low, low + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n[part]), pa.string()), suffix[part], pa.array(n[part])], names=["lang", "suffix", "n"])
-            rest = [words.names[i - 1] if i else None for i in texts[lang][len(numbers) - keep :]]
-            if len(words) > KNOWN:
-                words = known[lang] = Words(lang, table)
-            texts[lang] = [words[w] if w else 0 for w in rest]
+        short: dict[str, Counter] = {}
 
-        for batch in batches:
-            for lang, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if lang not in known:
-                    known[lang], texts[lang] = Words(lang, table), []
-                for piece in pieces_of(value.as_py()):
-                    for slab in _slabs(piece):
-                        texts[lang].extend(map(known[lang].__getitem__, slab.split()))
-                        if len(texts[lang]) > CHUNK:
-                            yield from flush(lang, longest - 1)
-                    texts[lang].append(0)
-                if sum(map(len, texts.values())) > 2 * CHUNK:
-                    for other in list(texts):
-                        yield from flush(other)
-                        known.pop(other), texts.pop(other)
-        for lang in list(texts):
-            yield from flush(lang)
+        def sent() -> Iterator[pa.RecordBatch]:
+            for lang, own in short.items():
+                yield from _rows(lang, pa.array(list(own), pa.binary()), np.fromiter(own.values(), dtype=np.int64, count=len(own)))
+            short.clear()
+
+        def flush(lang: str, words: Words, numbers: np.ndarray, keep: int) -> Iterator[pa.RecordBatch]:
+            of = np.array(words.hashes, dtype=np.uint64)
+            goes_on = _told(np.frombuffer(pairs, dtype=np.uint8), _pair_hashes(of[numbers[:-1]], of[numbers[1:]]))
+            rows, n = distinct_suffixes(numbers, goes_on, len(numbers) - keep, longest)
+            names, brief = pa.array(words.names, pa.binary()), rows[:, min(2, longest - 1)] == 0
+            own = short.setdefault(lang, Counter())
+            for suffix, times in zip(joined(rows[brief], names).to_pylist(), n[brief].tolist(), strict=True):
+                own[suffix] += times
+            if sum(map(len, short.values())) > KNOWN:
+                yield from sent()
+            yield from _rows(lang, joined(rows[~brief], names), n[~brief])
+
+        yield from Gathered(table, flush, longest - 1).run(batches)
+        yield from sent()
 
-    found = docs.mapInArrow(run, SUFFIX).groupBy("lang", F.col("suffix").cast("string").alias("suffix"))
-    return found.agg(F.sum("n").alias("n"))
+    found = docs.mapInArrow(run, SUFFIX)
+    return found.groupBy("lang", F.col("suffix").cast("string").alias("suffix")).agg(F.sum("n").alias("n"))
 
 
 def divided(leaves: DataFrame, budget: int, longest: int) -> DataFrame:
     """``leaves`` with ``part`` (the group they are built in) and ``level``, the length of the prefix they are divided by."""
     start = lambda words: F.substring_index("suffix", " ", words)
     placed = leaves.withColumns({"prefix": start(1), "level": F.lit(1)})
+    sizes = kept(placed.groupBy("lang", "prefix").agg(F.count("*").alias("__n")), "prefixes")
+    groups = max(1, -(-(sizes.agg(F.sum("__n")).first()[0] or 0) // budget))
     for words in range(2, longest + 1):
-        large = kept(placed.groupBy("lang", "prefix").agg(F.count("*").alias("__n")).where(F.col("__n") > budget), "prefixes")
+        large = kept(sizes.where(F.col("__n") > budget), "prefixes")
         if not large.limit(1).count():
             break
         placed = placed.join(few(large), ["lang", "prefix"], "left")
         placed = placed.withColumns({"prefix": F.when(F.col("__n").isNull(), F.col("prefix")).otherwise(start(words)), "level": F.when(F.col("__n").isNull(), F.col("level")).otherwise(words)}).drop("__n")
-    groups = max(1, -(-leaves.count() // budget))
+        sizes = placed.where(F.col("level") == words).groupBy("lang", "prefix").agg(F.count("*").alias("__n"))
     return placed.withColumn("part", F.pmod(F.xxhash64("lang", "prefix"), F.lit(groups)).cast("int"))
 
 
@@ -234,8 +306,9 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = LONGEST, budget: i
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), text_of(text).cast("binary").alias("text"))
     counted = kept(count_words(texts), "words")
     totals = counted.groupBy("lang").agg(F.sum("n").alias("n"))
-    bits = frequent_bits(counted.where(F.col("n") >= least))
-    parts = divided(kept(leaves(texts, bits, longest), "leaves"), budget, longest)
+    table = bit_table(word_hashes(counted.where(F.col("n") >= least)))
+    pairs = bit_table(pair_hashes(texts, table).where(F.col("n") >= least).select("h"))
+    parts = divided(kept(leaves(texts, table, pairs, longest), "leaves"), budget, longest)
     return kept(subtrees(parts, least, longest), "phrases"), totals
 
 
