@@ -98,9 +98,14 @@ def training_sequences(bars: DataFrame, length: int, **options) -> DataFrame:
     return training_data(bars, length, **options)[0]
 
 
-def tree_data(bars: DataFrame, fit_on: str = "train", min_bars: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Rows for boosted trees on the next day's return, and the scaling parameters of their features."""
-    features = materialize(feature_rows(bars))
+def tree_data(
+    bars: DataFrame, fit_on: str = "train", min_bars: int = 2, features: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Rows for boosted trees on the next day's return, and the scaling parameters of their features.
+
+    ``features``, where given, are the kept ``feature_rows`` of the bars.
+    """
+    features = materialize(feature_rows(bars)) if features is None else features
     rows = labelled_rows(features, min_bars).withColumnRenamed("next_return", "label")
     rows = materialize(_split_whole(rows, RETURN_FEATURES))
     params = materialize(fit_scaler(rows if fit_on == "train" else features, RETURN_FEATURES, "robust", fit_on))

@@ -14,6 +14,7 @@ from ..operators.sequences import sequences
 from ..schema import KEYS
 from ..session import checkpointed
 from ..sources.periods import interval_seconds
+from .predictors import Predictor, compiled, folded
 
 _DAY = 86_400
 FORECAST = ("ticker", "step", "ts", "price", "sentiment", "confidence")
@@ -74,14 +75,23 @@ def _advance(seq: Column, value: Column) -> Column:
     return F.concat(F.slice(seq, 2, F.size(seq) - 1), F.array(row))
 
 
-def forecast(model: PipelineModel, latest: DataFrame, steps: int, interval: str, dual: bool = False) -> DataFrame:
+def forecast(
+    model: PipelineModel | Predictor, latest: DataFrame, steps: int, interval: str, dual: bool = False
+) -> DataFrame:
     """(ticker, step, ts, price, sentiment, confidence).
 
     Each step predicts a return from the last rows, moves the price by it and feeds the scaled
-    return back. A ticker without a full sequence gets one neutral row at its last close. The
-    state is one row per ticker, kept between steps so that the plan does not grow.
+    return back. A ticker without a full sequence gets one neutral row at its last close. Trees, logistic models and
+    formulas are folded over the steps in one pass; any other model needs a job for each step.
     """
     times = future_times(latest, steps, interval)
+    predictor = model if isinstance(model, Predictor) else compiled(model)
+    done = forecast_by_steps(model, latest, steps, dual) if predictor is None else folded(latest, predictor, steps)
+    return with_fallback(times.join(done, [*KEYS, "step"], "left"), latest).select(*FORECAST)
+
+
+def forecast_by_steps(model: PipelineModel, latest: DataFrame, steps: int, dual: bool = False) -> DataFrame:
+    """What ``folded`` gives, by any model's ``transform``; the state is kept between steps so that the plan does not grow."""
     state = checkpointed(latest.filter("seq is not null").withColumn("price", F.col("close")))
     done = None
     for step in range(1, steps + 1):
@@ -109,10 +119,7 @@ def forecast(model: PipelineModel, latest: DataFrame, steps: int, interval: str,
         result = moved.select(*KEYS, "step", "price", "sentiment", "confidence")
         done = result if done is None else done.unionByName(result)
         state = moved.select(*state.columns)
-    return (
-        with_fallback(times.join(done, [*KEYS, "step"], "left"), latest)
-        .select(*FORECAST)
-    )
+    return done
 
 
 def with_fallback(rows: DataFrame, latest: DataFrame) -> DataFrame:

@@ -7,12 +7,12 @@ from typing import NamedTuple
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sequences import time_split
-from ..session import materialize, shared_dir
+from ..session import materialize
+from .boosting import best_round, cut, grow, model_of
 
 # The boosted-tree settings.
 TREES, DEPTH, RATE, SEED = 100, 5, 0.1, 42
@@ -25,20 +25,6 @@ class Fitted(NamedTuple):
     validation_mse: float
 
 
-def best_round(errors: list[float], patience: int) -> tuple[int, bool]:
-    """The best round when training stops after ``patience`` rounds without a better one.
-
-    Also tells whether it did stop, or ran out of rounds.
-    """
-    best = 0
-    for i, e in enumerate(errors):
-        if e < errors[best]:
-            best = i
-        elif i - best >= patience:
-            return best, True
-    return best, False
-
-
 def fit_gbt(
     rows: DataFrame,
     patience: int = PATIENCE_PIPELINE,
@@ -48,26 +34,14 @@ def fit_gbt(
 ) -> Fitted:
     """Boosted trees on the rows with ``is_train``; the others choose how many trees to keep.
 
-    The same seed grows the same first trees, so the fit starts small and is repeated with twice
-    the rounds only while the held-out error still improves.
+    Trees are added one by one while the held-out error still improves, and those after the best round are cut off.
+    Without held-out rows the errors tell nothing, and the first tree is kept.
     """
-    shared_dir(rows.sparkSession)
-    used = materialize(rows.select("features", F.col(label).alias("label"), "is_train"))
-    train, held_out = used.filter("is_train"), used.filter("not is_train")
-    gbt = GBTRegressor(
-        featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=RATE, seed=SEED
-    )
-    rounds = min(trees, 2 * patience)
-    while True:
-        model = gbt.copy({gbt.maxIter: rounds}).fit(train)
-        errors = model.evaluateEachIteration(held_out, "squared")
-        best, stopped = best_round(errors, patience)
-        if stopped or rounds == trees:
-            break
-        rounds = min(trees, 2 * rounds)
-    if best + 1 < rounds:
-        model = gbt.copy({gbt.maxIter: best + 1}).fit(train)
-    return Fitted(PipelineModel([model]), best + 1, errors[best])
+    used = rows.select("features", F.col(label).alias("label"), "is_train")
+    grown = grow(used, trees, depth, RATE, SEED, patience)
+    best = best_round(grown.errors, patience)[0]
+    width = grown.trees[0].numFeatures
+    return Fitted(PipelineModel([model_of(cut(grown, best + 1), width)]), best + 1, grown.errors[best])
 
 
 def feature_importance(fitted: Fitted, names, spark: SparkSession) -> DataFrame:

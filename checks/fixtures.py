@@ -66,7 +66,8 @@ def shown(df: DataFrame, digits: int = 6) -> DataFrame:
     def cell(field):
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.DoubleType):
-            return F.round(c, digits).alias(field.name)
+            # a tie does not hang on the order of a sum: three digits more first
+            return F.round(F.round(c, digits + 3), digits).alias(field.name)
         if isinstance(field.dataType, T.TimestampType):
             return c.cast("timestamp_ntz").alias(field.name)
         return c

@@ -11,8 +11,8 @@ OHLCV = (*PRICES, "volume")
 
 
 def r(expr: str, name: str | None = None, digits: int = 6) -> str:
-    # + 0.0 turns a negative zero into zero
-    return f"round({expr}, {digits}) + 0.0 AS {name or expr}"
+    # + 0.0 turns a negative zero into zero; three digits more first, so that a tie does not hang on the order of a sum
+    return f"round(round({expr}, {digits + 3}), {digits}) + 0.0 AS {name or expr}"
 
 
 def rs(*names: str) -> str:
@@ -358,7 +358,7 @@ ORACLE = {
     "bars_by_user": bars_sql(BY_USER),
     "roll_up_1d": bars_sql(event_bars("date_trunc('day', ts)")),
     "stream_bars": bars_sql(HOURLY),
-    "read_bars": bars_sql(HOURLY, "WHERE ticker IN ('click', 'view', 'error')"),
+    "read_bars": bars_sql(HOURLY),
     "read_bars_range": bars_sql(
         HOURLY, "WHERE ticker IN ('click', 'view', 'error') AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20'"
     ),

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -24,6 +22,7 @@ from barloom.plans import features as PF
 from barloom.plans import feeds as FE
 from barloom.plans import forecast as FC
 from barloom.plans import models as MO
+from barloom.plans.predictors import Predictor
 from barloom.plans.technical import technical_report
 from barloom.schema import FEATURES, KEYS, PRICES
 from barloom.session import fresh_path, materialize
@@ -91,12 +90,12 @@ def _stream(spark, sf):
     return shown(newest_versions(spark, out, bars))
 
 
-def _read(start=None, end=None):
-    """Bars written once and read back between two dates."""
+def _read(tickers=None, start=None, end=None):
+    """Bars written once and read back, of all tickers or some, between two dates."""
     def run(spark, sf):
         path = fresh_path(spark, "bars")
         event_bars(spark, sf).write.parquet(path)
-        return shown(read_bars(spark, path, tickers=("click", "view", "error"), start=start, end=end))
+        return shown(read_bars(spark, path, tickers=tickers, start=start, end=end))
 
     return run
 
@@ -211,11 +210,10 @@ def _tree_return_rows(bars):
 def _fixed_forecast(spark, sf, steps=3):
     """A forecast whose model is a formula of the newest scaled row; scaled by the parameters of the training rows."""
     bars = order_weeks(spark, sf)
-    _, params = PF.tree_data(bars, min_bars=1)
-    first, rsi = 1, PF.RETURN_FEATURES.index("rsi") + 1
-    formula = f"0.02 * element_at(element_at(seq, -1), {first}) - 0.01 * element_at(element_at(seq, -1), {rsi}) AS prediction"
-    model = PipelineModel([SQLTransformer(statement=f"SELECT *, {formula} FROM __THIS__")])
-    return shown(FC.forecast(model, _forecast_state(bars, params), steps, "1d"))
+    features = materialize(PF.feature_rows(bars))
+    _, params = PF.tree_data(bars, min_bars=1, features=features)
+    formula = f"0.02D * x[0] - 0.01D * x[{PF.RETURN_FEATURES.index('rsi')}]"
+    return shown(FC.forecast(Predictor(formula), _forecast_state(bars, params, features=features), steps, "1d"))
 
 
 def _trained_scale(bars, cols=("close", "volume")):
@@ -233,25 +231,27 @@ def _confidence_percent(bars):
     return M.confidence(_naive(bars), "y_pred", "y_true").select(*KEYS, "ts", "direction", "score")
 
 
-def _gbt(bars):
-    rows, params = PF.tree_data(bars, min_bars=1)
+def _gbt(bars, features=None):
+    rows, params = PF.tree_data(bars, min_bars=1, features=features)
     rows = materialize(rows)
     return MO.fit_gbt(rows), rows, params
 
 
-def _forecast_state(bars, params, length=1):
+def _forecast_state(bars, params, length=1, features=None):
     """The newest scaled rows, by the parameters of the fit."""
-    scaled = PF.scaled_rows(materialize(PF.feature_rows(bars)), params=params)
+    features = materialize(PF.feature_rows(bars)) if features is None else features
+    scaled = PF.scaled_rows(features, params=params)
     return FC.latest_state(scaled, bars, PF.RETURN_FEATURES, params, length)
 
 
 def _gbt_forecast(spark, sf, steps=3):
     bars = order_bars(spark, sf, STEP)
-    fitted, _, params = _gbt(bars)
+    features = materialize(PF.feature_rows(bars))
+    fitted, _, params = _gbt(bars, features)
     folder = fresh_path(spark, "models")
     save_fit(fitted.model, params, folder, "gbt", STEP, steps)
     model, params = load_fit(spark, folder, "gbt", STEP, steps)
-    return shown(FC.forecast(model, _forecast_state(bars, params), steps, STEP))
+    return shown(FC.forecast(model, _forecast_state(bars, params, features=features), steps, STEP))
 
 
 def _gbt_importance(spark, sf):
@@ -307,7 +307,7 @@ QUERIES = {
     "period_6mo": _in_period("6mo"),
     "period_ytd": _in_period("ytd"),
     "read_bars": _read(),
-    "read_bars_range": _read(datetime(2024, 1, 10), datetime(2024, 1, 20)),
+    "read_bars_range": _read(("click", "view", "error"), datetime(2024, 1, 10), datetime(2024, 1, 20)),
     "market_hours": _on(lambda s, d: event_bars(s, d, "5m"), market_hours),
     "weekdays": _on(order_bars, lambda b: b.filter(S.is_weekday(F.col("ts")))),
     "enough_bars": _on(user_bars, lambda b: L.enough_bars(b, 5)),
