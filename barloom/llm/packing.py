@@ -171,19 +171,19 @@ def pack(pieces: DataFrame, capacity: int = 2048, block_rows: int = BLOCK_ROWS,
 
     Every length must lie between 1 and ``capacity``.
     """
-    pieces = kept(pieces, "pieces").withColumn("__row", F.monotonically_increasing_id())
+    pieces = kept(pieces.withColumn("__row", F.monotonically_increasing_id()), "pieces")
     full, part = pieces.where(F.col(sizes) >= capacity), pieces.where(F.col(sizes) < capacity)
     blocks = max(1, -(-part.count() // block_rows))
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        bins, places = best_two_fit(frame[sizes].to_numpy(), capacity)
-        return frame.assign(sequence_id=(int(frame["__block"].iloc[0]) << 32) + bins, offset=places)[names]
-
-    names = [c for c in pieces.columns if c != "__row"] + ["sequence_id", "offset"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != "__row") + ", sequence_id long, offset long"
-    packed = part.withColumn("__block", F.pmod("__row", F.lit(blocks)).cast("int")).groupBy("__block").applyInPandas(one, schema)
-    alone = full.select("*", (-1 - F.col("__row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")).drop("__row")
-    return alone.unionByName(packed)
+        bins, places = best_two_fit(frame["__size"].to_numpy(), capacity)
+        return frame.assign(sequence_id=(int(frame["__block"].iloc[0]) << 32) + bins, offset=places)[["__row", "sequence_id", "offset"]]
+
+    # only lengths meet in a block; what else a piece has, such as its ids, is joined to its place
+    dealt = part.select("__row", F.col(sizes).cast("long").alias("__size"), F.pmod("__row", F.lit(blocks)).cast("int").alias("__block"))
+    placed = dealt.groupBy("__block").applyInPandas(one, "__row long, sequence_id long, offset long")
+    alone = full.select("*", (-1 - F.col("__row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return alone.unionByName(part.join(placed, "__row")).drop("__row")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ def shingles(w, size=5):
 
 
 def brute(docs, items, least=0.8):
-    """Every window of an item's length that has one of its shingles, or its few words, where an item of that length has it."""
+    """Every window of an item's length, clipped to the document, that has one of its shingles, or its few words, where an item of that length has it."""
     weight = lambda s: sum(map(len, s))
     out, stand = {}, {}
     for _, item in items:
@@ -26,13 +26,14 @@ def brute(docs, items, least=0.8):
         for i, item in items:
             v = words(item)
             best = None
-            for at in range(len(w) - len(v) + 1 if v else 0):
-                if not any(tuple(w[at + q : at + q + len(s)]) == s for q, s in stand[len(v)]):
+            for at in range(1 - len(v), len(w) if v else 0):
+                if not any(at + q >= 0 and tuple(w[at + q : at + q + len(s)]) == s for q, s in stand[len(v)]):
                     continue
-                a, b = shingles(w[at : at + len(v)]), shingles(v)
+                held = w[max(0, at) : at + len(v)]
+                a, b = shingles(held), shingles(v)
                 s = round(weight(a & b) / weight(a | b), 6)
                 if s >= least and (best is None or s > best[0]):
-                    best = (s, at, len(v))
+                    best = (s, max(0, at), len(held))
             if best:
                 out[d, i] = best
     return out
