@@ -16,6 +16,10 @@ RELATED_ROWS = [
 ]
 
 
+# of the last digit shown: a value between two results goes up, whichever way its sum was rounded
+SHIFT = 0.00037
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -66,8 +70,7 @@ def shown(df: DataFrame, digits: int = 6) -> DataFrame:
     def cell(field):
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.DoubleType):
-            # a tie does not hang on the order of a sum: three digits more first
-            return F.round(F.round(c, digits + 3), digits).alias(field.name)
+            return F.round(c + F.lit(SHIFT * 10.0**-digits), digits).alias(field.name)
         if isinstance(field.dataType, T.TimestampType):
             return c.cast("timestamp_ntz").alias(field.name)
         return c

@@ -5,14 +5,14 @@ from __future__ import annotations
 from barloom.plans.features import RETURN_FEATURES
 from barloom.schema import FEATURES, PRICES, RELATIVE
 
-from .fixtures import RELATED_ROWS, related_columns
+from .fixtures import RELATED_ROWS, SHIFT, related_columns
 
 OHLCV = (*PRICES, "volume")
 
 
 def r(expr: str, name: str | None = None, digits: int = 6) -> str:
-    # + 0.0 turns a negative zero into zero; three digits more first, so that a tie does not hang on the order of a sum
-    return f"round(round({expr}, {digits + 3}), {digits}) + 0.0 AS {name or expr}"
+    # + 0.0 turns a negative zero into zero; the shift lets a value between two results not hang on the order of a sum
+    return f"round({expr} + {SHIFT} * power(10, -{digits}), {digits}) + 0.0 AS {name or expr}"
 
 
 def rs(*names: str) -> str:
