@@ -272,7 +272,7 @@ def paired(k: int) -> str:
 
 def wide(k: int) -> str:
     cols = ", ".join(
-        f"round(max({c}) FILTER (rank = {i}), 6) + 0.0 AS {c}_stock_{i}" for i in range(1, k + 1) for c in RELATIVE
+        r(f"max({c}) FILTER (rank = {i})", f"{c}_stock_{i}") for i in range(1, k + 1) for c in RELATIVE
     )
     return f"WITH {HOURLY}, {paired(k)} SELECT ticker, ts, {cols} FROM measured GROUP BY 1, 2 HAVING count(*) = {k}"
 
