@@ -19,6 +19,8 @@ STEPS_PER_DAY = {
     "1m": 390, "5m": 78, "15m": 26, "30m": 13, "1h": 6.5, "1d": 1, "5d": 1 / 5, "1wk": 1 / 7, "1mo": 1 / 30,
 }
 
+LONGEST_SHARE = 0.2
+
 
 def period_start(period: str, as_of: datetime) -> datetime | None:
     """Where a period begins; None for ``max``."""
@@ -75,6 +77,11 @@ def trading_steps(interval: str, days: float) -> int:
     return max(1, int(days * STEPS_PER_DAY[interval]))
 
 
+def least_history(interval: str, forecast_days: int) -> int:
+    """Bars of three days, or of as many as are forecast."""
+    return trading_steps(interval, 1) * max(3, forecast_days)
+
+
 def sequence_length(interval: str, forecast_days: int, n_rows: int) -> int:
     """History per sample: at least 3 days of bars, at most a fifth of the rows."""
-    return min(trading_steps(interval, 1) * max(3, forecast_days), int(n_rows * 0.2))
+    return min(least_history(interval, forecast_days), int(n_rows * LONGEST_SHARE))

@@ -345,7 +345,59 @@ TREE_ROWS = f"""{WEEKLY}, {FEATURE_ROWS}, {_labelled(1)},
   train AS (SELECT * FROM kept WHERE nth < floor(0.8 * m)),
   {_robust('train', RETURN_FEATURES)}, {_scaled_from('kept', RETURN_FEATURES, ', label, nth, m')}"""
 
+
+
+def related_forecast(steps: int = 3) -> str:
+    """A step: what each pair shows, each ticker's return from that, then the pairs with the two new prices."""
+    mean = lambda x: f"list_avg({x})"
+    products = lambda x, y: f"list_sum(list_transform(range(1, len({x}) + 1), lambda i: ({x}[i] - {mean(x)}) * ({y}[i] - {mean(y)})))"
+    moves = lambda x: f"list_transform(range(2, 22), lambda i: {x}[i] / {x}[i - 1] - 1)"
+    parts = []
+    for k in range(1, steps + 1):
+        parts += [
+            f"""v{k} AS (SELECT *, a[2:21] AS ta, b[2:21] AS tb, {moves('a')} AS ma, {moves('b')} AS mb FROM l{k - 1})""",
+            f"""m{k} AS (SELECT ticker, rank, b[21] / a[21] AS price_ratio, volume_ratio, mb[20] - ma[20] AS return_difference,
+              {products('ta', 'tb')} / (sqrt({products('ta', 'ta')}) * sqrt({products('tb', 'tb')})) AS rolling_correlation,
+              {products('ma', 'mb')} / {products('ma', 'ma')} AS beta FROM v{k})""",
+            f"""r{k} AS (SELECT s.ticker, s.price, s.x, s.y, s.lo, s.hi, 0.01 * s.x - 0.002 * s.y + 0.001 * (f.price_ratio + f.volume_ratio) - 0.003 * g.rolling_correlation
+              + 0.004 * (f.beta - g.return_difference) AS r FROM s{k - 1} s JOIN m{k} f ON f.ticker = s.ticker AND f.rank = 1
+              JOIN m{k} g ON g.ticker = s.ticker AND g.rank = 2)""",
+            f"""s{k} AS (SELECT ticker, price * exp(r) AS price, greatest(least((r - lo) / (hi - lo + 1e-8), 10), -10) AS x, y, lo, hi, r FROM r{k})""",
+            f"""l{k} AS (SELECT l.ticker, l.related_ticker, l.rank, list_append(l.a[2:21], p.price) AS a, list_append(l.b[2:21], q.price) AS b, l.volume_ratio
+              FROM l{k - 1} l JOIN s{k} p ON p.ticker = l.ticker JOIN s{k} q ON q.ticker = l.related_ticker)""",
+        ]
+    done = " UNION ALL ".join(f"SELECT ticker, {k} AS step, price, r FROM s{k}" for k in range(1, steps + 1))
+    cols = ("open_return", "rsi")
+    return f"""WITH RECURSIVE {future(HOURLY, steps, "1 HOUR")}, {ENRICHED}, gaps AS (SELECT ticker, ts, {_RETURNS}, rsi FROM z),
+      {_filled(cols)}, {_robust("filled", cols)}, {_scaled_from("filled", cols)}, {related_to(2)},
+      common AS (SELECT b.ticker, r.related_ticker, r.rank, b.ts, b.close, b.volume, o.close AS other, o.volume AS other_volume
+        FROM bars b JOIN related r USING (ticker) JOIN bars o ON o.ticker = r.related_ticker AND o.ts = b.ts
+        QUALIFY row_number() OVER (PARTITION BY b.ticker, r.related_ticker ORDER BY b.ts DESC) <= 21),
+      l0 AS (SELECT ticker, related_ticker, rank, list(close ORDER BY ts) AS a, list(other ORDER BY ts) AS b,
+        last(other_volume ORDER BY ts) / last(volume ORDER BY ts) AS volume_ratio FROM common GROUP BY ALL HAVING count(*) = 21),
+      s0 AS (SELECT n.ticker, n.price, f.open_return AS x, f.rsi AS y, w.lo_open_return AS lo, w.hi_open_return AS hi
+        FROM newest n JOIN scaled f ON f.ticker = n.ticker AND f.ts = n.last JOIN wide w ON w.ticker = n.ticker),
+      {", ".join(parts)}, done AS ({done})
+      SELECT t.ticker, CAST(t.step AS INTEGER) AS step, t.ts, {r("coalesce(d.price, t.price)", "price")},
+        CASE WHEN d.price IS NULL THEN 'Neutral' WHEN d.r > 0 THEN 'Bullish' ELSE 'Bearish' END AS sentiment,
+        {r("CASE WHEN d.price IS NULL THEN 0.5 ELSE least(abs(d.r), 1.0) END", "confidence")}
+      FROM times t LEFT JOIN done d USING (ticker, step) WHERE d.price IS NOT NULL OR t.step = 1"""
+
+
+STEPS = {"1m": 390, "5m": 78, "15m": 26, "30m": 13, "1h": 6.5, "1d": 1, "5d": 1 / 5, "1wk": 1 / 7, "1mo": 1 / 30}
+
 ORACLE = {
+    "related_forecast": related_forecast(),
+    "sequence_length": f"""WITH {BY_USER}, counted AS (SELECT ticker, count(*) AS n_bars FROM bars GROUP BY ticker)
+      SELECT ticker, n_bars, CAST(least(3, floor(n_bars * 0.2)) AS INTEGER) AS length, least(3, floor(n_bars * 0.2)) < 1 AS too_short FROM counted""",
+    "sequences_padded": f"""WITH {USER_MINUTES}, {PLACED}, own AS (SELECT *, least(234, CAST(floor(n * 0.2) AS INTEGER)) AS l FROM p),
+      w AS (SELECT greatest(1, max(l)) AS w FROM own)
+      SELECT a.ticker, a.ts, CAST(w - a.l AS INTEGER) AS pad, CAST(w + s.i - a.i AS INTEGER) AS step, {r('s.close', 'x')}, {r('s.volume', 'y')}
+      FROM own a CROSS JOIN w JOIN p s ON s.ticker = a.ticker AND s.i BETWEEN a.i - a.l AND a.i - 1 WHERE a.i >= a.l AND a.l > 0""",
+    "trading_steps": f"""WITH {DAILY}, counted AS (SELECT ticker, count(*) AS n_bars FROM bars GROUP BY ticker),
+      given AS (SELECT * FROM (VALUES {", ".join(f"('{i}', {n})" for i, n in STEPS.items())}) AS v("interval", per_day)),
+      days AS (SELECT * FROM (VALUES (1), (3), (10)) AS v(days))
+      SELECT ticker, n_bars, "interval", CAST(days AS INTEGER) AS days, CAST(greatest(1, trunc(per_day * days)) AS INTEGER) AS steps FROM counted, given, days""",
     "bars_1m": bars_sql(event_bars("time_bucket(INTERVAL 1 MINUTE, ts)")),
     "bars_5m": bars_sql(event_bars("time_bucket(INTERVAL 5 MINUTE, ts)")),
     "bars_15m": bars_sql(event_bars("time_bucket(INTERVAL 15 MINUTE, ts)")),

@@ -19,8 +19,10 @@ from barloom.operators import relative as R
 from barloom.operators import scaling as SC
 from barloom.operators import sequences as SQ
 from barloom.plans import features as PF
+from barloom.plans import coupled as CF
 from barloom.plans import feeds as FE
 from barloom.plans import forecast as FC
+from barloom.plans import lengths as LN
 from barloom.plans import models as MO
 from barloom.plans.predictors import Predictor
 from barloom.plans.technical import technical_report
@@ -274,6 +276,41 @@ def _dual_forecast(spark, sf, steps=3):
     return shown(FC.forecast(fitted.model, _forecast_state(bars, params, length), steps, STEP, dual=True))
 
 
+def _lengths(bars):
+    return LN.sequence_lengths(bars, "1d", 1)
+
+
+def _padded(spark, sf):
+    """The bars, not the padding, of sequences whose length is that of their ticker."""
+    bars = user_minutes(spark, sf)
+    lengths = LN.sequence_lengths(bars, "5m", 1)
+    made = LN.padded_sequences(bars, ("close", "volume"), lengths, LN.width_of(lengths))
+    steps = made.select(*KEYS, "ts", "pad", F.posexplode(F.arrays_zip("seq", "mask")).alias("step", "s")).where("s.mask = 1")
+    return shown(steps.select(*KEYS, "ts", "pad", F.col("step").cast("int").alias("step"), F.col("s.seq")[0].alias("x"), F.col("s.seq")[1].alias("y")))
+
+
+def _trading_steps(spark, sf):
+    """Bars per horizon beside the tickers' own bars, for every interval."""
+    counts = order_bars(spark, sf).groupBy(*KEYS).agg(F.count("*").alias("n_bars"))
+    steps = [F.struct(F.lit(i).alias("interval"), F.lit(d).alias("days"), F.lit(P.trading_steps(i, d)).alias("steps")) for i in P.STEPS_PER_DAY for d in (1, 3, 10)]
+    return counts.select(*KEYS, "n_bars", F.explode(F.array(*steps)).alias("s")).select(*KEYS, "n_bars", "s.*")
+
+
+def _related_forecast(spark, sf, steps=3, k=2):
+    """Every ticker's return by a formula of its own features and of its two first related tickers."""
+    bars, cols = event_bars(spark, sf), ("open_return", "rsi")
+    features = materialize(PF.feature_rows(bars))
+    params = materialize(SC.fit_scaler(features, cols))
+    own = CF.coupled_start(PF.scaled_rows(features, cols, params=params), bars, params, cols)
+    state = CF.pair_state(R.pairs(bars.select(*KEYS, "ts", "close", "volume"), R.related_found(bars, related(spark), k)))
+
+    def formula(x, seen):
+        first, second = seen[0], seen[1]
+        return 0.01 * x[0] - 0.002 * x[1] + 0.001 * (first["price_ratio"] + first["volume_ratio"]) - 0.003 * second["rolling_correlation"] + 0.004 * (first["beta"] - second["return_difference"])
+
+    return shown(CF.coupled_forecast(formula, own, state, steps, "1h"))
+
+
 def _uncovered(bars):
     return PF.uncovered(PF.feature_rows(bars))
 
@@ -382,6 +419,9 @@ QUERIES = {
     "sequences_latest_long": _on(
         lambda s, d: event_bars(s, d, "1m"), lambda b: _steps(SQ.sequences(b, ("close", "volume"), LONG, "latest"))
     ),
+    "sequence_length": _on(user_bars, _lengths),
+    "sequences_padded": _padded,
+    "trading_steps": _trading_steps,
     # metrics
     "metrics": _on(order_bars, lambda b: M.metrics(_naive(b)), digits=2),
     "combined_loss": _on(event_bars, _loss),
@@ -395,6 +435,7 @@ QUERIES = {
     "uncovered": _on(order_bars, _uncovered),
     "tree_rows_return": _on(order_weeks, _tree_return_rows),
     "forecast_fixed": _fixed_forecast,
+    "related_forecast": _related_forecast,
     "tree_rows_close": _on(order_weeks, _tree_close_rows),
     "future_times": _on(order_bars, lambda b: FC.future_times(L.last_row(b, ("ts",)), 7, "1d")),
     "chart_feed": _on(event_bars, _chart),
