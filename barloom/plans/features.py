@@ -15,7 +15,7 @@ from ..operators.scaling import fit_scaler, scale
 from ..operators.sequences import drop_last_row, sequences, shifted_target, time_split
 from ..schema import FEATURES, KEYS, RELATIVE, return_features
 from ..session import checkpointed, materialize
-from ..sources.periods import sequence_length
+from .lengths import PADDED, padded_sequences
 
 RETURN_FEATURES = tuple(return_features())
 
@@ -52,12 +52,6 @@ def uncovered(features: DataFrame, cols=RETURN_FEATURES) -> DataFrame:
     return counts.unpivot(list(KEYS), list(cols), "feature", "n").filter("n = 0").drop("n")
 
 
-def pooled_length(bars: DataFrame, interval: str, forecast_days: int) -> int:
-    """The sequence length for all tickers together: that of the ticker with the fewest bars."""
-    fewest = bars.groupBy(*KEYS).count().agg(F.min("count")).first()[0]
-    return max(1, sequence_length(interval, forecast_days, fewest or 0))
-
-
 def training_data(
     bars: DataFrame,
     length: int,
@@ -65,9 +59,12 @@ def training_data(
     fit_on: str = "all",
     min_bars: int = 2,
     block_rows: int = BLOCK_ROWS,
+    lengths: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``training_sequences`` and the scaling parameters they were made with.
 
+    With ``lengths`` (``lengths.sequence_lengths``) every ticker has its own, and sequences are padded to ``length``.
+
     The features are written to the shared checkpoint folder once, as fitting reads them thrice. A ticker that lacks a
     feature has no rows; ``uncovered`` names it.
     """
@@ -85,11 +82,11 @@ def training_data(
         *KEYS, "ts", "close", "next_return", "sentiment", *cols, "pos", "n_rows",
         (F.col("pos") == F.col("n_rows") - 1).alias("_is_last"),
     )
-    made = (
-        sequences(kept, cols, length, "labelled", block_rows=block_rows)
-        .filter("not _is_last and next_return is not null")
-        .select(*KEYS, "ts", "close", "next_return", "sentiment", "seq")
-    )
+    if lengths is None:
+        made, more = sequences(kept, cols, length, "labelled", block_rows=block_rows), ("seq",)
+    else:
+        made, more = padded_sequences(kept, cols, lengths, length, block_rows), PADDED
+    made = made.filter("not _is_last and next_return is not null").select(*KEYS, "ts", "close", "next_return", "sentiment", *more)
     return made, params
 
 

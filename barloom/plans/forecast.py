@@ -14,6 +14,7 @@ from ..operators.sequences import sequences
 from ..schema import KEYS
 from ..session import checkpointed
 from ..sources.periods import interval_seconds
+from .lengths import latest_padded
 from .predictors import Predictor, compiled, folded
 
 _DAY = 86_400
@@ -55,15 +56,19 @@ def class_sentiment(p_bullish: Column, p_bearish: Column) -> tuple[Column, Colum
 
 
 def latest_state(
-    scaled_features: DataFrame, closes: DataFrame, cols, params: DataFrame, length: int = 1
+    scaled_features: DataFrame, closes: DataFrame, cols, params: DataFrame, length: int = 1, lengths: DataFrame | None = None
 ) -> DataFrame:
     """Where a forecast starts: per ticker the last scaled rows, close, time and first-column range.
 
-    A ticker too short for some feature has no rows to start from.
+    A ticker too short for some feature has no rows to start from. With ``lengths`` every ticker has its own number of
+    rows, padded to ``length``.
     """
     ends = params.filter(F.col("feature") == cols[0]).select(*KEYS, "f_min", "f_max")
     newest = last_row(closes, ("close", "ts"))
-    seqs = sequences(scaled_features, cols, length, "latest").drop("ts")
+    if lengths is None:
+        seqs = sequences(scaled_features, cols, length, "latest").drop("ts")
+    else:
+        seqs = latest_padded(scaled_features, cols, lengths, length)
     seqs = seqs.filter(~F.exists(F.flatten("seq"), lambda x: x.isNull()))
     return newest.join(seqs, list(KEYS), "left").join(ends, list(KEYS), "left")
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.sequences import time_split
 from ..session import materialize
 from .boosting import best_round, cut, grow, model_of
+from .lengths import masked_vectors
 
 # The boosted-tree settings.
 TREES, DEPTH, RATE, SEED = 100, 5, 0.1, 42
@@ -69,11 +70,12 @@ class FittedDual(NamedTuple):
 def fit_dual(
     sequences: DataFrame, trees: int = TREES, depth: int = DEPTH, max_iter: int = 100, patience: int = PATIENCE_HELPER
 ) -> FittedDual:
-    """Return (``predicted_return``) and sentiment probabilities (``probability``) from sequences.
+    """Return (``predicted_return``) and sentiment probabilities (``probability``) from sequences, padded ones with their mask.
 
     The last fifth of each ticker's sequences is held out; it chooses how many trees to keep and gives both errors.
     """
-    used = materialize(time_split(flat_vectors(sequences).select("ticker", "ts", "features", "next_return", "sentiment")))
+    flat = masked_vectors(sequences) if "mask" in sequences.columns else flat_vectors(sequences)
+    used = materialize(time_split(flat.select("ticker", "ts", "features", "next_return", "sentiment")))
     fitted = fit_gbt(used, patience, "next_return", trees, depth)
     returns = fitted.model.stages[0].setPredictionCol("predicted_return")
     sentiment = LogisticRegression(

@@ -239,11 +239,11 @@ def _gbt(bars, features=None):
     return MO.fit_gbt(rows), rows, params
 
 
-def _forecast_state(bars, params, length=1, features=None):
+def _forecast_state(bars, params, length=1, features=None, lengths=None):
     """The newest scaled rows, by the parameters of the fit."""
     features = materialize(PF.feature_rows(bars)) if features is None else features
     scaled = PF.scaled_rows(features, params=params)
-    return FC.latest_state(scaled, bars, PF.RETURN_FEATURES, params, length)
+    return FC.latest_state(scaled, bars, PF.RETURN_FEATURES, params, length, lengths)
 
 
 def _gbt_forecast(spark, sf, steps=3):
@@ -270,10 +270,11 @@ def _gbt_validation(spark, sf):
 
 def _dual_forecast(spark, sf, steps=3):
     bars = order_bars(spark, sf, STEP)
-    length = PF.pooled_length(bars, STEP, steps)
-    made, params = PF.training_data(bars, length, fit_on="train", min_bars=1)
+    lengths = LN.sequence_lengths(bars, STEP, steps)
+    width = LN.width_of(lengths)
+    made, params = PF.training_data(bars, width, fit_on="train", min_bars=1, lengths=lengths)
     fitted = MO.fit_dual(made)
-    return shown(FC.forecast(fitted.model, _forecast_state(bars, params, length), steps, STEP, dual=True))
+    return shown(FC.forecast(fitted.model, _forecast_state(bars, params, width, lengths=lengths), steps, STEP, dual=True))
 
 
 def _lengths(bars):
