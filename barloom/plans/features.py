@@ -60,18 +60,21 @@ def training_data(
     min_bars: int = 2,
     block_rows: int = BLOCK_ROWS,
     lengths: DataFrame | None = None,
+    features: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``training_sequences`` and the scaling parameters they were made with.
 
     With ``lengths`` (``lengths.sequence_lengths``) every ticker has its own, and sequences are padded to ``length``.
+    ``features``, where given, are the kept ``feature_rows`` of the bars.
 
     The features are written to the shared checkpoint folder once, as fitting reads them thrice. A ticker that lacks a
     feature has no rows; ``uncovered`` names it.
     """
-    features = feature_rows(bars, block_rows)
+    given = features is not None
+    features = features if given else feature_rows(bars, block_rows)
     if fit_on == "train":
-        features = time_split(features)
-    features = materialize(features)
+        features = time_split(features)  # by place: nothing to compute again
+    features = features if given else materialize(features)
     # after filling, a feature is NULL either never or for all rows of a ticker too short for it
     whole = features.na.drop("any", subset=list(cols))
     # the label needs the unscaled prices; only the features named in ``cols`` are replaced

@@ -272,9 +272,10 @@ def _dual_forecast(spark, sf, steps=3):
     bars = order_bars(spark, sf, STEP)
     lengths = LN.sequence_lengths(bars, STEP, steps)
     width = LN.width_of(lengths)
-    made, params = PF.training_data(bars, width, fit_on="train", min_bars=1, lengths=lengths)
+    features = materialize(PF.feature_rows(bars))
+    made, params = PF.training_data(bars, width, fit_on="train", min_bars=1, lengths=lengths, features=features)
     fitted = MO.fit_dual(made)
-    return shown(FC.forecast(fitted.model, _forecast_state(bars, params, width, lengths=lengths), steps, STEP, dual=True))
+    return shown(FC.forecast(fitted.model, _forecast_state(bars, params, width, features, lengths), steps, STEP, dual=True))
 
 
 def _lengths(bars):
