@@ -63,8 +63,7 @@ def sharding_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lm_rows(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    return lm.score(docs, *lm.train(docs))
+    return lm.train_and_score(table(spark, folder, "documents"))
 
 
 def contaminated_rows(spark: SparkSession, folder: str) -> DataFrame:

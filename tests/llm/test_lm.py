@@ -1,3 +1,4 @@
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -133,3 +134,51 @@ def test_garbage_is_less_likely_than_text(spark, docs):
     rows = [(0, TEXTS[0]), (1, " ".join(f"q{i}zx" for i in range(180)))]
     got = [r.mean_log_likelihood for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary, w).orderBy("doc_id").collect()]
     assert got[1] < got[0] - 5
+
+
+def _plain(words, w, vocabulary, counts, end, size):
+    """The log-likelihood of a text, word by word."""
+    own = list(vocabulary)[: vocabulary.first]
+    token = lambda x: own.index(x) if x in own else vocabulary.first + zlib.crc32(x) % vocabulary.others
+    log_softmax = lambda x: x - x.max() - np.log(np.exp(x - x.max()).sum())
+    total = 0.0
+    for i, x in enumerate(words):
+        near = [w["embedding"][token(words[i + s]) if 0 <= i + s < len(words) else end] for s in lm.SIDES]
+        h = np.tanh(sum(e.astype(float) * w["side"][j] for j, e in enumerate(near)) + w["bias"])
+        c, p = divmod(token(x), lm.wide_of(size))
+        total += log_softmax(h @ w["cls"] + w["cls_bias"])[c] + log_softmax(h @ w["place"][c] + w["place_bias"][c])[p]
+        if x not in own:
+            same = [n for y, n in counts.items() if y not in own and zlib.crc32(y) % vocabulary.others == zlib.crc32(x) % vocabulary.others]
+            n, t = sum(same), len(same)
+            total += np.log(counts[x] / (n + t + 1)) if counts[x] else np.log((t + 1) / (n + t + 1)) - (len(x) + 1) * np.log(257)
+    return total
+
+
+@pytest.mark.parametrize("positions", [1, 100, 1 << 20])
+def test_scores_are_those_of_a_plain_computation(docs, monkeypatch, positions):
+    """However many documents share a chunk, and with words that are sent, looked up, own or too long."""
+    monkeypatch.setattr(lm, "POSITIONS", positions)
+    vocabulary, w = lm.train(docs, words=2, others=2, often=400)
+    assert set(vocabulary.sent) == {b"sat", b"on", b"mat"} | {b"cat"} - set(list(vocabulary)[: vocabulary.first])
+    counts = Counter(x for t in [*TEXTS, "the cat"] for x in (t or "").encode().split() if len(x) <= lm.LONGEST)
+    got = {r.doc_id: r.log_likelihood for r in lm.score(docs, vocabulary, w).collect()}
+    for i, text in enumerate(TEXTS):
+        assert got[i] == pytest.approx(_plain((text or "").encode().split(), w, vocabulary, counts, vocabulary.size, vocabulary.size), rel=1e-4, abs=1e-4)
+
+
+def test_large_weights_do_not_overflow():
+    w = {k: v * 1000 for k, v in lm.first_weights(64, 4).items()}
+    flat, _ = lm.lay_out([np.arange(64, dtype=np.int32)], 64)
+    at = np.flatnonzero(flat != 64)
+    assert np.isfinite(lm.log_probabilities(w, flat, at)).all()
+    assert all(np.isfinite(g).all() for g in lm.gradient(w, flat, at).values())
+
+
+def test_one_pass_over_the_texts_gives_the_same(spark):
+    """One share to learn from, in one order."""
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").coalesce(1)
+    vocabulary, w = lm.train(docs)
+    want = {r.doc_id: r for r in lm.score(docs, vocabulary, w).collect()}
+    got = {r.doc_id: r for r in lm.train_and_score(docs).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k].n_tokens == want[k].n_tokens and got[k].log_likelihood == pytest.approx(want[k].log_likelihood, rel=1e-5) for k in want)
