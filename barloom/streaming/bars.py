@@ -19,25 +19,28 @@ def stream_bars(
     volume: str | None = None,
     id: str = "id",
     late: str = "2 hours",
+    once: bool = False,
 ) -> DataFrame:
     """Tumbling bars; a bar is emitted once the watermark has passed its end, later ticks are dropped.
 
-    State is one aggregate per open (ticker, bar).
+    State is one aggregate per open (ticker, bar). With ``once`` a tick that is delivered again, the same ticker, time and id,
+    counts once; ids must not be null. That adds the keys of the ticks not older than ``late`` to the state.
     """
     n, unit = interval_parts(interval)
     if unit in ("week", "month"):
         raise ValueError("a stream window needs a fixed length of at most days")
     order = tick_order(ticks.schema[id].dataType)
+    typed = ticks.select(
+        F.col(ticker).cast("string").alias("ticker"),
+        F.col(ts).cast("timestamp").alias("_at"),
+        S.finite(price).alias("_price"),
+        F.col(id).alias("_id"),
+        (F.lit(1.0) if volume is None else F.col(volume)).alias("_volume"),
+    ).withWatermark("_at", late)
+    if once:
+        typed = typed.dropDuplicatesWithinWatermark(["ticker", "_at", "_id"])
     return (
-        ticks.select(
-            F.col(ticker).cast("string").alias("ticker"),
-            F.col(ts).cast("timestamp").alias("_at"),
-            S.finite(price).alias("_price"),
-            F.col(id).alias("_id"),
-            (F.lit(1.0) if volume is None else F.col(volume)).alias("_volume"),
-        )
-        .withWatermark("_at", late)
-        .groupBy("ticker", F.window("_at", f"{n} {unit}"))
+        typed.groupBy("ticker", F.window("_at", f"{n} {unit}"))
         .agg(*ohlcv(F.col("_price"), order, F.col("_volume")))
         .select("ticker", F.col("window.start").alias("ts"), "open", "high", "low", "close", "volume")
     )

@@ -104,3 +104,15 @@ def test_stream_equals_batch_for_closed_bars(spark):
     assert got == want and want
     with pytest.raises(ValueError):
         stream_bars(stream, "1mo")
+
+
+def test_ticks_delivered_twice_count_once(spark):
+    times = pd.date_range("2024-01-01", periods=300, freq="7min")
+    ticks = spark.createDataFrame([("ab"[i % 2], t.to_pydatetime(), float(i % 13), i) for i, t in enumerate(times)], "ticker string, ts timestamp, price double, id long")
+    folder, out = fresh_path(spark, "ticks"), fresh_path(spark, "out")
+    ticks.union(ticks).write.parquet(folder)
+    bars = stream_bars(spark.readStream.schema(ticks.schema).parquet(folder), "30m", late="1 hour", once=True)
+    land(bars, out, fresh_path(spark, "state")).awaitTermination()
+    got = {tuple(r) for r in spark.read.schema(bars.schema).parquet(out).collect()}
+    closed = times[-1] - pd.Timedelta(hours=1, minutes=30)
+    assert got == {tuple(r) for r in build_bars(ticks, "30m").collect() if r.ts <= closed} and got
