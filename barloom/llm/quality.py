@@ -4,14 +4,15 @@ A document is a bag of passages of 160 words. Every passage is encoded (how kind
 how its words repeat), a hidden layer and gated attention weigh the passages, and the weighted passage vector is scored.
 The weights are learned in numpy from document labels alone.
 
-``fit`` reads at most ``max_docs`` labelled documents, the first by a hash of their id, and of each at most
-``max_passages`` passages spread evenly; both are parameters and bound what reaches the driver. ``score`` encodes every
-passage of every document.
+``fit`` reads at most ``max_docs`` labelled documents, the first by a hash of their id, and learns from all their
+passages. What reaches the driver is bounded: a text of more than ``max_passages`` is that many runs of passages in a row, each
+the mean of its run, so that none is left out. ``score`` encodes every passage of every document.
 
 Defined cases: a null text is an empty one, and an empty one is one passage of zeros, scored like any other; labels
 that are null are left out, a document labelled both ways counts with its mean, rounded up; without labels of both
-kinds every score is the share of label 1 (0.5 without any); repeated rows are scored alike; an empty table gives an
-empty result; columns other than the id and the text are not read.
+kinds every score is the share of label 1 (0.5 without any); repeated rows are scored alike, and of several texts with
+one id the first in order is learned from; an empty table gives an empty result; columns other than the id and the text
+are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from barloom.llm.common import text_of
 
 PASSAGE_WORDS = 160
 HIDDEN, GATE = 24, 12
-MAX_DOCS, MAX_PASSAGES, EPOCHS = 3000, 16, 40
+MAX_DOCS, MAX_PASSAGES, EPOCHS = 3000, 128, 40
 KINDS = 8
 FEATURES = KINDS**3 + 4
 SCORES = "doc_id long, score double"
@@ -78,6 +79,14 @@ def encode(text: str) -> np.ndarray:
     return out
 
 
+def pooled(x: np.ndarray, most: int) -> np.ndarray:
+    """The passages, or the means of ``most`` runs of them that are as even as can be."""
+    if len(x) <= most:
+        return x
+    first = np.arange(most) * len(x) // most
+    return np.add.reduceat(x, first, dtype=np.float64) / np.diff(np.append(first, len(x)))[:, None]
+
+
 @dataclass
 class Weights:
     hidden: np.ndarray
@@ -162,15 +171,14 @@ def fit(
         for batch in batches:
             ids, ys, blobs = [], [], []
             for key, value, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                x = encode(value.as_py())
-                x = x[np.unique(np.linspace(0, len(x) - 1, max_passages).round().astype(int))]
+                x = pooled(encode(value.as_py()), max_passages)
                 ids.append(key), ys.append(y), blobs.append(x.astype(np.float16).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.float64()), pa.array(blobs, pa.binary())], names=["doc_id", "y", "x"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    rows = rows.join(F.broadcast(chosen), "doc_id")  # max_docs rows
+    rows = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # max_docs rows
     rows = rows.select("doc_id", "text", "y").mapInArrow(encoded, "doc_id long, y double, x binary")
-    found = sorted(((r.doc_id, r.y, bytes(r.x)) for r in rows.dropDuplicates(["doc_id"]).collect()), key=lambda r: r[0])  # max_docs rows of max_passages passages
+    found = sorted(((r.doc_id, r.y, bytes(r.x)) for r in rows.collect()), key=lambda r: r[0])  # max_docs rows of max_passages passages
     y = np.array([r[1] for r in found])
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.5

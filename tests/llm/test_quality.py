@@ -6,7 +6,7 @@ import pytest
 
 from barloom.llm import quality
 from barloom.llm.queries import QUERIES
-from barloom.llm.quality import FEATURES, Weights, encode, fit, forward, gradient, score
+from barloom.llm.quality import FEATURES, Weights, encode, fit, forward, gradient, pooled, score
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -41,6 +41,37 @@ def test_every_passage_is_encoded():
     assert encode("é" * 5000).shape == (1, FEATURES)
 
 
+def test_no_passage_is_left_out_of_learning(spark, monkeypatch):
+    x = encode("good words here. " * 500 + "### *** " * 200)
+    assert pooled(x, 128) is x
+    for most in (1, 2, 5, 11, 12):
+        runs = np.array_split(np.arange(len(x)), most)
+        got = pooled(x, most)
+        assert len(got) == most
+        # runs are as even as can be, and all passages have a part in them
+        sizes = np.diff(np.append(np.arange(most) * len(x) // most, len(x)))
+        assert max(sizes) - min(sizes) <= 1 and sorted(sizes) == sorted(map(len, runs))
+        np.testing.assert_allclose((got * sizes[:, None]).sum(0), x.sum(0), rtol=1e-4, atol=1e-4)
+    texts = ["fine words. " * n for n in (5, 900, 30000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda bags, y, epochs: seen.extend(map(len, bags)) or 0.5)
+    fit(docs, labels)
+    assert set(seen) == {1, 12, 128}  # 375 passages in 128 runs
+
+
+def test_texts_of_one_id(spark, monkeypatch):
+    rows = [(1, "b ### b"), (1, "a words."), (1, None), (3, "x"), (2, "y")]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    for order in (rows, rows[::-1]):
+        seen = []
+        monkeypatch.setattr(quality, "train", lambda bags, y, epochs, s=seen: s.extend(b.tobytes() for b in bags) or 0.5)
+        fit(spark.createDataFrame(order, "doc_id long, text string"), labels)
+        assert len(seen) == 3 - sum(zlib.crc32(str(i).encode()) % 5 == 0 for i in (1, 2, 3))
+        assert encode("").astype(np.float16).tobytes() in seen  # the null text is the empty one, first in order
+
+
 def test_held_out_accuracy(spark):
     got = QUERIES["op1_attention_quality"](spark, FOLDER).toPandas()
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet").toPandas()
