@@ -27,9 +27,14 @@ def packing_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def file_of(docs: DataFrame) -> DataFrame:
-    """Documents as files: a folder per source and language; a text of up to 200 characters is named as a licence file."""
-    name = F.when(F.length("text") <= 200, F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return docs.select("doc_id", F.concat_ws("/", F.lit(""), "source", "lang", name).alias("path"), "text")
+    """Documents as files: folders and names follow from a hash of the id, two to five folders deep; every fourth is named as a licence file."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
+    number = F.crc32(text("doc_id"))
+    turn = lambda by, of: F.floor(number / by).cast("long") % of
+    inner = [F.concat(F.lit("part"), turn(by, 7).cast("string")) for by in (1, 7, 49)]
+    folders = F.slice(F.array(text("source"), text("lang"), *inner), F.lit(1), (turn(343, 4) + 2).cast("int"))
+    name = F.when(turn(1372, 4) == 0, F.concat(F.lit("LICENSE-"), text("doc_id"))).otherwise(F.concat(text("doc_id"), F.lit(".txt")))
+    return docs.select("doc_id", F.concat(F.lit("/"), F.array_join(folders, "/"), F.lit("/"), name).alias("path"), "text")
 
 
 def licence_rows(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,7 +3,8 @@ import random
 import re
 from collections import Counter
 
-from barloom.llm.licences import TEMPLATES, anchors, declared, rarity, scan, vectors
+from barloom.llm.licences import COMMON, PARAGRAPHS, TEMPLATES, TITLES, WORDINGS, anchors, declared, rarity, scan, vectors
+from barloom.llm.queries import file_of
 
 
 def cosine(text):
@@ -82,3 +83,62 @@ def test_declarations_that_share_or_break_their_line(spark):
     rows = [(i, f"{i}/x", t) for i, t in enumerate(texts)]
     got = {r.doc_id: r.licence for r in scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
     assert [got[i] for i in range(len(rows))] == list(texts.values())
+
+
+def found(spark, texts):
+    rows = [(i, f"{i}/x", t) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.licence for r in scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    return [got[i] for i in range(len(rows))]
+
+
+def test_titles_spdx_lines_headers_and_files(spark):
+    body = "nothing but other words stand here and go on for long " * 20
+    mit, bsd2, bsd3, gpl = (PARAGRAPHS[n] for n in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "GPL-3.0"))
+    renamed = [p.replace("the copyright holder nor", "Acme Inc. nor") for p in bsd3]
+    texts = {
+        "MIT License": "MIT",
+        "SPDX-License-Identifier: MIT": "MIT",
+        "// SPDX-License-Identifier: Apache-2.0\nint main() { return 0; }": "Apache-2.0",
+        "Mozilla Public License Version 2.0\n\n" + body: "MPL-2.0",
+        mit[0]: "MIT",
+        body + "\n" + gpl[0]: "GPL-3.0",
+        bsd2[0]: "BSD-2-Clause",  # of both, so the first name
+        "MIT License\n\nCopyright (c) 2021 Jane Doe\n\n" + "\n\n".join(mit): "MIT",
+        "Copyright 2020 Acme Inc.\n" + "\n".join(bsd2): "BSD-2-Clause",
+        "Copyright 2020 Acme Inc.\n" + "\n".join(bsd3): "BSD-3-Clause",
+        "Copyright 2019 Acme Inc.\n" + "\n".join(renamed): "BSD-3-Clause",
+        "# " + "\n# ".join(" ".join(gpl).split(" ")[i] for i in range(len(" ".join(gpl).split(" ")))): "GPL-3.0",
+        "/*\n * " + PARAGRAPHS["Apache-2.0"][0].replace(" the ", "\n * the ") + "\n */\n" + body: "Apache-2.0",
+        "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n" + body: "GPL-3.0",
+        body + "software may be copied and used by any person without permission. the License ": None,
+        body: None,
+    } | {f"{body}\n{t}\n{body}": n for n, t in TITLES.items()}
+    got = found(spark, texts)
+    assert dict(zip(texts, got, strict=True)) == texts
+
+
+def test_every_wording_is_found_inside_other_text(spark):
+    body = "many other words go before and after it here " * 9
+    names = [n for n in WORDINGS if " shared" not in n and "spdx-" not in n]
+    texts = [body + WORDINGS[n].replace(" ", "\n  ", 3) + " " + body for n in names]
+    assert found(spark, texts) == [n.split(" ")[0] for n in names]
+
+
+def test_a_text_that_covers_too_little_is_below():
+    rng, idf = random.Random(2), rarity(WORDINGS)
+    terms = sorted({t for v in vectors(WORDINGS).values() for t in v})
+    for v in list(vectors(WORDINGS).values())[::7]:
+        for _ in range(200):
+            pick = Counter(rng.choices(terms, k=rng.randint(1, 30)) + rng.choices(sorted(v), k=rng.randint(1, 30)))
+            w = {t: n * idf[0][t] for t, n in pick.items()}
+            cosine = sum(x * v.get(t, 0) for t, x in w.items()) / math.sqrt(sum(x * x for x in w.values()))
+            covered = sum(x * x for t, x in v.items() if t in pick or t in COMMON)
+            assert cosine <= math.sqrt(covered) + 1e-9
+
+
+def test_files_of_rows_with_nulls(spark):
+    rows = [(None, None, None, None), (1, None, "en", "MIT License"), (2, "web", None, ""), *[(i, "web", "en", "x") for i in range(3, 400)]]
+    paths = [r.path for r in file_of(spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")).collect()]
+    assert all(p.startswith("/") and 4 <= len(p.split("/")) <= 7 and "" not in p.split("/")[1:] for p in paths)
+    assert paths[1].startswith("/none/en/") and paths[2].startswith("/web/none/")
+    assert 60 < sum("/LICENSE-" in p for p in paths) < 140 and {len(p.split("/")) for p in paths} == {4, 5, 6, 7}
