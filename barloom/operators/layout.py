@@ -57,10 +57,24 @@ def positions(df: DataFrame, keys=KEYS, order: str = "ts", bucket_seconds: int =
     )
 
 
+def laid_with(df: DataFrame) -> dict | None:
+    """How the blocks of stored bars were cut; None for other rows."""
+    return df.schema["block"].metadata.get("laid") if "block" in df.columns else None
+
+
 def layout(
     df: DataFrame, before: int = 0, after: int = 0, keys=KEYS, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Cut each key into blocks, each with ``before`` rows in front and ``after`` behind it."""
+    """Cut each key into blocks, each with ``before`` rows in front and ``after`` behind it.
+
+    Stored blocks (see ``sources.laid``) that have those rows are taken as they are, without an exchange; of others
+    the stored positions are.
+    """
+    stored = laid_with(df)
+    if stored is not None:
+        if stored["before"] >= before and stored["after"] >= after and stored["block_rows"] == block_rows and stored["keys"] == list(keys):
+            return df
+        df = core(df, keep=True)
     placed = df if "pos" in df.columns else positions(df, keys)
     first = F.greatest(F.floor((F.col("pos") - after) / block_rows), F.lit(0))
     last = F.floor(F.least(F.col("pos") + before, F.col("n_rows") - 1) / block_rows)
@@ -96,7 +110,9 @@ def one_block(df: DataFrame, keys=KEYS, order: str = "ts") -> DataFrame:
 
 def core(df: DataFrame, keep: bool = False) -> DataFrame:
     """Drop the borrowed rows, and the helper columns unless ``keep``."""
-    df = df.filter("is_core")
+    laid, df = laid_with(df), df.filter("is_core")
+    if keep and laid is not None:  # without its neighbours a block is no stored one any more
+        df = df.withMetadata("block", {})
     return df if keep else df.drop(*HELPERS)
 
 

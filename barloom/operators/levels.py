@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rolling import block_window
 from ..schema import KEYS
-from .layout import BLOCK_ROWS, core, layout
+from .layout import BLOCK_ROWS, HELPERS, core, layout
 
 
 def level_flags(bars: DataFrame, window: int = 20, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -35,7 +35,7 @@ def level_flags(bars: DataFrame, window: int = 20, block_rows: int = BLOCK_ROWS)
                 "is_resistance": F.coalesce(resistance, F.lit(False)),
             }
         )
-    ).select(*bars.columns, "is_support", "is_resistance")
+    ).select(*[c for c in bars.columns if c not in HELPERS], "is_support", "is_resistance")
 
 
 def levels(bars: DataFrame, window: int = 20, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -98,13 +98,17 @@ def build_bars(
     id: str | None = "id",
     start: datetime | None = None,
     end: datetime | None = None,
+    once: bool = False,
 ) -> DataFrame:
     """Bars of any width; ticks at the same time are ordered by ``id``.
 
     All aggregates combine before the shuffle, so a crowded bar costs one row per task. With
     ``id=None`` the caller vouches that a ticker's tick times are unique. ``start`` (included) and ``end`` (not) bound
     the bars' times; the scan gets the same bounds on the ticks, widened by an interval so that edge bars are whole.
+    With ``once`` a tick that is there again, the same ticker, time and id, counts once; this costs a shuffle of the ticks.
     """
+    if once and id is None:
+        raise ValueError("once needs an id")
     interval_parts(interval)
     wide, kind = timedelta(days=32), ticks.schema[ts].dataType
     if start is not None:  # in the column's own type, else the scan does not take it
@@ -119,6 +123,8 @@ def build_bars(
         *tie,
         (F.lit(1.0) if volume is None else F.col(volume)).alias("_volume"),
     )
+    if once:
+        typed = typed.dropDuplicates(["ticker", "_at", "_id"])
     order = tick_order(ticks.schema[id].dataType if tie else None)
     placed = typed.withColumn("ts", bar_start(F.col("_at"), interval))
     if start is not None:

@@ -403,6 +403,8 @@ ORACLE = {
     "bars_15m": bars_sql(event_bars("time_bucket(INTERVAL 15 MINUTE, ts)")),
     "bars_30m": bars_sql(event_bars("time_bucket(INTERVAL 30 MINUTE, ts)")),
     "bars_1h": bars_sql(HOURLY),
+    "bars_once": bars_sql(HOURLY),
+    "bars_stored": bars_sql(HOURLY),
     "bars_1d": bars_sql(DAILY),
     "bars_5d": bars_sql(order_bars("time_bucket(INTERVAL 5 DAY, o_orderdate, TIMESTAMP '1970-01-01')")),
     "bars_1wk": bars_sql(WEEKLY),
@@ -438,6 +440,7 @@ ORACLE = {
     "delta": rolled(HOURLY, "delta"),
     "rsi": rolled(HOURLY, "rsi"),
     "bollinger": rolled(HOURLY, "bb_middle", "bb_upper", "bb_lower", "bb_width"),
+    "bollinger_stored": rolled(HOURLY, "bb_middle", "bb_upper", "bb_lower", "bb_width"),
     "macd": recursed(HOURLY, "macd", "signal_line"),
     "true_range": rolled(HOURLY, "true_range"),
     "atr": rolled(HOURLY, "atr"),
@@ -456,6 +459,7 @@ ORACLE = {
     "trend_by_user": trend(USER_MINUTES),
     "level_flags": f"WITH {HOURLY}, {FLAGS} SELECT ticker, ts, {rs(*OHLCV)}, is_support, is_resistance FROM flags",
     "levels": f"WITH {HOURLY}, {FLAGS} SELECT ticker, kind, {r('level')} FROM levels",
+    "levels_stored": f"WITH {HOURLY}, {FLAGS} SELECT ticker, kind, {r('level')} FROM levels",
     "levels_top3": f"WITH {HOURLY}, {FLAGS}, {TOP} SELECT ticker, kind, {r('level')}, number FROM top",
     "summary": summary(HOURLY),
     "summary_by_user": summary(BY_USER),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.ml.functions import vector_to_array
@@ -30,8 +31,9 @@ from barloom.schema import FEATURES, KEYS, PRICES
 from barloom.session import fresh_path, materialize
 from barloom.sources import periods as P
 from barloom.operators.layout import positions
-from barloom.sources.bars import market_hours, read_bars, roll_up
+from barloom.sources.bars import build_bars, market_hours, read_bars, roll_up
 from barloom.sources.candles import candles
+from barloom.sources.laid import load_laid, save_laid, stored_bars
 from barloom.sources.related import related_bars
 from barloom.sources.store import load_fit, load_params, save_fit, save_params
 from barloom.streaming.bars import land_versions, newest_versions, stream_bars, tick_stream
@@ -102,6 +104,22 @@ def _read(tickers=None, start=None, end=None):
     return run
 
 
+def _stored(operate, buckets=8):
+    """The same from bars that were stored as blocks and read back as they lie."""
+    def run(spark, sf):
+        name = f"laid_{uuid.uuid4().hex}"
+        save_laid(event_bars(spark, sf), name, buckets)
+        return shown(operate(spark, name))
+
+    return run
+
+
+def _bars_once(spark, sf):
+    """Bars of ticks that were all delivered twice."""
+    ticks = table(spark, sf, "events")
+    return shown(build_bars(ticks.unionByName(ticks), "1h", ticker="event_type", price="value", id="event_id", once=True))
+
+
 def _flat_stretch(bars, first=400, last=1700):
     """One-minute bars that do not move between two places; all rows stay."""
     placed = positions(bars)
@@ -335,6 +353,8 @@ QUERIES = {
     "bars_15m": lambda s, d: shown(event_bars(s, d, "15m")),
     "bars_30m": lambda s, d: shown(event_bars(s, d, "30m")),
     "bars_1h": lambda s, d: shown(event_bars(s, d, "1h")),
+    "bars_once": _bars_once,
+    "bars_stored": _stored(stored_bars),
     "bars_1d": lambda s, d: shown(order_bars(s, d, "1d")),
     "bars_5d": lambda s, d: shown(order_bars(s, d, "5d")),
     "bars_1wk": lambda s, d: shown(order_bars(s, d, "1wk")),
@@ -359,6 +379,7 @@ QUERIES = {
     "delta": _on(event_bars, lambda b: _enriched(b, "delta")),
     "rsi": _on(event_bars, lambda b: _enriched(b, "rsi")),
     "bollinger": _on(event_bars, lambda b: _enriched(b, "bollinger")),
+    "bollinger_stored": _stored(lambda s, n: _enriched(load_laid(s, n), "bollinger")),
     "macd": _on(event_bars, lambda b: _enriched(b, "macd")),
     "true_range": _on(event_bars, lambda b: _enriched(b, "true_range")),
     "atr": _on(event_bars, lambda b: _enriched(b, "atr")),
@@ -378,6 +399,7 @@ QUERIES = {
     "trend_by_user": _on(user_minutes, L.trend),
     "level_flags": _on(event_bars, V.level_flags),
     "levels": _on(event_bars, V.levels),
+    "levels_stored": _stored(lambda s, n: V.levels(load_laid(s, n))),
     "levels_top3": _on(event_bars, lambda b: V.top_levels(V.levels(b))),
     "summary": _on(event_bars, L.summary),
     "summary_by_user": _on(user_bars, L.summary),
