@@ -42,9 +42,13 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, BLANKS), lambda w: w != "")
 
 
-def few(df: DataFrame, most: int = FEW) -> DataFrame:
+def few(df: DataFrame, most: int = FEW, entries: str | None = None) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``most`` rows, else as it is, and the join shuffles.
 
-    Counting stops at the bound; pass a table or a checkpoint, not a long plan.
+    Counting stops at the bound; pass a table or a checkpoint, not a long plan. Where rows hold an array, ``entries`` names
+    it, and its entries count instead of the rows.
     """
+    if entries is not None:
+        held = df.agg(F.sum(F.greatest(F.size(entries), F.lit(1)))).first()[0] or 0
+        return F.broadcast(df) if held <= most else df
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -81,23 +81,22 @@ def matches(
     places = F.when(F.col("n") >= size, F.transform(F.sequence(F.lit(0), F.col("n") - size), lambda i: F.struct(i.alias("at"), _hash_at(F.col("w"), i, size).alias("hash"))))
     lengths = [r[0] for r in items.where(F.col("n") < size).select("n").distinct().collect()]  # size - 1 numbers at most
     short = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(F.array_join("w", " "), "n").alias("hash")))
-    places = items.select("n", F.explode(F.coalesce(places, short)).alias("p")).select("n", "p.at", "p.hash").distinct()
-    places = kept(places.groupBy("hash").agg(F.collect_set(F.struct("at", "n")).alias("in")), "places")
+    places = kept(items.select("n", F.explode(F.coalesce(places, short)).alias("p")).select("n", "p.at", "p.hash").distinct(), "places")
 
     rows = docs.select(F.md5(text_of(text)).alias("address"), words_of(lower_ascii(text_of(text))).alias("w"))
     long = F.when(F.size("w") >= size, F.transform(F.sequence(F.lit(0), F.size("w") - size), lambda i: _hash_at(F.col("w"), i, size)))
     runs = [rows.select("address", F.size("w").alias("words"), F.posexplode(long).alias("pos", "hash"))]
     runs += [rows.select("address", F.size("w").alias("words"), F.posexplode(_short_runs(n)).alias("pos", "hash")) for n in lengths]
-    found = [r.join(few(places), "hash").select("address", "words", "pos", F.explode("in").alias("p")) for r in runs]
+    found = [r.join(few(places), "hash") for r in runs]
     windows = found[0]
     for more in found[1:]:
         windows = windows.unionByName(more)
-    windows = windows.select("address", (F.col("pos") - F.col("p.at")).alias("start"), F.col("p.n").alias("n"), "words")
+    windows = windows.select("address", (F.col("pos") - F.col("at")).alias("start"), "n", "words")
     # n stays that of the item, held is how many words the document has there
     clipped = F.struct(F.greatest(F.lit(0), "start").alias("start"), "n", (F.least("words", F.col("start") + F.col("n")) - F.greatest(F.lit(0), "start")).alias("held"))
     windows = windows.groupBy("address").agg(F.collect_set(clipped).alias("windows"))
     windows = kept(windows, "windows")
-    texts = docs.select(F.md5(text_of(text)).alias("address"), text_of(text).alias("t")).join(few(windows), "address").dropDuplicates(["address"])
+    texts = docs.select(F.md5(text_of(text)).alias("address"), text_of(text).alias("t")).join(few(windows, entries="windows"), "address").dropDuplicates(["address"])
     texts = texts.select("address", "windows", words_of(lower_ascii(F.col("t"))).alias("w"))
     cut = texts.select("address", "w", F.explode("windows").alias("p")).select("address", "p.start", "p.n", "p.held", F.slice("w", F.col("p.start") + 1, F.col("p.held")).alias("w"))
     cut = cut.select("address", "start", "n", "held", shingles(F.col("w"), size).alias("own"))

@@ -216,10 +216,11 @@ def places(templates: dict[str, str], least: float) -> dict[str, list[tuple[int,
 
 
 def _windows(terms: Column, names: Column, templates: dict[str, str], least: float) -> Column:
-    """The windows of a list of terms for the templates ``names``, clipped to it."""
+    """The windows of a list of terms for the templates with the numbers ``names``, clipped to it."""
+    number = {name: i for i, name in enumerate(templates)}
     stand = F.create_map(*[
         c for a, p in places(templates, least).items()
-        for c in (F.lit(a), F.array(*[F.struct(F.lit(q).alias("q"), F.lit(n).alias("n"), F.lit(k).alias("name")) for q, n, k in p]))
+        for c in (F.lit(a), F.array(*[F.struct(F.lit(q).alias("q"), F.lit(n).alias("n"), F.lit(number[k]).alias("name")) for q, n, k in p]))
     ])
     found = F.transform(terms, lambda t, i: F.struct(i.alias("i"), F.filter(F.element_at(stand, t), lambda p: F.array_contains(names, p["name"])).alias("p")))
     found = F.filter(found, lambda x: F.size(x["p"]) > 0)
@@ -232,17 +233,17 @@ def _windows(terms: Column, names: Column, templates: dict[str, str], least: flo
 
 
 def candidates(texts: DataFrame, templates: dict[str, str], least: float) -> DataFrame:
-    """address, names: the templates that a unit of the text may reach, by what the text's terms cover of them."""
+    """address, names: the numbers of the templates that a unit of the text may reach, by what the text's terms cover of them."""
     covered, need = [], []
-    for name, v in vectors(templates).items():
+    for name, v in enumerate(vectors(templates).values()):
         rare = {t: x for t, x in v.items() if t not in COMMON}
         left = least * least - sum(x * x for t, x in v.items() if t in COMMON)
         rare, left = (rare, left) if left > 0 else (v, least * least)
         covered += [(t, name, x * x) for t, x in rare.items()]
         need.append((name, left - 1e-9))
     spark = texts.sparkSession
-    posting = F.broadcast(spark.createDataFrame(covered, "term string, name string, part double"))  # as many rows as the templates have terms
-    needed = F.broadcast(spark.createDataFrame(need, "name string, need double"))
+    posting = F.broadcast(spark.createDataFrame(covered, "term string, name int, part double"))  # as many rows as the templates have terms
+    needed = F.broadcast(spark.createDataFrame(need, "name int, need double"))
     terms = _term_list(F.col("text"))
     has = F.array_intersect(terms, F.array(*[F.lit(t) for t in sorted({c[0] for c in covered})]))
     marked = texts.select(F.md5("text").alias("address"), has.alias("has")).where(F.arrays_overlap("has", F.array(*[F.lit(a) for a in anchors(templates, least)])))
@@ -279,7 +280,7 @@ def declared(texts: DataFrame, templates: dict[str, str] = TEMPLATES, least: flo
     """address (MD5 of the text), licence and similarity of the texts (a column ``text``) that declare one themselves."""
     anchor = rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{'|'.join(anchors(templates, least))})(?![\p{{L}}\p{{N}}])"
     some = kept(candidates(texts, templates, least), "candidates")
-    texts = texts.select(F.md5("text").alias("address"), "text").join(few(some), "address")  # a row holds the names of templates
+    texts = texts.select(F.md5("text").alias("address"), "text").join(few(some), "address")  # a row holds a number for each template at most
     texts = texts.dropDuplicates(["address"]).withColumn("terms", _term_list(F.col("text")))
     parts = F.filter(F.concat(F.split("text", r"[\r\n]+"), F.split("text", r"(?<=[.!?])\s+")), lambda x: x.rlike(anchor))
     parts = F.concat(parts, F.array("text"), _windows(F.col("terms"), F.col("names"), templates, least))

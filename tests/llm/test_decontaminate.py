@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from barloom.llm.common import few
 from barloom.llm.decontaminate import BLOCK, RADIUS, _errors, clean, contaminated
 
 
@@ -119,3 +120,19 @@ def test_windows_are_clipped_to_the_document(spark):
     for r in rows:
         assert 0 <= r.start_word and r.start_word + r.n_words <= len(docs[r.doc_id])
     assert {r.doc_id for r in clean(frame, bench).collect()} == set(range(len(docs))) - {d for d, _ in want}
+
+
+def test_what_is_sent_to_every_executor_is_counted_by_its_entries(spark):
+    rows = spark.createDataFrame([(1, [1] * 50), (2, []), (3, None)], "id long, windows array<int>")
+    hinted = lambda df: "Broadcast" in df._jdf.queryExecution().optimizedPlan().toString() or "broadcast" in df._jdf.queryExecution().optimizedPlan().toString()
+    other = spark.range(10)
+    assert hinted(other.join(few(rows, 52, "windows"), "id")) and not hinted(other.join(few(rows, 51, "windows"), "id"))
+    assert few(rows.limit(0), 5, "windows").count() == 0
+
+
+def test_a_phrase_that_all_items_share(spark):
+    phrase = "which of the following is the right"
+    items = [(i, f"item{i} a{i} b{i} {phrase} c{i} d{i} e{i} f{i} g{i}") for i in range(40)]
+    texts = [(i, f"x{i} " * 30 + phrase + f" y{i}" * 30) for i in range(20)] + [(100, f"x y z {items[7][1]} and more")]
+    got = contaminated(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(100, 7)]
