@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import daily as D
 from barloom.operators import fill as FI
+from barloom.operators import indicators as I
 from barloom.operators import levels as V
 from barloom.operators import metrics as M
 from barloom.operators import quantile as Q
@@ -174,3 +177,12 @@ def test_relative_measures(to_bars, spark):
     assert got[got.related_ticker == "c"].rolling_correlation.isna().all()
     wide = R.relative_wide(bars, related, 3).toPandas()
     assert len(wide) == 80 and wide.beta_stock_1.notna().any() and wide.beta_stock_3.isna().all()
+
+
+def test_a_price_of_zero(to_bars):
+    """Its log return is minus infinity, the next one NULL."""
+    low = [5.0, 0.0, 4.0, 2.0, 3.0, 1.0]
+    bars = to_bars(frame("a", [6.0, 5.0, 7.0, 0.0, 6.0, 6.0], start="2024-01-01", freq="8h", low=low))
+    got = I.log_returns(bars).select("ts", "low_return", "close_return").orderBy("ts").collect()
+    assert [r.low_return for r in got[:3]] == [0.0, -math.inf, None] and got[3].low_return == pytest.approx(math.log(0.5))
+    assert got[3].close_return == -math.inf and got[4].close_return is None
