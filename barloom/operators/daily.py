@@ -70,16 +70,18 @@ def next_day_label(bars: DataFrame, min_bars: int = 2, keys=KEYS) -> DataFrame:
     """Add ``next_return`` and ``sentiment`` (1 = bearish).
 
     The return is ln(next day's average price / this day's close); it is 0 on the last day and
-    when the next day has fewer than ``min_bars`` bars.
+    when the next day has fewer than ``min_bars`` bars. It is infinite after a close of 0.
     """
     w = _by_date(keys)
+    rise = F.when(F.col("_next_avg") > 0, F.lit(float("inf"))).when(F.col("_next_avg") == 0, F.lit(float("nan")))
+    change = F.when(F.col("close") == 0, rise).otherwise(S.log_ratio(F.col("_next_avg"), F.col("close")))
     label = (
         daily(bars, keys)
         .withColumns({"_next_avg": F.lead("avg_price").over(w), "_next_n": F.lead("n_bars").over(w)})
         .select(
             *keys,
             "date",
-            F.when(F.col("_next_n") >= min_bars, S.log_ratio(F.col("_next_avg"), F.col("close")))
+            F.when(F.col("_next_n") >= min_bars, change)
             .otherwise(F.lit(0.0))
             .alias("next_return"),
         )

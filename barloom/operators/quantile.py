@@ -69,7 +69,9 @@ def quantiles(df: DataFrame, cols, probs, keys=KEYS, also=None) -> DataFrame:
         return F.max(F.when((first <= rank) & (rank < F.col("after")), F.col("_x")))
 
     ordered = placed.groupBy(*by).agg(at(F.col("low")).alias("_low"), at(F.col("high")).alias("_high"))
-    value = F.col("_low") + F.col("part") * (F.col("_high") - F.col("_low"))
+    # weights, not a step from the lower to the upper value: infinite values, which logarithms of 0 are, have no difference
+    between = F.col("_low") * (F.lit(1.0) - F.col("part")) + F.col("_high") * F.col("part")
+    value = F.when(F.col("part") == 0, F.col("_low")).otherwise(between)
     feature = F.array(*[F.lit(c) for c in cols])[F.col("_i")].alias("feature")
     return join_rows(rows.select(*by, "part", *also), ordered, by).select(*keys, feature, "prob", *also, value.alias("value"))
 

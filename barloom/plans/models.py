@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import finite
 from ..operators.sequences import time_split
 from ..session import materialize
 from .boosting import best_round, cut, grow, model_of
@@ -36,9 +37,9 @@ def fit_gbt(
     """Boosted trees on the rows with ``is_train``; the others choose how many trees to keep.
 
     Trees are added one by one while the held-out error still improves, and those after the best round are cut off.
-    Without held-out rows the errors tell nothing, and the first tree is kept.
+    Without held-out rows the errors tell nothing, and the first tree is kept. Rows with an infinite label take no part.
     """
-    used = rows.select("features", F.col(label).alias("label"), "is_train")
+    used = rows.select("features", F.col(label).alias("label"), "is_train").filter(finite("label").isNotNull())
     grown = grow(used, trees, depth, RATE, SEED, patience)
     best = best_round(grown.errors, patience)[0]
     width = grown.trees[0].numFeatures

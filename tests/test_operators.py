@@ -180,9 +180,20 @@ def test_relative_measures(to_bars, spark):
 
 
 def test_a_price_of_zero(to_bars):
-    """Its log return is minus infinity, the next one NULL."""
+    """Its log return is minus infinity, the next one NULL; the day after a close of 0 rises without bound."""
     low = [5.0, 0.0, 4.0, 2.0, 3.0, 1.0]
     bars = to_bars(frame("a", [6.0, 5.0, 7.0, 0.0, 6.0, 6.0], start="2024-01-01", freq="8h", low=low))
     got = I.log_returns(bars).select("ts", "low_return", "close_return").orderBy("ts").collect()
     assert [r.low_return for r in got[:3]] == [0.0, -math.inf, None] and got[3].low_return == pytest.approx(math.log(0.5))
     assert got[3].close_return == -math.inf and got[4].close_return is None
+    days = to_bars(frame("a", [6.0, 5.0, 0.0, 7.0, 6.0, 6.0], start="2024-01-01", freq="8h"))
+    label = D.next_day_label(days).orderBy("ts").collect()
+    assert [(r.next_return, r.sentiment) for r in label] == [(math.inf, 0)] * 3 + [(0.0, 1)] * 3
+
+
+def test_percentiles_of_infinite_values(spark):
+    rows = [("a", -math.inf, -math.inf), ("a", 1.0, -math.inf), ("a", 2.0, 3.0)]
+    got = Q.quantiles(spark.createDataFrame(rows, "ticker string, x double, y double"), ("x", "y"), (0.1, 0.5, 0.3)).collect()
+    assert {(r.feature, r.prob): r.value for r in got} == {
+        ("x", 0.1): -math.inf, ("x", 0.3): -math.inf, ("x", 0.5): 1.0, ("y", 0.1): -math.inf, ("y", 0.3): -math.inf, ("y", 0.5): -math.inf,
+    }
