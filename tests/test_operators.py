@@ -197,3 +197,12 @@ def test_percentiles_of_infinite_values(spark):
     assert {(r.feature, r.prob): r.value for r in got} == {
         ("x", 0.1): -math.inf, ("x", 0.3): -math.inf, ("x", 0.5): 1.0, ("y", 0.1): -math.inf, ("y", 0.3): -math.inf, ("y", 0.5): -math.inf,
     }
+
+
+def test_scales_of_infinite_values(spark):
+    """Robust scaling clips them, between minimum and maximum nothing is defined."""
+    rows = spark.createDataFrame([("a", i, -math.inf if i == 7 else float(i)) for i in range(1, 400)], "ticker string, ts int, x double")
+    robust = SC.scale(rows, SC.fit_scaler(rows, ("x",)), ("x",)).orderBy("ts").collect()
+    assert robust[6].x == -10.0 and 0 < robust[5].x < 0.01 < robust[394].x < 1.0
+    between = SC.scale(rows, SC.fit_scaler(rows, ("x",), "minmax"), ("x",), "minmax").collect()
+    assert all(r.x is not None and math.isnan(r.x) for r in between)
