@@ -2,7 +2,8 @@
 
 A text is cut into pieces at punctuation and line ends, pieces into words. Every word starts a suffix of at most ``longest``
 words of its piece; a phrase is a path from the root, and its number of occurrences is the total of the leaves below it. Equal
-suffixes of a language are one leaf with a count, added up in the task and then by hash.
+suffixes of a language are one leaf with a count, added up in the task and then by hash. A suffix that ends after its first word is
+no leaf: it would only add to the count of that word, and words are counted before.
 
 Vertical partitioning: leaves are divided by their first word; a prefix with more than ``budget`` leaves is divided by one word
 more, and again, until each fits. Prefixes are dealt by a hash to groups of about ``budget`` leaves. A group is sorted by itself, and
@@ -10,9 +11,10 @@ sums over runs of equal starts, read off the sorted leaves, are the nodes of its
 prefix have parts in several groups; those parts are added up afterwards.
 
 A phrase that occurs ``least`` times is made of words, and of pairs of neighbours, that do. A suffix ends before a word that is not
-frequent, and after the first word of a pair that is not. Both are told by a table of 2**BITS bits in which the bit of every
-frequent word or pair is set, whatever the size of the corpus: another one that shares a bit only makes a suffix longer
-than needed, so the result does not depend on it. Counts of single words, and of all of a language, are over the whole
+frequent, and after the first word of a pair that is not. Both are told by a table of 2**BITS bits in which two bits of every
+frequent word or pair are set, whatever the size of the corpus: another one that has both bits set only makes a suffix longer
+than needed, so the result does not depend on it. With one bit such suffixes grew with the square of the corpus, as more pairs
+met a fuller table. Counts of single words, and of all of a language, are over the whole
 corpus.
 
 Scores, the least over the cuts of a phrase, are whole numbers of 38 digits until they are divided.
@@ -93,9 +95,10 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def bit_table(hashes: DataFrame) -> bytes:
-    """The table with the bits of all ``hashes`` (h); at most 2**BITS bits reach the driver, in words of 64."""
-    place = F.shiftrightunsigned("h", 64 - BITS)
-    rows = hashes.select((place / 64).cast("long").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("mask"))
+    """The table with two bits of each of ``hashes`` (h), at its first and its next BITS bits; at most 2**BITS bits reach the driver, in words of 64."""
+    places = F.array(F.shiftrightunsigned("h", 64 - BITS), F.shiftrightunsigned("h", 64 - 2 * BITS).bitwiseAND(F.lit((1 << BITS) - 1)))
+    place = F.col("place")
+    rows = hashes.select(F.explode(places).alias("place")).select((place / 64).cast("long").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("mask"))
     rows = rows.groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
     table = np.zeros(1 << (BITS - 6), dtype="<i8")
     table[rows["at"].to_numpy()] = rows["mask"].to_numpy()
@@ -113,8 +116,10 @@ def word_hashes(words: DataFrame) -> DataFrame:
 
 
 def _told(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    place = hashes >> np.uint64(64 - BITS)
-    return (table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    told = np.ones(len(hashes), dtype=bool)
+    for place in (hashes >> np.uint64(64 - BITS), hashes >> np.uint64(64 - 2 * BITS) & np.uint64((1 << BITS) - 1)):
+        told &= (table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return told
 
 
 class Words(dict):
@@ -126,8 +131,8 @@ class Words(dict):
 
     def __missing__(self, word: bytes) -> int:
         h, number = _hash(self.lang, word), 0
-        place = h >> (64 - BITS)
-        if self.table[place >> 3] >> (place & 7) & 1:
+        first, second = h >> (64 - BITS), h >> (64 - 2 * BITS) & ((1 << BITS) - 1)
+        if (self.table[first >> 3] >> (first & 7)) & (self.table[second >> 3] >> (second & 7)) & 1:
             self.names.append(word)
             self.hashes.append(h)
             number = len(self.names)
@@ -188,7 +193,7 @@ def pair_hashes(docs: DataFrame, table: bytes) -> DataFrame:
 
 
 def distinct_suffixes(numbers: np.ndarray, goes_on: np.ndarray, starts: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct suffixes, rows of ``longest`` numbers (below 2**21) filled up with 0, of the first ``starts`` places, and how often each is there.
+    """The distinct suffixes of two words or more, rows of ``longest`` numbers (below 2**21) filled up with 0, of the first ``starts`` places, and how often each is there.
 
     ``goes_on`` tells whether a place and the next one are a pair that suffixes may hold.
     """
@@ -196,7 +201,7 @@ def distinct_suffixes(numbers: np.ndarray, goes_on: np.ndarray, starts: int, lon
     cols = [padded[:starts]]
     for j in range(1, longest):
         cols.append(np.where((cols[-1] > 0) & goes_on[j - 1 : starts + j - 1], padded[j : starts + j], 0))
-    there = cols[0] > 0
+    there = cols[min(1, longest - 1)] > 0
     cols = [c[there] for c in cols] + [np.zeros(int(there.sum()), dtype=np.int64)] * (-longest % 3)
     if not len(cols[0]):
         return np.zeros((0, longest), dtype=np.int64), np.zeros(0, dtype=np.int64)
@@ -222,9 +227,9 @@ def _rows(lang: str, suffix: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch
 
 
 def leaves(docs: DataFrame, table: bytes, pairs: bytes, longest: int) -> DataFrame:
-    """lang, suffix and n, its number of places, of every distinct suffix of ``docs`` (lang, text as bytes).
+    """lang, suffix and n, its number of places, of every distinct suffix of two words or more of ``docs`` (lang, text as bytes).
 
-    Suffixes of one or two words come back all the time, so a task sends them once for every KNOWN of them.
+    Suffixes of two words come back all the time, so a task sends them once for every KNOWN of them.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         short: dict[str, Counter] = {}
@@ -270,7 +275,7 @@ def divided(leaves: DataFrame, budget: int, longest: int) -> DataFrame:
 
 
 def subtrees(parts: DataFrame, least: int, longest: int) -> DataFrame:
-    """lang, phrase, words and a, its count, of every phrase that is there ``least`` times, from leaves with their part."""
+    """lang, phrase, words and a, its count, of every phrase of two words or more that is there ``least`` times, from leaves with their part."""
     def build(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         column = lambda name: table[name].chunk(0)
@@ -283,7 +288,7 @@ def subtrees(parts: DataFrame, least: int, longest: int) -> DataFrame:
         rows, n, level = rows[order], column("n").to_numpy()[order], column("level").to_numpy()[order]
         other = np.concatenate([np.ones((1, longest + 1), dtype=bool), rows[1:] != rows[:-1]])
         made = []
-        for depth in range(1, longest + 1):
+        for depth in range(2, longest + 1):
             first = np.flatnonzero(other[:, : depth + 1].any(axis=1))
             total = np.add.reduceat(n, first)
             whole = np.maximum.reduceat(level, first) <= depth  # else other groups have leaves of it too
@@ -305,11 +310,12 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = LONGEST, budget: i
     """lang, phrase, words and a of every phrase that is there ``least`` times; lang and n, its number of words."""
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), text_of(text).cast("binary").alias("text"))
     counted = kept(count_words(texts), "words")
-    totals = counted.groupBy("lang").agg(F.sum("n").alias("n"))
-    table = bit_table(word_hashes(counted.where(F.col("n") >= least)))
+    totals, often = counted.groupBy("lang").agg(F.sum("n").alias("n")), counted.where(F.col("n") >= least)
+    table = bit_table(word_hashes(often))
     pairs = bit_table(pair_hashes(texts, table).where(F.col("n") >= least).select("h"))
     parts = divided(kept(leaves(texts, table, pairs, longest), "leaves"), budget, longest)
-    return kept(subtrees(parts, least, longest), "phrases"), totals
+    alone = often.select("lang", F.col("word").cast("string").alias("phrase"), F.lit(1).alias("words"), F.col("n").alias("a"))
+    return kept(alone.unionByName(subtrees(parts, least, longest)), "phrases"), totals
 
 
 def scored(found: DataFrame, totals: DataFrame) -> DataFrame:

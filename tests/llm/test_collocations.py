@@ -83,3 +83,27 @@ def test_empty_table_and_clashing_names(spark):
     rows = [(i, "en", "one two", "x", 1, 2) for i in range(5)]
     got = collocations.collocations(spark.createDataFrame(rows, SCHEMA + ", phrase string, n int, a int"), least=5)
     assert rows_of(got) == [("en", 1, "one two", 5, 5, 5, 10, 2000)]
+
+
+def test_words_alone_are_no_leaves(spark, monkeypatch):
+    sent, divided = [], collocations.divided
+    monkeypatch.setattr(collocations, "divided", lambda leaves, *args: sent.extend(r.suffix for r in leaves.collect()) or divided(leaves, *args))
+    rows = [(i, lang, f"apple. pear, fig {i} fig; New york {i}") for i in range(30) for lang in ("en", None)]
+    found, _ = collocations.phrases(spark.createDataFrame(rows, SCHEMA).repartition(3), least=30)
+    got = {(r.lang, r.phrase, r.words): r.a for r in found.collect()}
+    words = {"apple": 30, "pear": 30, "fig": 60, "new": 30, "york": 30}
+    assert got == {(lang, w, 1): n for lang in ("en", "und") for w, n in words.items()} | {(lang, "new york", 2): 30 for lang in ("en", "und")}
+    assert set(sent) == {"new york"}
+
+
+def test_few_others_are_told_to_be_frequent(spark):
+    """A table that 100,000 hashes are set in holds few others: with one bit each it would be 300 in 100,000."""
+    import numpy as np
+
+    draw = np.random.default_rng(4).integers(-(2**63), 2**63, (2, 100_000), dtype=np.int64)
+    table = np.frombuffer(collocations.bit_table(spark.createDataFrame([(int(h),) for h in draw[0]], "h long")), dtype=np.uint8)
+    assert collocations._told(table, draw[0].view(np.uint64)).all()
+    assert collocations._told(table, draw[1].view(np.uint64)).sum() < 30
+    words = collocations.Words("en", table)
+    told = collocations._told(table, np.array([collocations._hash("en", b"%d" % i) for i in range(3000)], dtype=np.uint64))
+    assert [words[b"%d" % i] > 0 for i in range(3000)] == told.tolist()
