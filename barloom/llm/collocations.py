@@ -2,8 +2,12 @@
 
 A text is cut into pieces at punctuation and line ends, pieces into words. Every word starts a suffix of at most ``longest``
 words of its piece; a phrase is a path from the root, and its number of occurrences is the total of the leaves below it. Equal
-suffixes of a language are one leaf with a count, added up in the task and then by hash. A suffix that ends after its first word is
-no leaf: it would only add to the count of that word, and words are counted before.
+suffixes of a language are one leaf with a count, added up in the task and then by hash. A suffix that ends after its first or second
+word is sent by no task: it would only add to the count of that word or pair, and both are counted before. Every task has nearly all
+frequent pairs, and both tasks and pairs grow with the corpus. A frequent pair is one leaf that has the count of all its places.
+
+Pairs are counted by the codes of their words, 32 bits each. A word's code is its hash over ``codes``; words that share one, among those
+that tasks take for frequent, get codes above, so that no two have the same: about m * m / 2**32 of m words, which all tasks know.
 
 Vertical partitioning: leaves are divided by their first word; a prefix with more than ``budget`` leaves is divided by one word
 more, and again, until each fits. Prefixes are dealt by a hash to groups of about ``budget`` leaves. A group is sorted by itself, and
@@ -42,6 +46,7 @@ from barloom.llm.common import few, kept, text_of
 LONGEST = 5
 BUDGET = 1 << 18
 BITS = 25
+CODES = (1 << 32) - (1 << 24)  # codes that hashes give; those above are for words that share one
 CHUNK = 1 << 19  # words that a task gathers before it adds up their pairs or suffixes
 KNOWN = 150_000
 #: Ends of pieces become line ends, a tab a blank.
@@ -57,8 +62,12 @@ def _hash(lang: str, word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(lang.encode("utf-8", "replace") + b"\n" + word)
 
 
-def _pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    x = first * np.uint64(0x9E3779B97F4A7C15) + second
+def _pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return first << np.uint64(32) | second
+
+
+def _mixed(pairs: np.ndarray) -> np.ndarray:
+    x = pairs * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(29))
 
@@ -122,19 +131,41 @@ def _told(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return told
 
 
+def told_words(words: DataFrame, table: bytes, codes: int) -> DataFrame:
+    """lang, word and the code that its hash gives, of those of ``words`` that tasks take for frequent."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(table, dtype=np.uint8)
+        for batch in batches:
+            h = np.array([_hash(lang, word) for lang, word in zip(*(c.to_pylist() for c in batch.columns), strict=True)], dtype=np.uint64)
+            told = _told(bits, h)
+            found = batch.filter(pa.array(told))
+            yield pa.RecordBatch.from_arrays([*found.columns, pa.array((h[told] % np.uint64(codes)).astype(np.int64))], names=["lang", "word", "code"])
+
+    return words.select("lang", "word").mapInArrow(run, "lang string, word binary, code long")
+
+
+def own_codes(told: DataFrame, codes: int) -> dict[tuple[str, bytes], int]:
+    """The codes of the words that share the one of their hash with another."""
+    shared = told.groupBy("code").agg(F.count("*").alias("__n")).where("__n > 1").select("code")
+    rows = sorted((r.lang, bytes(r.word)) for r in told.join(shared, "code").select("lang", "word").toLocalIterator())
+    if codes + len(rows) > 1 << 32:
+        raise ValueError(f"{len(rows)} words share a code")
+    return {word: codes + i for i, word in enumerate(rows)}
+
+
 class Words(dict):
-    """Word to a number from 1 on, 0 for a word that is not frequent; ``names`` and ``hashes`` have those by number."""
+    """Word to a number from 1 on, 0 for a word that is not frequent; ``names`` and ``codes`` have those by number."""
 
-    def __init__(self, lang: str, table: np.ndarray):
+    def __init__(self, lang: str, table: np.ndarray, own: dict[tuple[str, bytes], int] | None = None, codes: int = CODES):
         super().__init__()
-        self.lang, self.table, self.names, self.hashes = lang, table, [], [0]
+        self.lang, self.table, self.own, self.of, self.names, self.codes = lang, table, own or {}, codes, [], [0]
 
     def __missing__(self, word: bytes) -> int:
         h, number = _hash(self.lang, word), 0
         first, second = h >> (64 - BITS), h >> (64 - 2 * BITS) & ((1 << BITS) - 1)
         if (self.table[first >> 3] >> (first & 7)) & (self.table[second >> 3] >> (second & 7)) & 1:
             self.names.append(word)
-            self.hashes.append(h)
+            self.codes.append(self.own.get((self.lang, word), h % self.of))
             number = len(self.names)
         self[word] = number
         return number
@@ -146,8 +177,9 @@ class Gathered:
     ``flush`` is called with a language's words, their numbers and how many places at the end still lack what follows them.
     """
 
-    def __init__(self, table: bytes, flush, overlap: int):
-        self.table, self.flush, self.overlap = np.frombuffer(table, dtype=np.uint8), flush, overlap
+    def __init__(self, table: bytes, own: dict[tuple[str, bytes], int], codes: int, flush, overlap: int):
+        self.words = lambda lang: Words(lang, np.frombuffer(table, dtype=np.uint8), own, codes)
+        self.flush, self.overlap = flush, overlap
         self.known: dict[str, Words] = {}
         self.texts: dict[str, list[int]] = {}
 
@@ -156,14 +188,14 @@ class Gathered:
         yield from self.flush(lang, words, np.array(numbers, dtype=np.int64), keep)
         rest = [words.names[i - 1] if i else None for i in numbers[len(numbers) - keep :]]
         if len(words) > KNOWN:
-            words = self.known[lang] = Words(lang, self.table)
+            words = self.known[lang] = self.words(lang)
         self.texts[lang] = [0 if w is None else words[w] for w in rest]
 
     def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if lang not in self.known:
-                    self.known[lang], self.texts[lang] = Words(lang, self.table), []
+                    self.known[lang], self.texts[lang] = self.words(lang), []
                 for piece in pieces_of(value.as_py()):
                     for slab in _slabs(piece):
                         self.texts[lang].extend(map(self.known[lang].__getitem__, slab.split()))
@@ -180,20 +212,41 @@ class Gathered:
             self.known.pop(lang), self.texts.pop(lang)
 
 
-def pair_hashes(docs: DataFrame, table: bytes) -> DataFrame:
-    """h and n, its number of places, of every pair of neighbours that are both frequent; pairs of one hash count as one."""
+def pair_counts(docs: DataFrame, table: bytes, own: dict[tuple[str, bytes], int], codes: int) -> DataFrame:
+    """pair, the codes of its words in 32 bits each, and n, its number of places, of every pair of neighbours that are both frequent."""
     def flush(lang: str, words: Words, numbers: np.ndarray, keep: int) -> Iterator[pa.RecordBatch]:
         first, second = numbers[:-1], numbers[1:]
         packed, n = np.unique((first << 21 | second)[(first > 0) & (second > 0)], return_counts=True)
-        of = np.array(words.hashes, dtype=np.uint64)
-        h = _pair_hashes(of[packed >> 21], of[packed & ((1 << 21) - 1)])
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+        of = np.array(words.codes, dtype=np.uint64)
+        pair = _pairs(of[packed >> 21], of[packed & ((1 << 21) - 1)])
+        yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(n.astype(np.int64))], names=["pair", "n"])
 
-    return docs.mapInArrow(lambda batches: Gathered(table, flush, 1).run(batches), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(lambda batches: Gathered(table, own, codes, flush, 1).run(batches), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def pair_hashes(pairs: DataFrame) -> DataFrame:
+    """h of each pair, as tasks compute it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_mixed(batch.column(0).to_numpy().view(np.uint64)).view(np.int64))], names=["h"])
+
+    return pairs.select("pair").mapInArrow(run, "h long")
+
+
+def pair_leaves(pairs: DataFrame, told: DataFrame, own: dict[tuple[str, bytes], int]) -> DataFrame:
+    """lang, suffix and n of every pair, its words put back for their codes."""
+    if own:
+        rows = told.sparkSession.createDataFrame([(*word, code) for word, code in own.items()], "lang string, word binary, own long")
+        told = told.join(few(rows), ["lang", "word"], "left").select("lang", "word", F.coalesce("own", "code").alias("code"))
+    first = told.select("lang", F.col("word").alias("__first"), F.col("code").alias("__code"))
+    second = told.select(F.col("word").alias("__second"), F.col("code").alias("__next"))
+    found = pairs.withColumns({"__code": F.shiftrightunsigned("pair", 32), "__next": F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))})
+    found = found.join(few(first), "__code").join(few(second), "__next")
+    return found.select("lang", F.concat_ws(" ", F.col("__first").cast("string"), F.col("__second").cast("string")).alias("suffix"), "n")
 
 
 def distinct_suffixes(numbers: np.ndarray, goes_on: np.ndarray, starts: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct suffixes of two words or more, rows of ``longest`` numbers (below 2**21) filled up with 0, of the first ``starts`` places, and how often each is there.
+    """The distinct suffixes of three words or more, rows of ``longest`` numbers (below 2**21) filled up with 0, of the first ``starts`` places, and how often each is there.
 
     ``goes_on`` tells whether a place and the next one are a pair that suffixes may hold.
     """
@@ -201,7 +254,7 @@ def distinct_suffixes(numbers: np.ndarray, goes_on: np.ndarray, starts: int, lon
     cols = [padded[:starts]]
     for j in range(1, longest):
         cols.append(np.where((cols[-1] > 0) & goes_on[j - 1 : starts + j - 1], padded[j : starts + j], 0))
-    there = cols[min(1, longest - 1)] > 0
+    there = cols[2] > 0 if longest > 2 else np.zeros(len(cols[0]), dtype=bool)
     cols = [c[there] for c in cols] + [np.zeros(int(there.sum()), dtype=np.int64)] * (-longest % 3)
     if not len(cols[0]):
         return np.zeros((0, longest), dtype=np.int64), np.zeros(0, dtype=np.int64)
@@ -226,35 +279,15 @@ def _rows(lang: str, suffix: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n[part]), pa.string()), suffix[part], pa.array(n[part], pa.int64())], names=["lang", "suffix", "n"])
 
 
-def leaves(docs: DataFrame, table: bytes, pairs: bytes, longest: int) -> DataFrame:
-    """lang, suffix and n, its number of places, of every distinct suffix of two words or more of ``docs`` (lang, text as bytes).
+def leaves(docs: DataFrame, table: bytes, own: dict[tuple[str, bytes], int], codes: int, pairs: bytes, longest: int) -> DataFrame:
+    """lang, suffix and n, its number of places, of every distinct suffix of three words or more of ``docs`` (lang, text as bytes)."""
+    def flush(lang: str, words: Words, numbers: np.ndarray, keep: int) -> Iterator[pa.RecordBatch]:
+        of = np.array(words.codes, dtype=np.uint64)
+        goes_on = _told(np.frombuffer(pairs, dtype=np.uint8), _mixed(_pairs(of[numbers[:-1]], of[numbers[1:]])))
+        rows, n = distinct_suffixes(numbers, goes_on, len(numbers) - keep, longest)
+        yield from _rows(lang, joined(rows, pa.array(words.names, pa.binary())), n)
 
-    Suffixes of two words come back all the time, so a task sends them once for every KNOWN of them.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        short: dict[str, Counter] = {}
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            for lang, own in short.items():
-                yield from _rows(lang, pa.array(list(own), pa.binary()), np.fromiter(own.values(), dtype=np.int64, count=len(own)))
-            short.clear()
-
-        def flush(lang: str, words: Words, numbers: np.ndarray, keep: int) -> Iterator[pa.RecordBatch]:
-            of = np.array(words.hashes, dtype=np.uint64)
-            goes_on = _told(np.frombuffer(pairs, dtype=np.uint8), _pair_hashes(of[numbers[:-1]], of[numbers[1:]]))
-            rows, n = distinct_suffixes(numbers, goes_on, len(numbers) - keep, longest)
-            names, brief = pa.array(words.names, pa.binary()), rows[:, min(2, longest - 1)] == 0
-            own = short.setdefault(lang, Counter())
-            for suffix, times in zip(joined(rows[brief], names).to_pylist(), n[brief].tolist(), strict=True):
-                own[suffix] += times
-            if sum(map(len, short.values())) > KNOWN:
-                yield from sent()
-            yield from _rows(lang, joined(rows[~brief], names), n[~brief])
-
-        yield from Gathered(table, flush, longest - 1).run(batches)
-        yield from sent()
-
-    found = docs.mapInArrow(run, SUFFIX)
+    found = docs.mapInArrow(lambda batches: Gathered(table, own, codes, flush, longest - 1).run(batches), SUFFIX)
     return found.groupBy("lang", F.col("suffix").cast("string").alias("suffix")).agg(F.sum("n").alias("n"))
 
 
@@ -275,7 +308,10 @@ def divided(leaves: DataFrame, budget: int, longest: int) -> DataFrame:
 
 
 def subtrees(parts: DataFrame, least: int, longest: int) -> DataFrame:
-    """lang, phrase, words and a, its count, of every phrase of two words or more that is there ``least`` times, from leaves with their part."""
+    """lang, phrase, words and a, its count, of every phrase of two words or more that is there ``least`` times, from leaves with their part.
+
+    A leaf of two words has the count of the pair, one of more words that of its own places.
+    """
     def build(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         column = lambda name: table[name].chunk(0)
@@ -286,13 +322,14 @@ def subtrees(parts: DataFrame, least: int, longest: int) -> DataFrame:
         rows[:, 1:][np.arange(longest) < lengths[:, None]] = flat.indices.to_numpy() + 1
         order = np.lexsort(rows.T[::-1])
         rows, n, level = rows[order], column("n").to_numpy()[order], column("level").to_numpy()[order]
+        pair = lengths[order] == 2
         other = np.concatenate([np.ones((1, longest + 1), dtype=bool), rows[1:] != rows[:-1]])
         made = []
         for depth in range(2, longest + 1):
             first = np.flatnonzero(other[:, : depth + 1].any(axis=1))
-            total = np.add.reduceat(n, first)
+            total = np.add.reduceat(np.where(pair == (depth == 2), n, 0), first)
             whole = np.maximum.reduceat(level, first) <= depth  # else other groups have leaves of it too
-            keep = (rows[first, depth] > 0) & ((total >= least) | ~whole)
+            keep = (rows[first, depth] > 0) & (total > 0) & ((total >= least) | ~whole)
             at = first[keep]
             if len(at):
                 phrase = joined(rows[at, 1 : depth + 1], flat.dictionary)
@@ -306,14 +343,17 @@ def subtrees(parts: DataFrame, least: int, longest: int) -> DataFrame:
     return nodes.where(F.col("a") >= least)
 
 
-def phrases(docs: DataFrame, least: int = 100, longest: int = LONGEST, budget: int = BUDGET, lang: str = "lang", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def phrases(docs: DataFrame, least: int = 100, longest: int = LONGEST, budget: int = BUDGET, codes: int = CODES, lang: str = "lang", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """lang, phrase, words and a of every phrase that is there ``least`` times; lang and n, its number of words."""
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), text_of(text).cast("binary").alias("text"))
     counted = kept(count_words(texts), "words")
     totals, often = counted.groupBy("lang").agg(F.sum("n").alias("n")), counted.where(F.col("n") >= least)
     table = bit_table(word_hashes(often))
-    pairs = bit_table(pair_hashes(texts, table).where(F.col("n") >= least).select("h"))
-    parts = divided(kept(leaves(texts, table, pairs, longest), "leaves"), budget, longest)
+    told = kept(told_words(counted, table, codes), "codes")
+    own = own_codes(told, codes)
+    pairs = kept(pair_counts(texts, table, own, codes).where((F.col("n") >= least) & (F.lit(longest) > 1)), "pairs")
+    longer = leaves(texts, table, own, codes, bit_table(pair_hashes(pairs)), longest)
+    parts = divided(kept(longer.unionByName(pair_leaves(pairs, told, own)), "leaves"), budget, longest)
     alone = often.select("lang", F.col("word").cast("string").alias("phrase"), F.lit(1).alias("words"), F.col("n").alias("a"))
     return kept(alone.unionByName(subtrees(parts, least, longest)), "phrases"), totals
 

@@ -107,3 +107,22 @@ def test_few_others_are_told_to_be_frequent(spark):
     words = collocations.Words("en", table)
     told = collocations._told(table, np.array([collocations._hash("en", b"%d" % i) for i in range(3000)], dtype=np.uint64))
     assert [words[b"%d" % i] > 0 for i in range(3000)] == told.tolist()
+
+
+def test_no_task_sends_pairs(spark, monkeypatch):
+    """Each of many tasks has the same frequent pairs: their leaves would be pairs times tasks."""
+    sent, leaves = [], collocations.leaves
+    monkeypatch.setattr(collocations, "leaves", lambda *args: sent.append(leaves(*args)) or sent[0])
+    rows = [(i, "en", f"new york {i}. old town {i}, big city hall {i}. big city {i}") for i in range(60)]
+    got = collocations.collocations(spark.createDataFrame(rows, SCHEMA).repartition(6), least=60, top=50)
+    assert rows_of(got) == plain(rows, 60, 50) != []
+    assert [(r.suffix, r.n) for r in sent[0].collect()] == [("big city hall", 60)]
+
+
+@pytest.mark.parametrize("codes", [1, 5, 200])
+@pytest.mark.parametrize("longest", [2, 5])
+def test_words_that_share_a_code(spark, codes, longest):
+    rows = corpus()
+    got = collocations.collocations(spark.createDataFrame(rows, SCHEMA).repartition(5), least=3, top=200, longest=longest, codes=codes)
+    want = plain(rows, 3, 200, longest=longest)
+    assert want and rows_of(got) == want
