@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from barloom.llm.common import text_of
 
@@ -186,18 +187,24 @@ def fit(
 
 
 def score(docs: DataFrame, weights: Weights | float, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:
-    """``doc_id`` and ``score`` of every row; with ``keep`` those columns as they are and the score as ``name``."""
+    """``doc_id`` and ``score`` of every row; with ``keep`` those columns as they are and the score as ``name``.
+
+    A text that is kept is sent to the task once.
+    """
+    sent = keep.index(text) if text in keep and docs.schema[text].dataType == StringType() else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = []
-            for value in batch.column(1):
-                x = encode(value.as_py())
+            for value in batch.column(1 if sent is None else 1 + sent):
+                x = encode(value.as_py() or "")
                 scores.append(weights if isinstance(weights, float) else float(forward(weights, x.astype(np.float64), np.zeros(1, dtype=int))["score"][0]))
-            columns = [batch.column(0), pa.array(scores, pa.float64()), *[batch.column(2 + i) for i in range(len(keep))]]
+            columns = [batch.column(0), pa.array(scores, pa.float64()), *batch.columns[len(batch.columns) - len(keep) :]]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = ["doc_id", "score", *[f"__keep{i}" for i in range(len(keep))]]
-    picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("__text"), *[F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep)])
+    read = [text_of(text).alias("__text")] if sent is None else []
+    picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *read, *[F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep)])
     schema = SCORES + "".join(f", __keep{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     scored = picked.mapInArrow(run, schema)
     return scored.select(*[F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep)], F.col("score").alias(name)) if keep else scored

@@ -107,3 +107,15 @@ def test_the_sample_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(quality, "train", lambda bags, y, epochs: seen.append((len(bags), max(map(len, bags)))) or 0.5)
     fit(docs, labels, max_docs=50, max_passages=2)
     assert seen[0][0] == 50 and seen[0][1] <= 2
+
+
+def test_a_kept_text_is_sent_once(spark):
+    docs = spark.createDataFrame([(1, "some words", "en"), (2, None, "en"), (3, "", "de")], "doc_id long, text string, lang string")
+    weights = quality.train([quality.encode("some words"), quality.encode("")], np.array([1.0, 0.0]), epochs=2)
+    scored = quality.score(docs, weights, keep=tuple(docs.columns), name="s")
+    assert "coalesce" not in scored._jdf.queryExecution().analyzed().toString().lower()
+    plain = {r.doc_id: r.score for r in quality.score(docs, weights).collect()}
+    assert sorted(map(tuple, scored.collect())) == [(1, "some words", "en", plain[1]), (2, None, "en", plain[2]), (3, "", "de", plain[3])]
+    # a text of another kind is still cast
+    odd = spark.createDataFrame([(1, 5)], "doc_id long, text int")
+    assert quality.score(odd, weights, keep=("text",), name="s").first().text == 5
